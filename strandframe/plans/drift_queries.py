@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandframe.operators import dewey, heavy_keys, lifespans
+from strandframe.operators import dewey, heavy_keys, lifespans, units
 from strandframe.session import load
 
 
@@ -64,10 +64,21 @@ def p3_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(spark, sf_dir)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations in milliseconds and sizes in bytes."""
+    values = units.common_units(load(spark, sf_dir, "historical_trace"), load(spark, sf_dir, "trace_sources"))
+    return values.where("field_name IN ('duration', 'peak_rss', 'rchar')").select("trace_id", "field_name", "amount")
+
+
+def p5_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialect with its factor and the estimate from linked tasks."""
+    return units.scales(units.figures(load(spark, sf_dir, "historical_trace"), load(spark, sf_dir, "trace_sources")))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_lifespans": p1_lifespans, "p1_unified": p1_unified,
     "p2_found": p2_found, "p2_arms": p2_arms, "p2_runs": p2_runs,
-    "p3_found": p3_found, "p3_places": p3_places,
+    "p3_found": p3_found, "p3_places": p3_places, "p5_found": p5_found, "p5_scales": p5_scales,
 }
 
 _ONCE = """
