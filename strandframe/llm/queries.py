@@ -3,16 +3,106 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandframe.llm import sentences
+from strandframe.llm import leaks, packing, percentiles, sentences
+from strandframe.operators import dewey, units
 from strandframe.session import load
 
+GROUP = ["metric", "grp", "run_day"]
+
+
+def _day(column: str):
+    return (F.year(column) * 10000 + F.month(column) * 100 + F.day(column)).cast("bigint").alias("run_day")
+
+
+def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """metric, grp, run_day, value of the probe timings and the traces' realtime, each delivery once."""
+    timings = load(spark, sf_dir, "probe_timings").where("timing_id IS NOT NULL")
+    once = timings.groupBy("timing_id").agg(F.max(F.struct("received_at", "host", "arm", "started_at", "cpu20_s", "gpu_wall_s")).alias("t")).select("t.*")
+    probe = once.select(F.concat_ws("/", "host", "arm").alias("grp"), _day("started_at"), "cpu20_s", "gpu_wall_s").unpivot(
+        ["grp", "run_day"], ["cpu20_s", "gpu_wall_s"], "metric", "value"
+    )
+    trace = load(spark, sf_dir, "historical_trace")
+    ran = units.common_units(trace, load(spark, sf_dir, "trace_sources")).where("field_name = 'realtime'")
+    # Repeated deliveries of a trace_id share its submit time; the earliest stands if they should not.
+    day = trace.where("trace_id IS NOT NULL").groupBy("trace_id").agg(F.min("submit_at").alias("submit_at"))
+    real = ran.join(day, "trace_id").select(
+        F.substring_index("entity", " (", 1).alias("grp"), _day("submit_at"), F.lit("realtime").alias("metric"), F.col("amount").cast("double").alias("value")
+    )
+    return probe.select(*GROUP, "value").unionByName(real.select(*GROUP, "value"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a day whose 90th percentile is at least four times their median."""
+    sketch = percentiles.sketches(_timings(spark, sf_dir), GROUP)
+    found = percentiles.quantiles(sketch, GROUP, [0.5, 0.9])
+    return found.where(F.col("quantiles")[1] >= 4 * F.col("quantiles")[0]).select(*GROUP)
+
+
+def p4_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles over all days, from the days' sketches added up."""
+    sketch = percentiles.merged(percentiles.sketches(_timings(spark, sf_dir), GROUP), ["metric", "grp"])
+    q = F.col("quantiles")
+    return percentiles.quantiles(sketch, ["metric", "grp"], [0.5, 0.9, 0.99]).select(
+        "metric", "grp", "n_values", q[0].alias("p50"), q[1].alias("p90"), q[2].alias("p99")
+    )
+
+
+def p4_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the summaries' timings (seconds) per arm."""
+    values = dewey.elements(dewey.nodes(load(spark, sf_dir, "summaries"), "summaries"))
+    keys = ["field_name", "arm"]
+    sketch = percentiles.sketches(values.select(*keys, (F.col("amount") / 1e9).alias("value")), keys)
+    q = F.col("quantiles")
+    return percentiles.quantiles(sketch, keys, [0.5, 0.9]).select(*keys, "n_values", q[0].alias("p50"), q[1].alias("p90"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "container_sizes"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that even the largest container must split."""
+    sizes = load(spark, sf_dir, "container_sizes")
+    largest = sizes.groupBy().agg(F.max("capacity_tokens").alias("capacity_tokens"))
+    placed = _packed(spark, sf_dir).join(F.broadcast(sizes.join(largest, "capacity_tokens", "left_semi").select("size_id")), "size_id", "left_semi")
+    return placed.where("piece_no > 0").select("doc_id").distinct()
+
+
+def p6_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its container, for each capacity."""
+    return _packed(spark, sf_dir)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the least possible number and the fill, per capacity."""
+    return packing.fill_report(_packed(spark, sf_dir), load(spark, sf_dir, "container_sizes"))
+
+
+def _leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a test item and a document that contains it."""
+    return _leaked(spark, sf_dir).select("item_id", "doc_id")
+
+
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with the words found, the passages and the kind of match."""
+    return _leaked(spark, sf_dir)
+
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sentence units of all documents."""
     return sentences.sentence_units(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found}
+QUERIES = {
+    "p4_found": p4_found, "p4_all_days": p4_all_days, "p4_arms": p4_arms,
+    "p6_found": p6_found, "p6_placed": p6_placed, "p6_fill": p6_fill,
+    "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found,
+}
 
 ORACLES: dict[str, str] = {}
