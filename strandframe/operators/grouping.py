@@ -16,7 +16,8 @@ def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     Columns whose types have no order (maps) are not supported.
     """
     rest = [c for c in df.columns if c not in (key, by)]
-    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(by, *rest)).alias("__r"))
+    parted = df.where(F.col(key).isNotNull()).select(key, F.struct(by, *rest).alias("__r")).repartition(key)
+    best = parted.groupBy(key).agg(F.max("__r").alias("__r"))
     return best.select(key, "__r.*")
 
 

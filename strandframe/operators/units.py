@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from strandframe.session import written
+
 TIMES, SIZES = ("duration", "realtime"), ("peak_rss", "rchar")
 
 # Factors to milliseconds and bytes.
@@ -120,22 +122,24 @@ def _number(digits: Column) -> Column:
     return text.try_cast("decimal(28,9)")
 
 
-def figures(trace: DataFrame, sources: DataFrame) -> DataFrame:
+def figures(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*TIMES, *SIZES)) -> DataFrame:
     """One row per present value: trace_id, source_id, entity, field_name, x, own, mark, unit.
 
     Deliveries of one ``trace_id`` count once, the latest by ``received_at`` stands. Empty
     text, null and marks for "none" (-, n/a, none, null, nan) are no values, nor is text
-    without a figure. ``x`` is the figure; for clocks and compound durations it is in
+    without a figure. ``columns`` says which to read. ``x`` is the figure; for clocks and compound durations it is in
     milliseconds already. ``mark`` says where the unit comes from: own, remark, note or none.
     """
-    columns = ["source_id", "task_name", "remark", *TIMES, *SIZES]
-    once = trace.where(F.col("trace_id").isNotNull()).groupBy("trace_id").agg(F.max(F.struct("received_at", *columns)).alias("t")).select("trace_id", "t.*")
+    row = F.struct("received_at", "source_id", "task_name", "remark", *columns)
+    # Parted first: the rows are not reduced by a partial aggregate, which would sort them once more.
+    parted = trace.where(F.col("trace_id").isNotNull()).select("trace_id", row.alias("t")).repartition("trace_id")
+    once = parted.groupBy("trace_id").agg(F.max("t").alias("t")).select("trace_id", "t.*")
     each = [
         F.struct(
             F.lit(c).alias("field_name"), F.lit("time:" if c in TIMES else "size:").alias("kind"),
             F.trim(F.regexp_replace(c, "[\u00a0\u202f]", " ")).alias("raw"), _said(c).alias("said"),
         )
-        for c in (*TIMES, *SIZES)
+        for c in columns
     ]
     long = once.select("trace_id", "source_id", F.regexp_replace("task_name", r"\s+", " ").alias("entity"), F.inline(F.array(*each))).where(
         F.col("raw").isNotNull() & ~F.lower("raw").isin("", "-", "--", "n/a", "na", "none", "null", "nan", "\u2014")
@@ -153,7 +157,7 @@ def figures(trace: DataFrame, sources: DataFrame) -> DataFrame:
     cut = rows.withColumns({
         "digits": F.regexp_replace(F.regexp_extract("raw", simple, 1), r"[\s']", ""),
         "code": _lookup(_CODES, F.concat("kind", F.lower(F.regexp_extract("raw", simple, 2)))),
-        "parts": F.lower(F.regexp_replace("raw", clock, "$1d $2h $3m $4s")),
+        "parts": F.lower(F.when(F.col("raw").contains(":"), F.regexp_replace("raw", clock, "$1d $2h $3m $4s")).otherwise(F.col("raw"))),
     })
 
     def part(unit: str) -> Column:
@@ -182,13 +186,13 @@ DIALECT = ["field_name", "source_id", "mark", "unit"]
 def links(read: DataFrame) -> DataFrame:
     """Scale and offset between dialects that describe the same tasks: a, b, log_ratio, offset, n.
 
-    Per task and dialect the median figure is taken (approximate, in bounded memory); the
-    dialects of a task form a chain in a fixed order, so a task gives no more links than it
-    has dialects. ``log_ratio`` is the median over tasks of ln(b / a), ``offset`` the median of
-    b - a * exp(log_ratio) relative to b.
+    Per task and dialect the geometric mean of the figures is taken; the dialects of a task
+    form a chain in a fixed order, so a task gives no more links than it has dialects.
+    ``log_ratio`` is the median over tasks of ln(b / a), which no single task can move far,
+    ``offset`` what the medians of both sides leave over, relative to b.
     """
     named = read.where((F.col("x") > 0) & F.col("entity").isNotNull())
-    per_task = named.groupBy("entity", *DIALECT).agg(F.percentile_approx(F.col("x").cast("double"), 0.5, 200).alias("x"))
+    per_task = named.groupBy("entity", *DIALECT).agg(F.exp(F.avg(F.log(F.col("x").cast("double")))).alias("x"))
     chain = Window.partitionBy("field_name", "entity").orderBy("source_id", "mark", "unit")
     a = F.lag(F.struct(*DIALECT, "x")).over(chain)
     pairs = per_task.select(F.struct(*DIALECT).alias("b"), "x", a.alias("p")).where(F.col("p").isNotNull()).select(
@@ -264,7 +268,7 @@ def converted(read: DataFrame, scale: DataFrame) -> DataFrame:
     ).where(F.col("amount").isNotNull())
 
 
-def common_units(trace: DataFrame, sources: DataFrame) -> DataFrame:
-    """:func:`converted` of a trace by the scales found in the same trace."""
-    read = figures(trace, sources)
+def common_units(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*TIMES, *SIZES)) -> DataFrame:
+    """:func:`converted` of a trace by the scales found in the same trace; the text is read once."""
+    read = written(figures(trace, sources, columns))
     return converted(read, scales(read))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandframe.operators import dewey, heavy_keys, lifespans, units
-from strandframe.session import load
+from strandframe.session import load, written
 
 
 def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialect with its factor and the estimate from linked tasks."""
-    return units.scales(units.figures(load(spark, sf_dir, "historical_trace"), load(spark, sf_dir, "trace_sources")))
+    return units.scales(written(units.figures(load(spark, sf_dir, "historical_trace"), load(spark, sf_dir, "trace_sources"))))
 
 
 QUERIES = {

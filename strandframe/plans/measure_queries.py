@@ -54,7 +54,7 @@ def _capture(spark: SparkSession, d: str) -> DataFrame:
 
 def _rollup(spark: SparkSession, d: str) -> DataFrame:
     trace = load(spark, d, "historical_trace")
-    ran = units.common_units(trace, load(spark, d, "trace_sources")).where("field_name = 'realtime'")
+    ran = units.common_units(trace, load(spark, d, "trace_sources"), ("realtime",))
     cpu = grouping.latest(trace, "trace_id", "received_at").select("trace_id", "pct_cpu")
     return measures.trace_rollup(ran.join(cpu, "trace_id").withColumn("process", F.substring_index("entity", " (", 1)), "process", "amount", "pct_cpu")
 
