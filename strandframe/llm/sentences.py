@@ -74,6 +74,7 @@ _BEFORE_CJK = re.compile(r"[^\u2e80-\uffef]*$")
 _OPENERS = "([{\"'«„“‘¿¡§$€-–—"
 _QUOTES_CLOSED = re.compile("[\"”“»』」]")
 _SPACE = re.compile(r"\s*")
+_REDACTED = re.compile(r"(?:█+|\(…\)|\[REDACTED\]|\[name withheld\]|X\*\*\*)$")
 _CUT_AFTER = re.compile(rf"\s+[{_UPPER}]\w")
 _MARK_BEFORE = re.compile(r"(?:^|\n\s*\n\s*)\s*(?:§\s*)?\d+$")
 _HEADER = re.compile(r"[^\n]{0,100}\b[A-Z]{1,4}-\d+/\d+\b[^\n]{0,40}\d[^\n]{0,3}(?=\s*(?:\n[^\S\n]*\n|$))")
@@ -188,6 +189,13 @@ def _blank(text: str, start: int, end: int) -> str:
     return "H" if lone and _HEADER.match(text, lone.start(1)) else "B"
 
 
+def _hides_a_stop(text: str, end: int) -> bool:
+    """Whether a redaction before a capital took a name with its full stop: not after an article or preposition."""
+    near = text[max(0, end - 60) : end]
+    found = _REDACTED.search(near)
+    return bool(found) and _word(near[: found.start()].rstrip())[0].lower() not in BEFORE_ORDINAL
+
+
 def events(text: str) -> list[tuple[str, int, int, int]]:
     """What can happen in a text: (symbol, place, end of the unit, where the next may begin)."""
     out: list[tuple[str, int, int, int]] = []
@@ -200,7 +208,7 @@ def events(text: str) -> list[tuple[str, int, int, int]]:
             stop = _STOPS.match(text, start).group()
             if stop[0] == "…" and text[start - 1 : start] == "(" and text[start + 1 : start + 2] == ")":
                 # A redaction, not an ellipsis; what follows its bracket is looked at on its own.
-                if _CUT_AFTER.match(text, end):
+                if _CUT_AFTER.match(text, end) and _hides_a_stop(text, end):
                     out.append(("S", start, end, end))
                 continue
             symbol = _stop(text, stop, text[start + len(stop) : end], start, end)
@@ -216,7 +224,7 @@ def events(text: str) -> list[tuple[str, int, int, int]]:
             out.append((_blank(text, start, end), start, start, end))
         elif kind == "thai":
             out.append(("T", start, start, end))
-        else:
+        elif _hides_a_stop(text, end):
             out.append(("S", start, end, end))
     return out
 
