@@ -65,21 +65,19 @@ def duplicates(aln: DataFrame, score: Column) -> DataFrame:
         F.least(F.struct("a.tid", "a.pos", "a.rec_idx"), F.struct("b.tid", "b.pos", "b.rec_idx")).alias("place"),
         F.col("a.rec_idx").alias("a"), F.col("b.rec_idx").alias("b"),
     )
-    by_ends = Window.partitionBy("low", "high").orderBy(F.desc("score"), "place", "a", "b")
-    ranked = pairs.withColumn("is_duplicate", F.row_number().over(by_ends) > 1)
+    # The best of each group is an aggregate that is reduced before it is sent, so a crowded
+    # place is no single task; the groups' rows meet it in a join, whose skew Spark can split.
+    best = pairs.groupBy("low", "high").agg(F.min(F.struct(-F.col("score"), "place", "a", "b")).alias("best"))
+    ranked = pairs.join(best, ["low", "high"]).withColumn("is_duplicate", F.col("a") != F.col("best.a"))
     members = ranked.select("is_duplicate", F.explode(F.array_distinct(F.array("a", "b"))).alias("rec_idx"))
-    pair_ends = ranked.select(F.explode(F.array("low", "high")).alias("end_key"), F.lit(True).alias("paired_end"))
-    singles = ends.join(members.select("rec_idx"), "rec_idx", "left_anti").select("rec_idx", "tid", "pos", "score", "end_key", F.lit(False).alias("paired_end"))
-    # The ends of pairs take part as rows, so one exchange by end serves the look-up and the ranking.
-    together = singles.unionByName(pair_ends.distinct(), allowMissingColumns=True)
-    by_end = Window.partitionBy("end_key")
-    best = by_end.orderBy(F.col("paired_end").asc(), F.desc("score"), "tid", "pos", "rec_idx")
-    judged = together.select(
-        "rec_idx", "paired_end", ((F.row_number().over(best) > 1) | F.max("paired_end").over(by_end)).alias("is_duplicate")
-    ).where(~F.col("paired_end"))
-    return members.select("rec_idx", F.lit(True).alias("is_pair"), "is_duplicate").unionByName(
-        judged.select("rec_idx", F.lit(False).alias("is_pair"), "is_duplicate")
+    singles = ends.join(members.select("rec_idx"), "rec_idx", "left_anti").select("rec_idx", "tid", "pos", "score", "end_key")
+    pair_ends = pairs.select(F.explode(F.array("low", "high")).alias("end_key"), F.lit(True).alias("paired"))
+    order = F.struct(-F.col("score"), "tid", "pos", "rec_idx")
+    of_end = singles.select("end_key", order.alias("o")).unionByName(pair_ends, allowMissingColumns=True).groupBy("end_key").agg(
+        F.min("o").alias("best"), F.coalesce(F.max("paired"), F.lit(False)).alias("paired")
     )
+    judged = singles.join(of_end, "end_key").select("rec_idx", F.lit(False).alias("is_pair"), (F.col("paired") | (F.col("rec_idx") != F.col("best.rec_idx"))).alias("is_duplicate"))
+    return members.select("rec_idx", F.lit(True).alias("is_pair"), "is_duplicate").unionByName(judged)
 
 
 def two_level_histogram(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,21 +105,43 @@ def ordered_cap(df: DataFrame, order: list[str], most: int) -> DataFrame:
     return df.orderBy(*order).limit(most)
 
 
+def values_at(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """The values at given 0-based ranks of each key's sorted values: ``keys``, n_values and a column per rank.
+
+    ``ranks`` are expressions of the column ``n_values``. Null and NaN values do not count. Equal
+    values are counted first; counts per narrow bucket of values (1/256 of a doubling) say which
+    bucket holds a rank, and only that bucket is sorted, so a large key is no single task.
+    """
+    v = F.col(value)
+    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    size = F.floor((F.log2(F.abs(v)) + 1100) * 256)
+    counted = counted.withColumn("__b", F.when(v == 0, F.lit(0)).when(v < 0, -size).otherwise(size))
+    order = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counted.groupBy(*keys, "__b").agg(F.sum("__c").alias("__m")).withColumns({
+        "__before": F.coalesce(F.sum("__m").over(order), F.lit(0)), "n_values": F.sum("__m").over(Window.partitionBy(*keys)),
+    })
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()]))
+    wanted = buckets.select("*", asked.alias("__r")).where((F.col("__r.rank") >= F.col("__before")) & (F.col("__r.rank") < F.col("__before") + F.col("__m")))
+    near = counted.join(wanted.select(*keys, "__b", "n_values", F.col("__r.name").alias("__name"), (F.col("__r.rank") - F.col("__before")).alias("__left")), [*keys, "__b"])
+    inside = Window.partitionBy(*keys, "__name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    hit = near.withColumn("__upto", F.sum("__c").over(inside)).where(F.col("__upto") > F.col("__left"))
+    return hit.groupBy(*keys).agg(F.max("n_values").alias("n_values"), *[F.min(F.when(F.col("__name") == name, F.col(value))).alias(name) for name in ranks])
+
+
 def lower_quantiles(df: DataFrame, keys: list[str], value: str, parts: list[tuple[int, int]]) -> DataFrame:
     """The element at index ``floor((n - 1) * p / q)`` of each key's sorted values, no interpolation.
 
-    Null values do not count. Columns: ``keys``, n_values, and ``q<p>_<q>`` per entry of ``parts``.
-    Equal values are counted first, so a key's window has as many rows as it has distinct values.
+    Columns: ``keys``, n_values, and ``q<p>_<q>`` per entry of ``parts``.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    swept = counted.withColumn("__upto", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "__n", F.sum("__c").over(Window.partitionBy(*keys))
-    )
-    picks = [
-        F.min(F.when(F.col("__upto") > F.floor((F.col("__n") - 1) * p / q), F.col(value))).alias(f"q{p}_{q}") for p, q in parts
-    ]
-    return swept.groupBy(*keys).agg(F.max("__n").alias("n_values"), *picks)
+    n = F.col("n_values")
+    return values_at(df, keys, value, {f"q{p}_{q}": F.floor((n - 1) * p / q) for p, q in parts})
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str = "median_value") -> DataFrame:
+    """The median per key, the mean of the two middle values where their number is even."""
+    n = F.col("n_values")
+    two = values_at(df, keys, value, {"__low": F.floor((n - 1) / 2), "__high": F.floor(n / 2)})
+    return two.select(*keys, "n_values", ((F.col("__low") + F.col("__high")) / 2).alias(name))
 
 
 def log2_bin(value: Column) -> Column:

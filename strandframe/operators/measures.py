@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.operators.grouping import medians
+
 
 def arm_summary(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, least and greatest value and number of repeats per group; null values do not count."""
@@ -20,10 +22,10 @@ def paired_ratio(runs: DataFrame, keys: list[str], arm: str, base: str, other: s
     Groups without the base arm have no row; the ratio is null where the other arm is missing
     or the base is 0.
     """
-    medians = runs.where(F.col(value).isNotNull() & F.col(arm).isin(base, other)).groupBy(*keys).agg(
-        F.median(F.when(F.col(arm) == base, F.col(value))).alias("base_median"), F.median(F.when(F.col(arm) == other, F.col(value))).alias("other_median")
-    )
-    return medians.where("base_median IS NOT NULL").select(
+    each = medians(runs.where(F.col(arm).isin(base, other)), [*keys, arm], value)
+    middle = F.col("median_value")
+    wide = each.groupBy(*keys).agg(F.max(F.when(F.col(arm) == base, middle)).alias("base_median"), F.max(F.when(F.col(arm) == other, middle)).alias("other_median"))
+    return wide.where("base_median IS NOT NULL").select(
         *keys, F.round("base_median", 6).alias("base_median"), F.round("other_median", 6).alias("other_median"),
         F.round(F.try_divide("other_median", "base_median"), 6).alias("ratio"),
     )
