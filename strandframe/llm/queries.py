@@ -24,7 +24,7 @@ def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["grp", "run_day"], ["cpu20_s", "gpu_wall_s"], "metric", "value"
     )
     trace = load(spark, sf_dir, "historical_trace")
-    ran = units.common_units(trace, load(spark, sf_dir, "trace_sources")).where("field_name = 'realtime'")
+    ran = units.common_units(trace, load(spark, sf_dir, "trace_sources"), ("realtime",))
     # Repeated deliveries of a trace_id share its submit time; the earliest stands if they should not.
     day = trace.where("trace_id IS NOT NULL").groupBy("trace_id").agg(F.min("submit_at").alias("submit_at"))
     real = ran.join(day, "trace_id").select(
