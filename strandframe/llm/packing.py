@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from strandframe.session import written
 
-#: Items of one shard.
-SHARD = 20_000
+#: Items of one shard, and of one shard of the underfull containers: their search takes time in proportion to the square.
+SHARD, POOL = 20_000, 2_000
 PLACED = "size_id int, container_id string, doc_id bigint, piece_no int, n_tokens int, tok_start bigint"
 
 
@@ -87,28 +87,35 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
     none is left; then the next bin gives. The sum grows with each step, so it ends.
     """
     bins = [list(b) for b in bins]
-    fill = np.array([sum(sizes[i] for i in b) for b in bins], dtype=np.int64)
+    size = np.array(sizes, dtype=np.int64)
+    fill = np.array([int(size[b].sum()) if b else 0 for b in bins], dtype=np.int64)
     done = [b for b in range(len(bins)) if fill[b] >= capacity]
     under = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
+    loose = np.array([i for b in under for i in bins[b]], dtype=np.int64)
+    holder = np.zeros(len(size), dtype=np.int64)
+    for b in under:
+        holder[bins[b]] = b
+    partners = np.zeros(len(bins), dtype=bool)
+    partners[under] = True
     for giver in under:
         while bins[giver]:
-            others = np.array([b for b in under if b != giver and fill[b] >= fill[giver] and fill[b] < capacity], dtype=np.int64)
-            if not len(others):
+            takes = partners & (fill >= fill[giver]) & (fill < capacity)
+            takes[giver] = False
+            open_bins = np.nonzero(takes)[0]
+            if not len(open_bins):
                 break
-            held = [(b, i) for b in others for i in bins[b]]
-            owner = np.concatenate([others, np.array([b for b, _ in held], dtype=np.int64)])
-            item = np.concatenate([np.full(len(others), -1), np.array([i for _, i in held], dtype=np.int64)])
-            back = np.concatenate([np.zeros(len(others), np.int64), np.array([sizes[i] for _, i in held], dtype=np.int64)])
+            item = loose[takes[holder[loose]]]
+            owner = np.concatenate([open_bins, holder[item]])
+            back = np.concatenate([np.zeros(len(open_bins), np.int64), size[item]])
             room, lead = capacity - fill[owner], fill[owner] - fill[giver]
             mine = bins[giver]
-            offers = [(i,) for i in mine] + [(i, j) for k, i in enumerate(mine) for j in mine[k + 1 :]]
+            # Offers of one size are as good as each other.
+            offers = {int(size[i]): (i,) for i in mine}
+            offers |= {t: (i, j) for k, i in enumerate(mine) for j in mine[k + 1 :] if (t := int(size[i] + size[j])) not in offers}
             best, pick = 0, None
-            for offer in offers:
-                gain = sum(sizes[i] for i in offer) - back
-                ok = (gain > 0) & (gain <= room)
-                if not ok.any():
-                    continue
-                worth = np.where(ok, gain * (lead + gain), 0)
+            for total, offer in offers.items():
+                gain = total - back
+                worth = np.where((gain > 0) & (gain <= room), gain * (lead + gain), 0)
                 k = int(worth.argmax())
                 if worth[k] > best:
                     best, pick = int(worth[k]), (offer, k)
@@ -119,10 +126,13 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
             for i in offer:
                 mine.remove(i)
                 bins[to].append(i)
-            if item[k] >= 0:
-                bins[to].remove(int(item[k]))
-                mine.append(int(item[k]))
-            moved = sum(sizes[i] for i in offer) - int(back[k])
+                holder[i] = to
+            if k >= len(open_bins):
+                returned = int(item[k - len(open_bins)])
+                bins[to].remove(returned)
+                mine.append(returned)
+                holder[returned] = giver
+            moved = int(size[list(offer)].sum()) - int(back[k])
             fill[to] += moved
             fill[giver] -= moved
     return [bins[b] for b in [*done, *under] if bins[b]]
@@ -155,7 +165,7 @@ def _pack(level: int):
 _PACKED = "size_id int, capacity bigint, doc_id bigint, piece_no int, n_tokens bigint, tok_start bigint, container_id string, is_full boolean"
 
 
-def assign(counts: DataFrame, capacities: DataFrame, shard_items: int = SHARD) -> DataFrame:
+def assign(counts: DataFrame, capacities: DataFrame, shard_items: int = SHARD, pool_items: int = POOL) -> DataFrame:
     """Containers of every capacity: size_id, container_id, doc_id, piece_no, n_tokens, tok_start.
 
     ``counts`` has doc_id (unique) and n_tokens, ``capacities`` (a few fixed rows) size_id and
@@ -173,13 +183,13 @@ def assign(counts: DataFrame, capacities: DataFrame, shard_items: int = SHARD) -
     full = cut.where(F.col("n_tokens") == c)
     rest = cut.where(F.col("n_tokens") < c)
 
-    def spread(items: DataFrame, key, level: int) -> DataFrame:
-        shards = items.groupBy("size_id").agg(F.ceil(F.count(F.lit(1)) / shard_items).alias("shards"))
+    def spread(items: DataFrame, key, level: int, most: int) -> DataFrame:
+        shards = items.groupBy("size_id").agg(F.ceil(F.count(F.lit(1)) / most).alias("shards"))
         sharded = items.join(F.broadcast(shards), "size_id").withColumn("shard", F.pmod(F.xxhash64(*key), F.col("shards")).cast("int"))
         return sharded.drop("shards").groupBy("size_id", "shard").applyInPandas(_pack(level), _PACKED)
 
-    first = written(spread(rest, ["doc_id", "piece_no"], 0))
-    again = spread(first.where(~F.col("is_full")), ["container_id"], 1)
+    first = written(spread(rest, ["doc_id", "piece_no"], 0, shard_items))
+    again = spread(first.where(~F.col("is_full")), ["container_id"], 1, pool_items)
     whole = full.withColumn("container_id", F.format_string("d-%d-%d", "doc_id", "piece_no"))
     columns = ["size_id", "container_id", "doc_id", "piece_no", "n_tokens", "tok_start"]
     return whole.select(*columns).unionByName(first.where("is_full").select(*columns)).unionByName(again.select(*columns))
