@@ -14,16 +14,21 @@ from strandframe.operators import annotation, grouping, intervals, reports
 from strandframe.session import load
 
 
-def _aln(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.latest(load(spark, d, "alignments"), "rec_idx", "loaded_at")
+PLACED = ("flag", "tid", "pos", "cigar")
+JUDGED = (*PLACED, "qname", "body_len")
+
+
+def _aln(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each record once, with no more columns than a query reads: the others are never scanned or sent."""
+    return grouping.latest(load(spark, d, "alignments").select("rec_idx", "loaded_at", *columns), "rec_idx", "loaded_at")
 
 
 def _dups(aln: DataFrame) -> DataFrame:
     return grouping.duplicates(aln, F.col("body_len"))
 
 
-def _marked(spark: SparkSession, d: str) -> DataFrame:
-    aln = _aln(spark, d)
+def _marked(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    aln = _aln(spark, d, *JUDGED, *columns)
     return reports.with_duplicates(aln, _dups(aln))
 
 
@@ -32,7 +37,7 @@ def _genes(spark: SparkSession, d: str, any_case: bool = False) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str, rule) -> DataFrame:
-    spans = _aln(spark, d).select("rec_idx", F.inline(rule(F.col("pos"), cigar.ops(F.col("cigar")))))
+    spans = _aln(spark, d, "pos", "cigar").select("rec_idx", F.inline(rule(F.col("pos"), cigar.ops(F.col("cigar")))))
     return spans.where("start IS NOT NULL")
 
 
@@ -43,52 +48,51 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
 
 def _shapes(spark: SparkSession, d: str) -> DataFrame:
     o = cigar.ops(F.col("cigar"))
-    return _aln(spark, d).select(
+    return _aln(spark, d, "cigar").select(
         "rec_idx", cigar.leading_clip(o).alias("lead_clip"), cigar.trailing_clip(o).alias("trail_clip"), cigar.reference_length(o).alias("ref_length"),
         cigar.query_length(o).alias("query_length"), cigar.total(o, ("N",)).alias("intron_length"),
     )
 
 
 def _bins(spark: SparkSession, d: str) -> DataFrame:
-    placed = _aln(spark, d).where("tid >= 0 AND pos >= 0")
+    placed = _aln(spark, d, *PLACED).where("tid >= 0 AND pos >= 0")
     end = F.col("pos") + F.when(flags.lacks(flags.UNMAPPED), F.greatest(cigar.reference_length(cigar.ops(F.col("cigar"))), F.lit(1))).otherwise(1)
     return placed.groupBy("tid", flags.reg2bin(F.col("pos"), end).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _flag_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    aln = _aln(spark, d)
-    return _dups(aln)
+    return _dups(_aln(spark, d, *JUDGED))
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    aln = _aln(spark, d)
+    aln = _aln(spark, d, *JUDGED)
     return reports.duplication_metrics(aln, _dups(aln))
 
 
 def _mates(spark: SparkSession, d: str) -> DataFrame:
-    kept = _aln(spark, d).where(flags.lacks(flags.NOT_EXAMINED))
+    kept = _aln(spark, d, "qname", "flag").where(flags.lacks(flags.NOT_EXAMINED))
     return grouping.mate_pairs(kept).select("qname", F.col("a.rec_idx").alias("rec_a"), F.col("b.rec_idx").alias("rec_b"))
 
 
 def _rank(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.global_rank(_aln(spark, d).select("rec_idx", "tid", "pos"), ["tid", "pos", "rec_idx"], "coord_rank")
+    return grouping.global_rank(_aln(spark, d, "tid", "pos").drop("loaded_at"), ["tid", "pos", "rec_idx"], "coord_rank")
 
 
 def _junctions(spark: SparkSession, d: str) -> DataFrame:
-    events = reports.junction_events(_marked(spark, d))
+    events = reports.junction_events(_marked(spark, d, "mapq"))
     return reports.junctions(events, _genes(spark, d, True))
 
 
 def _junction_totals(spark: SparkSession, d: str) -> DataFrame:
-    return reports.junction_totals(reports.junction_events(_marked(spark, d)), _genes(spark, d, True))
+    return reports.junction_totals(reports.junction_events(_marked(spark, d, "mapq")), _genes(spark, d, True))
 
 
 QUERIES = {
     "coordinate_rank": _rank,
-    "flagstat": lambda s, d: reports.flagstat(_aln(s, d)),
-    "flagstat_post": lambda s, d: reports.flagstat(_marked(s, d), computed=True),
-    "idxstats": lambda s, d: reports.idxstats(_aln(s, d), load(s, d, "ref_seqs")),
-    "bam_stat": lambda s, d: reports.bam_stat(_marked(s, d)),
+    "flagstat": lambda s, d: reports.flagstat(_aln(s, d, "flag", "tid", "mate_tid", "mapq")),
+    "flagstat_post": lambda s, d: reports.flagstat(_marked(s, d, "mate_tid", "mapq"), computed=True),
+    "idxstats": lambda s, d: reports.idxstats(_aln(s, d, "flag", "tid"), load(s, d, "ref_seqs")),
+    "bam_stat": lambda s, d: reports.bam_stat(_marked(s, d, "mapq", "mate_tid")),
     "mate_pairs": _mates,
     "markdup_flags": _flag_duplicates,
     "markdup_metrics": _metrics,
@@ -96,25 +100,25 @@ QUERIES = {
     "blocks_split": lambda s, d: _spans(s, d, cigar.coverage_blocks),
     "blocks_rseqc": lambda s, d: _spans(s, d, cigar.qc_blocks),
     "introns": lambda s, d: _spans(s, d, cigar.introns),
-    "coverage_sweep": lambda s, d: reports.coverage(_aln(s, d), load(s, d, "ref_seqs")),
+    "coverage_sweep": lambda s, d: reports.coverage(_aln(s, d, *PLACED), load(s, d, "ref_seqs")),
     "reg2bin": _bins,
-    "region_query": lambda s, d: reports.region_query(_aln(s, d), _regions(s, d)),
+    "region_query": lambda s, d: reports.region_query(_aln(s, d, *PLACED), _regions(s, d)),
     "gene_merge": lambda s, d: annotation.merged_exons(_genes(s, d)),
     "gene_length": lambda s, d: annotation.gene_lengths(_genes(s, d)),
-    "gene_hits": lambda s, d: reports.gene_hits(_aln(s, d).where(flags.lacks(flags.NOT_EXAMINED)), _genes(s, d)).select("rec_idx", F.explode("genes").alias("gene_id")),
-    "gene_counts": lambda s, d: reports.gene_counts(_aln(s, d), _genes(s, d)),
-    "dup_matrix": lambda s, d: reports.duplication_matrix(_marked(s, d), _genes(s, d)),
+    "gene_hits": lambda s, d: reports.gene_hits(_aln(s, d, *PLACED).where(flags.lacks(flags.NOT_EXAMINED)), _genes(s, d)).select("rec_idx", F.explode("genes").alias("gene_id")),
+    "gene_counts": lambda s, d: reports.gene_counts(_aln(s, d, *PLACED, "qname", "nh"), _genes(s, d)),
+    "dup_matrix": lambda s, d: reports.duplication_matrix(_marked(s, d, "nh", "mate_pos"), _genes(s, d)),
     "interval_subtract": lambda s, d: annotation.regions(_genes(s, d, True)),
     "region_bases": lambda s, d: intervals.covered(annotation.regions(_genes(s, d, True)), ["class"]),
     "read_distribution": lambda s, d: reports.read_distribution(_marked(s, d), _genes(s, d, True)),
     "junction_annotation": _junctions,
     "junction_totals": _junction_totals,
-    "junction_saturation": lambda s, d: reports.junction_saturation(_marked(s, d), _genes(s, d, True)),
-    "infer_experiment": lambda s, d: reports.infer_experiment(_marked(s, d), _genes(s, d, True)),
-    "inner_distance": lambda s, d: reports.inner_distance(_marked(s, d), _genes(s, d, True)),
-    "pos_dup_hist": lambda s, d: reports.position_duplication(_aln(s, d)),
+    "junction_saturation": lambda s, d: reports.junction_saturation(_marked(s, d, "mapq"), _genes(s, d, True)),
+    "infer_experiment": lambda s, d: reports.infer_experiment(_marked(s, d, "mapq"), _genes(s, d, True)),
+    "inner_distance": lambda s, d: reports.inner_distance(_marked(s, d, "mapq", "mate_tid", "mate_pos"), _genes(s, d, True)),
+    "pos_dup_hist": lambda s, d: reports.position_duplication(_aln(s, d, *PLACED, "mapq")),
     "seq_dup_hist": lambda s, d: grouping.two_level_histogram(load(s, d, "documents"), ["text"]),
-    "aln_qc": lambda s, d: reports.alignment_qc(_aln(s, d), _genes(s, d)),
+    "aln_qc": lambda s, d: reports.alignment_qc(_aln(s, d, *PLACED, "qname", "nh"), _genes(s, d)),
 }
 
 # Pieces of the SQL twins.

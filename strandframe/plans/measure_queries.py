@@ -10,12 +10,12 @@ from strandframe.session import load
 from strandframe.streaming import windows
 
 
-def _timings(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.latest(load(spark, d, "probe_timings"), "timing_id", "received_at")
+def _timings(spark: SparkSession, d: str, value: str = "cpu20_s") -> DataFrame:
+    return grouping.latest(load(spark, d, "probe_timings").select("timing_id", "received_at", "host", "arm", value), "timing_id", "received_at")
 
 
-def _aln(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.latest(load(spark, d, "alignments"), "rec_idx", "loaded_at")
+def _aln(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return grouping.latest(load(spark, d, "alignments").select("rec_idx", "loaded_at", *columns), "rec_idx", "loaded_at")
 
 
 def _arm_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -23,16 +23,16 @@ def _arm_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.lower_quantiles(_timings(spark, d), ["host", "arm"], "gpu_wall_s", [(0, 1), (1, 4), (1, 2), (9, 10), (99, 100), (1, 1)])
+    return grouping.lower_quantiles(_timings(spark, d, "gpu_wall_s"), ["host", "arm"], "gpu_wall_s", [(0, 1), (1, 4), (1, 2), (9, 10), (99, 100), (1, 1)])
 
 
 def _log2(spark: SparkSession, d: str) -> DataFrame:
     span = F.abs(F.col("tlen"))
-    return _aln(spark, d).groupBy(grouping.log2_bin(span).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return _aln(spark, d, "tlen").groupBy(grouping.log2_bin(span).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _attributed(spark: SparkSession, d: str) -> DataFrame:
-    events = _aln(spark, d).select(
+    events = _aln(spark, d, "tid", "flag", "pos", "body_len", "ref_len").select(
         "tid", F.col("flag").bitwiseAND(16).alias("strand"), F.least(F.floor(F.col("pos") / 100_000), F.lit(9)).cast("int").alias("bucket"),
         F.col("body_len").cast("bigint").alias("bytes"), F.col("ref_len").cast("bigint").alias("bases"), F.lit(1).cast("bigint").alias("requests"),
     )
@@ -40,7 +40,7 @@ def _attributed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _workers(spark: SparkSession, d: str) -> DataFrame:
-    stats = _aln(spark, d).select(
+    stats = _aln(spark, d, "qname", "body_len", "ref_len", "flag").select(
         F.substring_index("qname", ":", 2).alias("worker"), F.lit(1).cast("bigint").alias("requests"), F.col("body_len").cast("bigint").alias("bytes"),
         F.col("ref_len").alias("longest"), F.col("flag").alias("status"),
     )
@@ -48,14 +48,14 @@ def _workers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _capture(spark: SparkSession, d: str) -> DataFrame:
-    rows = _aln(spark, d).withColumn("worker", F.substring_index("qname", ":", 2))
+    rows = _aln(spark, d, "qname").withColumn("worker", F.substring_index("qname", ":", 2))
     return measures.bounded_capture(rows, "worker", "qname", "rec_idx", 1_000)
 
 
 def _rollup(spark: SparkSession, d: str) -> DataFrame:
     trace = load(spark, d, "historical_trace")
     ran = units.common_units(trace, load(spark, d, "trace_sources"), ("realtime",))
-    cpu = grouping.latest(trace, "trace_id", "received_at").select("trace_id", "pct_cpu")
+    cpu = grouping.latest(trace.select("trace_id", "received_at", "pct_cpu"), "trace_id", "received_at")
     return measures.trace_rollup(ran.join(cpu, "trace_id").withColumn("process", F.substring_index("entity", " (", 1)), "process", "amount", "pct_cpu")
 
 
@@ -64,7 +64,7 @@ def _topn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cap(spark: SparkSession, d: str) -> DataFrame:
-    kept = _aln(spark, d).where("flag & 4 = 0").select("tid", "pos", "rec_idx")
+    kept = _aln(spark, d, "flag", "tid", "pos").where("flag & 4 = 0").select("tid", "pos", "rec_idx")
     return grouping.ordered_cap(kept, ["tid", "pos", "rec_idx"], 2_000)
 
 
@@ -85,12 +85,12 @@ QUERIES = {
     "paired_ratio": lambda s, d: measures.paired_ratio(_timings(s, d), ["host"], "arm", "real", "synthetic", "cpu20_s"),
     "quantile_lower": _quantiles,
     "log2_hist": _log2,
-    "imbalance_32": lambda s, d: measures.imbalance(_aln(s, d), "rec_idx", F.col("body_len")),
+    "imbalance_32": lambda s, d: measures.imbalance(_aln(s, d, "body_len"), "rec_idx", F.col("body_len")),
     "work_attribution": _attributed,
     "work_reconciled": lambda s, d: measures.reconciled(_attributed(s, d), ["requests", "bytes", "bases"]),
     "worker_stats": _workers,
     "bounded_capture": _capture,
-    "profile_difference": lambda s, d: measures.profile_difference(_aln(s, d), "tid", "nh", 1, 2),
+    "profile_difference": lambda s, d: measures.profile_difference(_aln(s, d, "tid", "nh"), "tid", "nh", 1, 2),
     "trace_rollup": _rollup,
     "topn": _topn,
     "ordered_cap": _cap,
