@@ -17,6 +17,7 @@ from strandframe.functions.flags import (
 )
 from strandframe.operators import annotation, intervals
 from strandframe.operators.grouping import ordered_cap
+from strandframe.session import written
 
 INFER_CAP, DISTANCE_CAP, LEAST_INTRON = 200_000, 1_000_000, 50
 PLACE = ["tid", "pos", "rec_idx"]
@@ -197,7 +198,7 @@ def read_distribution(aln: DataFrame, genes: DataFrame) -> DataFrame:
     tags = kept.groupBy("tid", "pos", "cigar").agg(F.count(F.lit(1)).alias("n")).select(
         "tid", "n", F.explode(cigar.qc_blocks(F.col("pos"), cigar.ops(F.col("cigar")))).alias("b")
     ).groupBy("tid", F.expr("b.start + (b.end - b.start) div 2").alias("point")).agg(F.sum("n").alias("n"))
-    where = annotation.regions(genes)
+    where = written(annotation.regions(genes))
     bit = F.create_map(*[x for i, c in enumerate(annotation.CLASSES) for x in (F.lit(c), F.lit(1 << i))])
     inside = intervals.stab_join(
         tags, where.select("tid", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.element_at(bit, F.col("class")).alias("bit")),
@@ -214,7 +215,7 @@ def read_distribution(aln: DataFrame, genes: DataFrame) -> DataFrame:
         .when(at["down1"], names("down1", "down5", "down10")).when(at["down5"], names("down5", "down10")).when(at["down10"], names("down10"))
         .otherwise(nothing)
     )
-    counted = marked.groupBy(chosen.alias("classes")).agg(F.sum("n").alias("n"))
+    counted = written(marked.groupBy(chosen.alias("classes")).agg(F.sum("n").alias("n")))
     per = counted.select(F.explode("classes").alias("class"), "n").groupBy("class").agg(F.sum("n").alias("tags"))
     base = where.groupBy("class").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
     all_classes = aln.sparkSession.createDataFrame([(c,) for c in annotation.CLASSES], "class string")

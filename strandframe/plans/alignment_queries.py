@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import cigar, flags
 from strandframe.operators import annotation, grouping, intervals, reports
-from strandframe.session import load
+from strandframe.session import load, written
 
 
 PLACED = ("flag", "tid", "pos", "cigar")
@@ -28,8 +28,9 @@ def _dups(aln: DataFrame) -> DataFrame:
 
 
 def _marked(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Records with the computed duplicate mark, written once: reports read it more than once."""
     aln = _aln(spark, d, *JUDGED, *columns)
-    return reports.with_duplicates(aln, _dups(aln))
+    return written(reports.with_duplicates(aln, _dups(aln)))
 
 
 def _genes(spark: SparkSession, d: str, any_case: bool = False) -> DataFrame:

@@ -95,7 +95,60 @@ WITH once AS (
 )
 """
 
+_CHANGES = r"""
+WITH f AS (
+  SELECT 'a' AS src, * FROM source_sha256 WHERE file_id IS NOT NULL AND evidence_dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1
+  UNION ALL SELECT 'b', * FROM summaries WHERE file_id IS NOT NULL AND evidence_dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1),
+o AS (SELECT *, row_number() OVER w AS seq, lead(file_id) OVER w AS next_id FROM f WINDOW w AS (PARTITION BY src, evidence_dir ORDER BY captured_at, file_id)),
+raw AS (
+  SELECT src, evidence_dir, file_id, next_id, seq, t.type, t.atom->>'$' AS val,
+         array_to_string(list_transform(regexp_extract_all(substr(t.fullkey, 2), '\.("[^"]*"|[^."\[]+)', 1), lambda x: trim(x, '"')), '>') AS field
+  FROM o, json_tree(o.payload) t WHERE src = 'a' AND t.type <> 'OBJECT' AND NOT contains(regexp_replace(t.fullkey, '"[^"]*"', '', 'g'), '[')
+  UNION ALL SELECT src, evidence_dir, file_id, next_id, seq, t.type, t.atom->>'$', t.key FROM o, json_each(o.payload) t WHERE src = 'b'),
+r AS (
+  SELECT *, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT') THEN 'integer' WHEN type = 'DOUBLE' THEN 'float' WHEN type <> 'NULL' THEN lower(type) END AS jt FROM raw),
+l AS (
+  SELECT *, lag(seq) OVER w AS prev, lead(seq) OVER w AS nxt,
+         last_value(jt IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_type
+  FROM r WINDOW w AS (PARTITION BY src, evidence_dir, field ORDER BY seq)),
+born AS (SELECT * FROM l WHERE seq > 1 AND (prev IS NULL OR prev < seq - 1)),
+gone AS (SELECT src, evidence_dir, next_id AS here, field, val, coalesce(jt, last_type) AS jt FROM l WHERE next_id IS NOT NULL AND (nxt IS NULL OR nxt > seq + 1)),
+one AS (SELECT src, evidence_dir, here, val, any_value(field) AS was, any_value(jt) AS old_type FROM gone WHERE val IS NOT NULL GROUP BY src, evidence_dir, here, val HAVING count(*) = 1),
+met AS (SELECT b.*, x.was, x.old_type FROM born b LEFT JOIN one x ON x.src = b.src AND x.evidence_dir = b.evidence_dir AND x.here = b.file_id AND x.val = b.val)
+SELECT DISTINCT file_id, field AS field_name, CASE WHEN was IS NULL THEN 'added' ELSE 'renamed' END AS change_kind FROM met
+UNION ALL SELECT DISTINCT here, field, 'removed' FROM gone WHERE (src, evidence_dir, here, field) NOT IN (SELECT (src, evidence_dir, file_id, was) FROM met WHERE was IS NOT NULL)
+UNION ALL SELECT DISTINCT file_id, field, 'retyped' FROM met WHERE was IS NOT NULL AND jt <> old_type
+UNION ALL SELECT DISTINCT file_id, field, 'retyped' FROM l WHERE prev = seq - 1 AND jt <> last_type
+"""
+
+_ELEMENTS = r"""
+WITH f AS (
+  SELECT 's' AS src, file_id, payload FROM summaries WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1
+  UNION ALL SELECT 'c', file_id, payload FROM split_counters WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1),
+n AS (
+  SELECT src, file_id, payload, replace(t.fullkey, '"', '') AS k, t.fullkey, t.atom->>'$' AS v FROM f, json_tree(f.payload) t WHERE t.atom IS NOT NULL AND t.type <> 'NULL'),
+m AS (
+  SELECT *, coalesce(try_cast(nullif(regexp_extract(k, '^\$\.(?:runs|lanes)\[(\d+)\]', 1), '') AS BIGINT), 0) AS run_no,
+    regexp_extract(k, '^(\$\.(?:(?:runs|lanes)\[\d+\]\.)?arms\[\d+\])\.(?:cpu20_s|gpu_wall_s)', 1) AS arm_at,
+    regexp_extract(k, '^\$\.(?:(?:runs|lanes)\[\d+\]\.)?arms\.([^.\[]+)\.(?:cpu20_s|gpu_wall_s)', 1) AS arm_key,
+    regexp_extract(k, '^\$\.(?:(?:runs|lanes)\[\d+\]\.)?(inner|direct)\.calls_by_direction', 1) AS side,
+    regexp_extract(k, '\.(cpu20_s|gpu_wall_s)(?:\[\d+\](?:\.s)?)?$', 1) AS timing,
+    regexp_extract(k, '^(.*\.calls_by_direction\[\d+\])\.calls$', 1) AS obj
+  FROM n)
+SELECT DISTINCT file_id, run_no, CASE WHEN arm_at <> '' THEN json_extract_string(payload, arm_at || '.arm') ELSE arm_key END AS arm, timing AS field_name,
+  coalesce(try_cast(nullif(regexp_extract(k, '\.(?:cpu20_s|gpu_wall_s)\[(\d+)\]', 1), '') AS BIGINT), 0) AS elem_no,
+  round(v::DECIMAL(28, 10) * 1000000000)::BIGINT AS amount
+FROM m WHERE src = 's' AND timing <> '' AND (arm_at <> '' OR arm_key <> '')
+UNION ALL
+SELECT DISTINCT file_id, run_no, side, 'calls_by_direction',
+  CASE WHEN obj <> '' THEN json_extract_string(payload, obj || '.dir')::BIGINT ELSE regexp_extract(k, 'calls_by_direction[.\[](\d+)\]?$', 1)::BIGINT END,
+  round(replace(v, ',', '')::DECIMAL(28, 10))::BIGINT
+FROM m WHERE src = 'c' AND side <> '' AND (obj <> '' OR regexp_matches(k, 'calls_by_direction[.\[](\d+)\]?$'))
+"""
+
 ORACLES = {
+    "p1_found": _CHANGES,
+    "p2_found": _ELEMENTS,
     "p3_found": _ONCE + "SELECT tid, pos FROM places WHERE n_mapped > 0 AND n_mapped >= 0.01 * (SELECT sum(n_mapped) FROM places)",
     "p3_places": _ONCE + "SELECT * FROM places",
 }
