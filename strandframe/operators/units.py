@@ -127,7 +127,7 @@ def figures(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*T
 
     Deliveries of one ``trace_id`` count once, the latest by ``received_at`` stands. Empty
     text, null and marks for "none" (-, n/a, none, null, nan) are no values, nor is text
-    without a figure. ``columns`` says which to read. ``x`` is the figure; for clocks and compound durations it is in
+    without a figure. A null source is one of its own (-1). ``columns`` says which to read. ``x`` is the figure; for clocks and compound durations it is in
     milliseconds already. ``mark`` says where the unit comes from: own, remark, note or none.
     """
     row = F.struct("received_at", "source_id", "task_name", "remark", *columns)
@@ -141,7 +141,7 @@ def figures(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*T
         )
         for c in columns
     ]
-    long = once.select("trace_id", "source_id", F.regexp_replace("task_name", r"\s+", " ").alias("entity"), F.inline(F.array(*each))).where(
+    long = once.select("trace_id", F.coalesce("source_id", F.lit(-1)).alias("source_id"), F.regexp_replace("task_name", r"\s+", " ").alias("entity"), F.inline(F.array(*each))).where(
         F.col("raw").isNotNull() & ~F.lower("raw").isin("", "-", "--", "n/a", "na", "none", "null", "nan", "\u2014")
     )
     # The table of sources is fixed (a dozen rows), and each gives a handful of facts.

@@ -82,5 +82,11 @@ def test_sizes(spark, text, remark, note, want):
     assert [r.amount for r in got] == ([] if want is None else [want])
 
 
+def test_null_source_and_name(spark):
+    rows = [(1, None, None, "2 s", None, "3", None, None, None, None), (2, 1, "t", "4 s", None, None, None, None, None, None), (None, 1, "t", "4 s", None, None, None, None, None, None)]
+    got = units.common_units(spark.createDataFrame(rows, TRACE), spark.createDataFrame([(1, "a", "b", None), (None, "a", "b", "memory bytes")], SOURCES))
+    assert {(r.trace_id, r.field_name, r.amount) for r in got.collect()} == {(1, "duration", 2000), (2, "duration", 4000)}
+
+
 def test_empty(spark):
     assert units.common_units(spark.createDataFrame([], TRACE), spark.createDataFrame([], SOURCES)).count() == 0
