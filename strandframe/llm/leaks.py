@@ -97,8 +97,8 @@ def index(documents: DataFrame, queries: Queries, id_column: str = "doc_id", tex
     """The positional index: doc_id, n_tokens, terms (ascending), positions (ascending within a term).
 
     Holds the postings of every document; words that are no item's are left out. A word
-    with one wrong letter is posted under the term it stands for. Null and empty texts have
-    no postings. Positions count tokens from 0.
+    with one wrong letter is posted under the term it stands for. Null and empty texts and
+    rows without an id have no postings. Positions count tokens from 0.
     """
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +119,7 @@ def index(documents: DataFrame, queries: Queries, id_column: str = "doc_id", tex
                     known = dict(queries.vocabulary)
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "terms", "positions"])
 
-    docs = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where(F.length("text") > 0)
+    docs = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     return docs.mapInPandas(post, "doc_id bigint, n_tokens int, terms array<int>, positions array<int>")
 
 

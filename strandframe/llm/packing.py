@@ -44,7 +44,7 @@ def _encoding(path: str, pattern: str):
 
 
 def token_counts(documents: DataFrame, path: str | None = None, pattern: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and n_tokens of every document with text; null and empty texts have no tokens and no row.
+    """doc_id and n_tokens of every document with text; null and empty texts have no tokens and no row, nor has a row without an id.
 
     Strings that look like special tokens are ordinary text.
     """
@@ -58,7 +58,7 @@ def token_counts(documents: DataFrame, path: str | None = None, pattern: str | N
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array([len(encode(t)) for t in batch["text"]], "int64")})
 
     docs = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return docs.where(F.length("text") > 0).mapInPandas(count, "doc_id bigint, n_tokens bigint")
+    return docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).mapInPandas(count, "doc_id bigint, n_tokens bigint")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -324,13 +324,13 @@ def _start_states(functions: pd.DataFrame) -> pd.DataFrame:
 def sentence_units(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, sent_start, sent_end of every unit; positions are code points, the end exclusive.
 
-    Null and empty texts, and texts of white space alone, have no units. The id must be
+    Null and empty texts, texts of white space alone and rows without an id have no units. The id must be
     unique; other columns are ignored. Depth of quotation
     is followed to three; deeper marks count as the third. Documents longer than ``chunk``
     take the chunked way, which gives the same units (white space runs over the margin of
     1,024 characters at a seam aside).
     """
-    docs = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where(F.length("text") > 0)
+    docs = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     short = docs.where(F.length("text") <= chunk).mapInPandas(_short, "doc_id bigint, sent_start bigint, sent_end bigint")
 
     size = F.length("text")

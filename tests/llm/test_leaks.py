@@ -46,7 +46,7 @@ CASES = {
 def found(spark):
     names = list(CASES)
     docs = spark.createDataFrame([(i, CASES[n][0], "en") for i, n in enumerate(names)] + [(90, None, None), (91, ZH.replace("，", " , ") + FILL, "x"), (92, ZH[:20], "x"),
-                                                                                          (93, ITEM, "x")], "doc_id int, text string, item_id string")
+                                                                                          (93, ITEM, "x"), (None, ITEM, "x")], "doc_id int, text string, item_id string")
     items = spark.createDataFrame([(7, ITEM, 1), (7, ITEM, 1), (8, ZH, 1), (9, None, 1), (10, "?!", 1), (None, ITEM, 1)], "item_id int, item_text string, doc_id int")
     rows = L.leaked(docs, items).collect()
     assert len({(r.item_id, r.doc_id) for r in rows}) == len(rows)

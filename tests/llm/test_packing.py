@@ -63,7 +63,7 @@ def test_search_never_lowers_the_fill():
 
 
 def test_documents(spark):
-    rows = [(1, None, 0), (2, "", 0), (3, "word " * 700, 0), (4, "<|endoftext|> plain", 0)]
+    rows = [(1, None, 0), (2, "", 0), (3, "word " * 700, 0), (4, "<|endoftext|> plain", 0), (None, "x", 0)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, n_tokens int")
     counts = {r.doc_id: r.n_tokens for r in P.token_counts(docs).collect()}
     assert set(counts) == {3, 4} and counts[3] >= 700 and counts[4] > 2

@@ -69,7 +69,7 @@ def test_every_character_is_in_one_unit(spark, sf):
 
 
 def test_nulls_empty_and_clashing_columns(spark):
-    rows = [(1, None, 0), (2, "", 0), (3, "  ", 0), (4, "Aa bb. Cc dd.", 0)]
+    rows = [(1, None, 0), (2, "", 0), (3, "  ", 0), (4, "Aa bb. Cc dd.", 0), (None, "Aa.", 0)]
     got = S.sentence_units(spark.createDataFrame(rows, "doc_id int, text string, sent_start int"))
     assert sorted(map(tuple, got.collect())) == [(4, 0, 6), (4, 7, 13)]
     assert S.sentence_units(spark.createDataFrame([], "doc_id int, text string")).count() == 0
