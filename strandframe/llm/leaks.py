@@ -3,10 +3,10 @@
 Training tokens that occur in any test item are stored as postings: per document its
 length and, per term, the positions. The index is spread over the cluster by document. From
 it come the document frequencies of the terms, which order each item's word pairs by
-rarity. A document's postings of an item's rarest pairs, shifted by their place in the item,
-meet on one diagonal where the passage stands; items and documents that meet often enough
-go on to the check. The check walks the diagonals with all terms, joins them in the item's
-order, and counts the words that stand in passages of several words at a stretch.
+rarity. The rarest pairs, so many that no match can do without all of them, nominate documents
+for an item. In these the postings of all pairs, shifted by their place in the item, meet on
+one diagonal where a passage stands. The check walks these diagonals, joins the passages in the
+item's order, and counts the words that stand in passages of several words at a stretch.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ STRETCH, STRETCH_CJK = 4, 6
 GAP = 2
 #: Words up to this length are taken as they are, longer ones also with a wrong letter.
 LEAST_FUZZY = 4
-#: Share of an item's places whose rarest word pairs begin the search.
-RAREST = 0.6
+#: Mark of a pair of Chinese or Japanese signs over a third one that is some item's.
+OVER = GAP + 1
 #: Words a task remembers before it starts afresh.
 MEMO = 1_000_000
 
@@ -86,12 +86,40 @@ class Queries:
         return found
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All adjacent word pairs of the items: key, item number, place."""
-        keys = [t[:-1] * self.size + t[1:] for t in self.terms]
-        owner = [np.full(len(k), n) for n, k in enumerate(keys)]
-        place = [np.arange(len(k)) for k in keys]
+        """All pairs of item words that can stand next to each other in a passage: key, item number, place.
+
+        Words meet over up to ``GAP`` words that are no item's; for Chinese and Japanese over one
+        sign, whatever it is. The key (see :meth:`key`) says which of these it is.
+        """
+        keys, owner, place = [], [], []
+        for n, (t, cjk) in enumerate(zip(self.terms, self.cjk)):
+            for kind, span in [(0, 1), (1, 2), (OVER, 2)] if cjk else [(d, d + 1) for d in range(GAP + 1)]:
+                keys.append(self.key(kind, t[:-span], t[span:]))
+                owner.append(np.full(len(keys[-1]), n))
+                place.append(np.arange(len(keys[-1])))
         return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (keys, owner, place))
 
+    def key(self, kind, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """A pair as one number: ``kind`` words of no item stand between (``OVER``: one of some item)."""
+        return (kind * self.size + first) * self.size + second
+
+    def span(self, keys: np.ndarray) -> np.ndarray:
+        """How far apart the words of a pair stand."""
+        kind = keys // self.size**2
+        return np.where(kind == OVER, 2, kind + 1)
+
+    def pairs_of(self, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of a document: key, place. Any passage of any item holds one at each of its steps."""
+        at = np.nonzero(dense)[0]
+        kind = np.diff(at) - 1
+        near = kind <= GAP
+        first, second, kind = at[:-1][near], at[1:][near], kind[near]
+        keys = self.key(kind, dense[first], dense[second])
+        if any(self.cjk):
+            over = np.nonzero((dense[:-2] > 0) & (dense[1:-1] > 0) & (dense[2:] > 0))[0]
+            keys, first = np.concatenate([keys, self.key(OVER, dense[over], dense[over + 2])]), np.concatenate([first, over])
+        return keys, first
+
 
 def index(documents: DataFrame, queries: Queries, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The positional index: doc_id, n_tokens, terms (ascending), positions (ascending within a term).
@@ -131,15 +159,14 @@ def _dense(terms, positions, n_tokens: int) -> np.ndarray:
 
 
 def pair_frequencies(postings: DataFrame, queries: Queries) -> dict[int, int]:
-    """Documents that hold each word pair of the items: at most as many numbers as the items have words."""
+    """Documents that hold each word pair of the items: a few numbers for each word of the items. Pairs in no document are left out."""
     wanted, size = np.unique(queries.pairs()[0]), queries.size
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(wanted), dtype=np.int64)
         for batch in batches:
             for terms, positions, n in zip(batch["terms"], batch["positions"], batch["n_tokens"]):
-                dense = _dense(terms, positions, n)
-                keys = np.unique((dense[:-1] * size + dense[1:])[(dense[:-1] > 0) & (dense[1:] > 0)])
+                keys = np.unique(queries.pairs_of(_dense(terms, positions, n))[0])
                 at = np.searchsorted(wanted, keys)
                 ok = at < len(wanted)
                 ok[ok] = wanted[at[ok]] == keys[ok]
@@ -153,16 +180,34 @@ def pair_frequencies(postings: DataFrame, queries: Queries) -> dict[int, int]:
     return {r.key: r.n for r in counts.groupBy("key").agg(F.sum("n").alias("n")).collect()}
 
 
-def anchors(queries: Queries, frequencies: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rarest word pairs of each item (``RAREST`` of its places), sorted by key: key, item number, place."""
+def _stretch(cjk: bool) -> int:
+    return STRETCH_CJK if cjk else STRETCH
+
+
+def anchors(queries: Queries, frequencies: dict[int, int], least: float = 0.5) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The items' pairs that occur, sorted by key (key, item number, place), and which of them begin the search.
+
+    A step leads from an item's word to the next. Passages that hold ``least`` of the words
+    have at least (stretch - 1) / stretch times as many steps, each within one of their pairs. The
+    commonest pairs are left out as long as all of them together reach fewer steps: so every match
+    holds one of the others, the rarest, however common its passage is.
+    """
     key, owner, place = queries.pairs()
     often = np.array([frequencies.get(int(k), 0) for k in key], dtype=np.int64)
-    rank = np.lexsort((place, often, owner))
-    first = np.searchsorted(owner[rank], owner[rank])
-    length = np.bincount(owner, minlength=len(queries.items))[owner[rank]]
-    keep = rank[(np.arange(len(rank)) - first) < np.maximum(1, np.ceil(RAREST * length))]
-    keep = keep[np.argsort(key[keep], kind="stable")]
-    return key[keep], owner[keep], place[keep]
+    order = np.nonzero(often)[0]
+    order = order[np.argsort(key[order], kind="stable")]
+    key, owner, place, often = key[order], owner[order], place[order], often[order]
+    span, begins = queries.span(key), np.ones(len(key), dtype=bool)
+    for n, (item, cjk) in enumerate(zip(queries.terms, queries.cjk)):
+        steps = least * len(item) * (_stretch(cjk) - 1) / _stretch(cjk)
+        mine = np.nonzero(owner == n)[0]
+        reached: set[int] = set()
+        for k in mine[np.lexsort((place[mine], -often[mine]))]:
+            reached.update(range(place[k], place[k] + span[k]))
+            if len(reached) >= steps:
+                break
+            begins[k] = False
+    return (key, owner, place), begins
 
 
 def stretches(item: np.ndarray, dense: np.ndarray, diagonal: int, cjk: bool) -> list[tuple[int, int, int]]:
@@ -183,7 +228,7 @@ def stretches(item: np.ndarray, dense: np.ndarray, diagonal: int, cjk: bool) ->
         other = np.cumsum((part > 0) & ~right)
         breaks = (np.diff(at) > GAP + 1) | (other[at[1:]] != other[at[:-1]])
     starts, ends = at[np.concatenate([[True], breaks])], at[np.concatenate([breaks, [True]])]
-    least = STRETCH_CJK if cjk else STRETCH
+    least = _stretch(cjk)
     return [(int(a + low), int(a + low + diagonal), int(b - a + 1)) for a, b in zip(starts, ends) if b - a + 1 >= least]
 
 
@@ -202,36 +247,64 @@ def in_order(runs: list[tuple[int, int, int]]) -> tuple[int, int]:
     return max(best, default=(0, 0))
 
 
-def matches(postings: DataFrame, queries: Queries, picked: tuple[np.ndarray, np.ndarray, np.ndarray], least: float = 0.5) -> DataFrame:
+def _hits(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (number in ``keys``, number in ``wanted``) of equal keys; ``wanted`` is sorted."""
+    lo = np.searchsorted(wanted, keys, "left")
+    times = np.searchsorted(wanted, keys, "right") - lo
+    return np.repeat(np.arange(len(keys)), times), np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
+def _runs(owner: np.ndarray, place: np.ndarray, at: np.ndarray, span: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All passages of all items in one document from its pairs: item number, item place, document place, length.
+
+    On each diagonal a pair that begins where the one before it ends goes on with its
+    passage, so these are the :func:`stretches` of every diagonal.
+    """
+    line = at - place
+    order = np.lexsort((span, place, line, owner))
+    owner, place, line, end = owner[order], place[order], line[order], (place + span)[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1]) | (place[1:] > end[:-1])
+    first = np.nonzero(new)[0]
+    last = np.append(first[1:], len(order)) - 1
+    words = end[last] - place[first] + 1
+    first, words = first[words >= stretch[owner[first]]], words[words >= stretch[owner[first]]]
+    return owner[first], place[first], place[first] + line[first], words
+
+
+def matches(postings: DataFrame, queries: Queries, picked: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray], least: float = 0.5) -> DataFrame:
     """item_id, doc_id, n_words, n_found, n_passages, kind for every item that a document holds.
 
-    The postings of the rarest pairs are shifted by their place in the item and intersected:
-    two on one diagonal make it a candidate. Each candidate diagonal is then read with all
-    terms. ``least`` is the share of the item's words that must be found; ``kind`` is
-    ``phrase`` where the whole item stands in one passage, else ``proximity``.
+    One of an item's rarest pairs makes the document a candidate for it. There the postings
+    of all its pairs are shifted by their place in the item, and the passages on every diagonal that
+    one of them touches are read. ``picked`` comes from :func:`anchors` with
+    the same ``least``, the share of the item's words that must be found; ``kind`` is ``phrase``
+    where the whole item stands in one passage, else ``proximity``.
     """
-    keys, owner, place = picked
-    size = queries.size
+    (keys, owner, place), begins = picked
+    rare, rare_owner, span = keys[begins], owner[begins], queries.span(keys)
+    stretch = np.array([_stretch(c) for c in queries.cjk], dtype=np.int64)
+    least_words = np.array([least * len(t) for t in queries.terms])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, terms, positions, n in zip(batch["doc_id"], batch["terms"], batch["positions"], batch["n_tokens"]):
                 dense = _dense(terms, positions, n)
-                at = np.nonzero((dense[:-1] > 0) & (dense[1:] > 0))[0]
-                pair = dense[at] * size + dense[at + 1]
-                lo, hi = np.searchsorted(keys, pair, "left"), np.searchsorted(keys, pair, "right")
-                times = hi - lo
-                if times.sum() < 2:
+                pair, at = queries.pairs_of(dense)
+                candidate = np.zeros(len(queries.items), dtype=bool)
+                candidate[rare_owner[_hits(pair, rare)[1]]] = True
+                if not candidate.any():
                     continue
-                doc_at = np.repeat(at, times)
-                hit = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-                lines, counts = np.unique(np.stack([owner[hit], doc_at - place[hit]]), axis=1, return_counts=True)
-                lines = lines[:, counts >= 2]
-                for k in np.unique(lines[0]):
-                    item = queries.terms[k]
-                    runs = [r for line in lines[1][lines[0] == k] for r in stretches(item, dense, int(line), queries.cjk[k])]
-                    if sum(r[2] for r in runs) < least * len(item):
+                which, hit = _hits(pair, keys)
+                ours = candidate[owner[hit]]
+                which, hit = which[ours], hit[ours]
+                of, start, at, words = _runs(owner[hit], place[hit], at[which], span[hit], stretch)
+                for k in np.nonzero(np.bincount(of, words, len(least_words)) >= least_words)[0]:
+                    mine, item = of == k, queries.terms[k]
+                    runs = list(zip(start[mine].tolist(), at[mine].tolist(), words[mine].tolist()))
+                    # Passages in order hold no more of the item than all passages together.
+                    if len({w for i, _, m in runs for w in range(i, i + m)}) < least * len(item):
                         continue
                     found, passages = in_order(runs)
                     if found >= least * len(item):
@@ -252,4 +325,4 @@ def leaked(documents: DataFrame, items: DataFrame, least: float = 0.5) -> DataFr
     rows = items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("item_text").alias("text")).collect()
     queries = Queries([(r.item_id, r.text) for r in rows])
     postings = written(index(documents, queries))
-    return matches(postings, queries, anchors(queries, pair_frequencies(postings, queries)), least)
+    return matches(postings, queries, anchors(queries, pair_frequencies(postings, queries), least), least)

@@ -85,3 +85,46 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id int, text string"), spark.createDataFrame([], "item_id int, item_text string")
     full = spark.createDataFrame([(1, ITEM)], "doc_id int, text string")
     assert L.leaked(docs, spark.createDataFrame([(1, ITEM)], "item_id int, item_text string")).count() == 0 and L.leaked(full, items).count() == 0
+
+
+def test_passages_apart_foreign_pairs_and_common_halves(spark):
+    """Halves in two passages, and halves that most documents hold, beside items that no document holds half of."""
+    words = [f"{a}{b}" for a in ("bran", "cold", "dusk", "fern", "glen", "holt", "iron", "jade") for b in ("amber", "bison", "cedar", "delta", "ember", "flint", "grove", "heron", "inlet", "juniper")]
+    item = " ".join(words)
+    cases = {
+        "two passages": (words[:20] + ["q1", "q2", "q3", "q4", "q5"] + words[20:40], True), "last half": (["q1"] * 9 + words[40:], True),
+        "far passages": (words[5:15] + ["q1"] * 70 + words[30:40] + ["q1"] * 9 + words[45:55] + ["q1"] * 9 + words[70:], True),
+        "gaps at every word": ([x for w in words[:42] for x in (w, "q1")], False), "fours": ([x for i in range(0, 80, 8) for x in [*words[i : i + 4], "q1", "q1", "q1"]], True),
+        "too little": (words[:20] + ["q1"] * 5 + words[20:39], False), "shuffled": (shuffled(item).split(), False),
+    }
+    docs = [(i, " ".join(w)) for i, (w, _) in enumerate(cases.values())] + [(100 + i, " ".join(words[:40])) for i in range(9)]
+    # One letter more or less makes no difference to a word: the second item has its own.
+    items = spark.createDataFrame([(1, item), (2, " ".join(w[::-1] for w in words))], "item_id int, item_text string")
+    got = {(r.item_id, r.doc_id): r for r in L.leaked(spark.createDataFrame(docs, "doc_id int, text string"), items).collect()}
+    assert set(got) == {(1, i) for i, (_, held) in enumerate(cases.values()) if held} | {(1, 100 + i) for i in range(9)}
+    assert (got[1, 0].n_found, got[1, 0].n_passages) == (40, 2)
+
+
+@pytest.mark.parametrize("signs", [False, True])
+def test_random_passages_against_all_alignments(spark, signs):
+    import numpy as np
+
+    rng = random.Random(5)
+    known = [chr(0x4E00 + i) for i in range(30)] if signs else [a + b for a in "bcdfg" for b in ("a", "e", "i", "o", "u", "y")]
+    items = [(i, " ".join(rng.choices(known, k=24))) for i in range(4)]
+    docs = []
+    for d in range(150):
+        item, text = rng.choice(items)[1].split(), []
+        for at in range(0, 24, 6):
+            text += [w if rng.random() < 0.7 else rng.choice(["q", *known[:2]]) for w in item[at : at + 6]] * (rng.random() < 0.9) + ["q"] * rng.choice([0, 0, 1, 5])
+        docs.append((d, " ".join(text)))
+    queries, want = L.Queries(items), set()
+    for d, text in docs:
+        dense = np.array([queries.vocabulary.get(w, 0) for w in L.tokens(text)], dtype="int64")
+        for k, item in enumerate(queries.terms):
+            runs = [x for line in range(-len(item) + 1, len(dense)) for x in L.stretches(item, dense, line, queries.cjk[k])]
+            if L.in_order(runs)[0] >= 0.5 * len(item):
+                want.add((k, d))
+    columns = "doc_id int, text string", "item_id int, item_text string"
+    got = L.leaked(spark.createDataFrame(docs, columns[0]), spark.createDataFrame(items, columns[1])).collect()
+    assert {(r.item_id, r.doc_id) for r in got} == want and 20 < len(want) < 150
