@@ -1,4 +1,4 @@
-"""Test passages inside a training corpus (positional inverted index).
+"""Test passages inside a training corpus (positional postings by document, scanned).
 
 Training tokens that occur in any test item are stored as postings: per document its
 length and, per term, the positions. The index is spread over the cluster by document. From
