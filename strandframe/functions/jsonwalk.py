@@ -50,6 +50,31 @@ def scalar(value) -> str | None:
     return str(value) if isinstance(value, str) else None
 
 
+class _Mark(str):
+    """Punctuation of a JSON text."""
+
+
+def nested(value) -> str | None:
+    """An array or object as JSON text, its number literals as written; None for scalars and null."""
+    if not isinstance(value, (dict, list)):
+        return None
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, (_Mark, _Int, _Float)):
+            out.append(v)
+        elif isinstance(v, (dict, list)):
+            inner: list = []
+            for item in v:
+                inner.append(_Mark("," if inner else ""))
+                inner += [_Mark(json.dumps(item) + ":"), v[item]] if isinstance(v, dict) else [item]
+            marks = "{}" if isinstance(v, dict) else "[]"
+            todo += [_Mark(marks[1]), *reversed(inner), _Mark(marks[0])]
+        else:
+            out.append(json.dumps(v))
+    return "".join(out)
+
+
 def _leaves(value: dict, prefix: str = ""):
     for name, item in value.items():
         path = f"{prefix}>{name}" if prefix else name
@@ -59,19 +84,19 @@ def _leaves(value: dict, prefix: str = ""):
             yield path, item
 
 
-FIELDS = ArrayType(StructType([StructField(n, StringType()) for n in ("field", "jtype", "value")]))
+FIELDS = ArrayType(StructType([StructField(n, StringType()) for n in ("field", "jtype", "value", "nested")]))
 
 
 @F.pandas_udf(FIELDS)
 def leaf_fields(payloads: pd.Series) -> pd.Series:
     """Every value that is not an object, named by its keys joined with '>'; null if unreadable."""
-    return payloads.map(lambda p: [(n, kind(v), scalar(v)) for n, v in _leaves(d)] if isinstance(d := parse(p), dict) else None)
+    return payloads.map(lambda p: [(n, kind(v), scalar(v), nested(v)) for n, v in _leaves(d)] if isinstance(d := parse(p), dict) else None)
 
 
 @F.pandas_udf(FIELDS)
 def top_fields(payloads: pd.Series) -> pd.Series:
     """The top-level keys; null if unreadable or not an object."""
-    return payloads.map(lambda p: [(n, kind(v), scalar(v)) for n, v in d.items()] if isinstance(d := parse(p), dict) else None)
+    return payloads.map(lambda p: [(n, kind(v), scalar(v), nested(v)) for n, v in d.items()] if isinstance(d := parse(p), dict) else None)
 
 
 NODES = ArrayType(StructType([

@@ -40,8 +40,8 @@ def file_fields(files: DataFrame, source: str, fields) -> DataFrame:
 def lifespan_rows(files: DataFrame) -> DataFrame:
     """The fields of :func:`file_fields` as rows with island numbers and the last known type.
 
-    Columns: source, producer, file_id, next_file_id, seq, field, jtype, value, starts,
-    ends, island, last_type. A null keeps the field's last type. The empty field list of a
+    Columns: source, producer, file_id, next_file_id, seq, field, jtype, value, nested,
+    starts, ends, island, last_type. A null keeps the field's last type. The empty field list of a
     file gives no rows, but its neighbours still see the gap.
     """
     rows = files.select(*SERIES, "file_id", "next_file_id", "seq", F.inline("fields"))
@@ -124,32 +124,59 @@ def _roots(events: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source", "producer", "field", "island", "canonical"])
 
 
+#: A scalar read as a number, thousands separators dropped; null if it is none.
+NUMBER = "try_cast(regexp_replace(value, '(?<=[0-9]),(?=[0-9]{3})', '') as decimal(28,9))"
+
+
 def alias_table(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """source, producer, field, island, canonical: the lineage name of every renamed lifespan.
+    """source, producer, field, island, canonical, target_type: lineage name and type of every lifespan.
 
-    Groups are the renames of one series; the series grow in number, not in length, so a
+    The type is that of the whole lineage: ``json`` if any of its files holds an array or
+    object, ``decimal`` if a number was written in any or all its values read as numbers,
+    ``boolean`` if it holds nothing else, ``string`` otherwise; null if all are null. Groups of
+    ``_roots`` are the renames of one series; the series grow in number, not in length, so a
     group stays small.
     """
     named = log.where(F.col("change_kind") == "renamed").select(*SERIES, "file_id", "field_name", "old_name", "island")
     at = rows.where("starts").select(*SERIES, "file_id", F.col("field").alias("field_name"), "seq")
     events = named.join(at, [*SERIES, "file_id", "field_name"])
-    return events.groupBy(*SERIES).applyInPandas(
+    renamed = events.groupBy(*SERIES).applyInPandas(
         _roots, "source string, producer string, field string, island bigint, canonical string"
     )
+    has = lambda *kinds: F.bool_or(F.col("jtype").isin(*kinds))
+    spans = rows.groupBy(*SERIES, "field", "island").agg(
+        has("array", "object").alias("json"), has("integer", "float").alias("number"), has("boolean").alias("boolean"),
+        has("string").alias("string"), F.bool_and(F.when(F.col("jtype") == "string", F.expr(NUMBER).isNotNull())).alias("reads"),
+    ).join(renamed, [*SERIES, "field", "island"], "left").withColumn("canonical", F.coalesce("canonical", "field"))
+    types = spans.groupBy(*SERIES, "canonical").agg(
+        *[F.bool_or(c).alias(c) for c in ("json", "number", "boolean", "string")], F.bool_and("reads").alias("reads")
+    ).select(
+        *SERIES, "canonical",
+        F.when(F.col("json"), "json").when(F.col("boolean") & ~F.col("number") & ~F.col("string"), "boolean")
+        .when(~F.col("boolean") & (F.col("number") | F.col("reads")), "decimal")
+        .when(F.col("boolean") | F.col("string"), "string").alias("target_type"),
+    )
+    return spans.select(*SERIES, "field", "island", "canonical").join(types, [*SERIES, "canonical"])
 
 
 def unified(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """All files in one long table: source, file_id, field_name, source_name, json_type, value_text, value_num.
+    """All files in one long table: source, producer, file_id, seq, field_name, source_name, json_type, target_type and values.
 
-    ``field_name`` is the lineage name of the alias table, ``value_num`` the value cast to a
-    decimal wherever it reads as a number (thousands separators dropped), whatever the
-    type it was written with.
+    ``field_name`` and ``target_type`` are the lineage's of the alias table. ``value_text`` is a
+    scalar as written. ``value_num``, ``value_bool`` and ``value_json`` are casts to the
+    lineage's type, null where it is another one; arrays and objects, and the scalars of their
+    lineages, are JSON text in ``value_json``.
     """
-    number = F.expr("try_cast(regexp_replace(value, '(?<=[0-9]),(?=[0-9]{3})', '') as decimal(28,9))")
     joined = rows.join(aliases, [*SERIES, "field", "island"], "left")
+    quoted = F.when(F.col("jtype") == "string", F.expr("regexp_replace(to_json(array(value)), '^.|.$', '')")).otherwise(F.col("value"))
+
+    def of(kind, value):
+        return F.when(F.col("target_type") == kind, value)
+
     return joined.select(
-        "source", "producer", "file_id", "seq", F.coalesce("canonical", "field").alias("field_name"),
-        F.col("field").alias("source_name"), F.col("jtype").alias("json_type"), F.col("value").alias("value_text"), number.alias("value_num"),
+        "source", "producer", "file_id", "seq", F.col("canonical").alias("field_name"), F.col("field").alias("source_name"),
+        F.col("jtype").alias("json_type"), "target_type", F.col("value").alias("value_text"), of("decimal", F.expr(NUMBER)).alias("value_num"),
+        of("boolean", F.expr("try_cast(value as boolean)")).alias("value_bool"), of("json", F.coalesce("nested", quoted)).alias("value_json"),
     )
 
 

@@ -26,7 +26,7 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files read into one consistent table under their lineage names."""
     rows = _drift(spark, sf_dir)
     aliases = lifespans.alias_table(rows, lifespans.changes(rows))
-    return lifespans.unified(rows, aliases).drop("producer", "seq")
+    return lifespans.unified(rows, aliases)
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,28 @@ def test_lineage_names(spark):
     assert got == {(1, "a", "a", 1.0), (2, "a", "b", 1.0), (3, "a", "c", 1.0), (3, "d", "d", 1234.0)}
 
 
+def test_unified_keeps_nested_values_and_casts_by_lineage(spark):
+    from strandframe.functions.jsonwalk import top_fields
+
+    rows = lifespans.lifespan_rows(lifespans.file_fields(files(
+        spark, '{"a":"1,234","j":[1.50,{"k":null,"é":"\\"x"}],"s":"12","b":true}', '{"z":1234.0,"a":5,"j":"q\\"","s":"x9","b":false}',
+        '{"a":"n/a","j":{"x":[]},"s":null,"b":null}'), "t", top_fields))
+    out = lifespans.unified(rows, lifespans.alias_table(rows, lifespans.changes(rows))).collect()
+    got = {(r.seq, r.field_name): r for r in out}
+    assert len(out) == len(got) == 13 and {r.producer for r in out} == {"d"}
+    assert {(r.field_name, r.target_type) for r in out} == {("a", "decimal"), ("j", "json"), ("s", "string"), ("b", "boolean"), ("z", "decimal")}
+    assert [got[i, "a"].value_num for i in (1, 2, 3)] == [1234, 5, None] and got[3, "a"].value_text == "n/a"
+    assert "1.50" in got[1, "j"].value_json and json.loads(got[1, "j"].value_json) == [1.5, {"k": None, "é": '"x'}]
+    assert json.loads(got[2, "j"].value_json) == 'q"' and json.loads(got[3, "j"].value_json) == {"x": []}
+    assert got[1, "s"].value_num is None and got[1, "s"].value_text == "12" and (got[1, "b"].value_bool, got[2, "b"].value_bool) == (True, False)
+
+
+def test_unified_loses_no_value_of_the_tables(spark, sf):
+    out = Q.p1_unified(spark, sf)
+    lost = out.where("json_type <> 'null' AND value_text IS NULL AND value_json IS NULL")
+    assert {"producer", "seq", "target_type"} <= set(out.columns) and lost.count() == 0
+
+
 def brute_elements(summaries, counters):
     out = set()
 
