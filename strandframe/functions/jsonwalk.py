@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+#: Schema paths a task remembers before it starts afresh.
+MEMO = 100_000
 
 
 class _Int(str):
@@ -99,43 +103,53 @@ def top_fields(payloads: pd.Series) -> pd.Series:
     return payloads.map(lambda p: [(n, kind(v), scalar(v), nested(v)) for n, v in d.items()] if isinstance(d := parse(p), dict) else None)
 
 
-NODES = ArrayType(StructType([
-    StructField("label", ArrayType(IntegerType())),
-    *[StructField(n, StringType()) for n in ("path", "key", "kind", "value")],
-]))
-
-
-def walk(value, keyed: frozenset[str], label: list[int], path: str, key: str | None, out: list) -> None:
-    """Depth-first Dewey labels: the label of a child is its parent's with its ordinal added.
+def walk(value, keyed: frozenset[str]):
+    """Depth-first Dewey labels of all nodes: (value, label, path, key).
 
-    ``path`` names the schema position: keys joined with '>', '[]' for an array's
-    elements, '{}' for the entries of an object whose keys are data (named in ``keyed``).
+    The label of a child is its parent's with the child's ordinal added (``0.3.1``; the root's is
+    empty). ``path`` names the schema position: keys joined with '>', '[]' for an array's elements,
+    '{}' for the entries of an object whose keys are data (named in ``keyed``). A '>' inside a key
+    is written '›' in the path, so that a path has one step per ordinal.
+    """
+    todo = [(value, "", "", None)]
+    while todo:
+        node = todo.pop()
+        yield node
+        value, label, path, _ = node
+        if isinstance(value, (dict, list)):
+            at, under = (label + "." if label else ""), (path + ">" if path else "")
+            if isinstance(value, list):
+                inner = [(item, f"{at}{i}", under + "[]", None) for i, item in enumerate(value)]
+            elif path.rpartition(">")[2] in keyed:
+                inner = [(item, f"{at}{i}", under + "{}", name) for i, (name, item) in enumerate(value.items())]
+            else:
+                inner = [(item, f"{at}{i}", under + name.replace(">", "›"), name) for i, (name, item) in enumerate(value.items())]
+            todo += reversed(inner)
+
+
+def dewey_rows(keyed: frozenset[str], keep: str | None = None):
+    """A function for ``mapInPandas`` over (file_id, payload): file_id, label, path, key, kind, value of every node.
+
+    ``keep`` is a pattern of schema paths; other nodes are walked through but give no rows. It is
+    tried once per schema path, not per node. Unreadable texts give no rows.
     """
-    out.append((label, path, key, kind(value), scalar(value)))
-    if isinstance(value, dict):
-        data = path.rpartition(">")[2] in keyed
-        for i, (name, item) in enumerate(value.items()):
-            step = "{}" if data else name
-            walk(item, keyed, [*label, i], f"{path}>{step}" if path else step, name, out)
-    elif isinstance(value, list):
-        for i, item in enumerate(value):
-            walk(item, keyed, [*label, i], f"{path}>[]" if path else "[]", None, out)
-
-
-def dewey_nodes(keyed: frozenset[str]):
-    """A column function giving all nodes of a JSON text; null if it is unreadable."""
-
-    @F.pandas_udf(NODES)
-    def nodes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text):
-            value = parse(text)
-            if value is None:
-                return None
-            out: list = []
-            walk(value, keyed, [], "", None, out)
-            return out
-
-        for payloads in batches:
-            yield payloads.map(one)
-
-    return nodes
+    wanted = re.compile(keep or "")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
+        for batch in batches:
+            rows = []
+            for file_id, payload in zip(batch["file_id"], batch["payload"]):
+                tree = parse(payload)
+                if tree is None:
+                    continue
+                for value, label, path, key in walk(tree, keyed):
+                    if path not in known:
+                        if len(known) > MEMO:
+                            known.clear()
+                        known[path] = wanted.search(path) is not None
+                    if known[path]:
+                        rows.append((file_id, label, path, key, kind(value), scalar(value)))
+            yield pd.DataFrame(rows, columns=["file_id", "label", "path", "key", "kind", "value"])
+
+    return run

@@ -29,25 +29,40 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifespans.unified(rows, aliases)
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = dewey.nodes(load(spark, sf_dir, "summaries"), "summaries")
-    return a.unionByName(dewey.nodes(load(spark, sf_dir, "split_counters"), "split_counters"))
+def _nodes(spark: SparkSession, sf_dir: str, keep: str | None = None) -> DataFrame:
+    a = dewey.nodes(load(spark, sf_dir, "summaries"), "summaries", keep=keep)
+    return a.unionByName(dewey.nodes(load(spark, sf_dir, "split_counters"), "split_counters", keep=keep))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per non-null element of the timings and the calls by direction."""
-    rows = dewey.elements(_nodes(spark, sf_dir))
+    rows = dewey.elements(_nodes(spark, sf_dir, dewey.ELEMENT_NODES))
     return rows.select("file_id", "run_no", "arm", "field_name", "elem_no", "amount").distinct()
 
 
-def p2_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table of arms, each with the label of its parent (file or run)."""
-    return dewey.arms(_nodes(spark, sf_dir))
+def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of files: the roots of all other tables."""
+    return dewey.files(_nodes(spark, sf_dir, "^$"))
 
 
 def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table of runs and lanes with their links to the file's root node."""
-    return dewey.table(_nodes(spark, sf_dir), dewey.RUN + "$").select("source", "file_id", "node_id", "parent_id", "path")
+    """The flat table of runs and lanes, each with the label of what holds them."""
+    return dewey.runs(_nodes(spark, sf_dir, dewey.RUN_NODES))
+
+
+def p2_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of arms of both sources, each with the label of its parent (file, run or part of a lane)."""
+    return dewey.arms(_nodes(spark, sf_dir, dewey.ARM_NODES))
+
+
+def p2_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of single elements, each with its own label and its arm's."""
+    return dewey.elements(_nodes(spark, sf_dir, dewey.ELEMENT_NODES))
+
+
+def p2_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other scalar of the files with its schema path and the label of its parent."""
+    return dewey.details(_nodes(spark, sf_dir))
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +92,7 @@ def p5_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_lifespans": p1_lifespans, "p1_unified": p1_unified,
-    "p2_found": p2_found, "p2_arms": p2_arms, "p2_runs": p2_runs,
+    "p2_found": p2_found, "p2_files": p2_files, "p2_runs": p2_runs, "p2_arms": p2_arms, "p2_elements": p2_elements, "p2_details": p2_details,
     "p3_found": p3_found, "p3_places": p3_places, "p5_found": p5_found, "p5_scales": p5_scales,
 }
 
@@ -128,10 +143,10 @@ WITH f AS (
 n AS (
   SELECT src, file_id, payload, replace(t.fullkey, '"', '') AS k, t.fullkey, t.atom->>'$' AS v FROM f, json_tree(f.payload) t WHERE t.atom IS NOT NULL AND t.type <> 'NULL'),
 m AS (
-  SELECT *, coalesce(try_cast(nullif(regexp_extract(k, '^\$\.(?:runs|lanes)\[(\d+)\]', 1), '') AS BIGINT), 0) AS run_no,
-    regexp_extract(k, '^(\$\.(?:(?:runs|lanes)\[\d+\]\.)?arms\[\d+\])\.(?:cpu20_s|gpu_wall_s)', 1) AS arm_at,
-    regexp_extract(k, '^\$\.(?:(?:runs|lanes)\[\d+\]\.)?arms\.([^.\[]+)\.(?:cpu20_s|gpu_wall_s)', 1) AS arm_key,
-    regexp_extract(k, '^\$\.(?:(?:runs|lanes)\[\d+\]\.)?(inner|direct)\.calls_by_direction', 1) AS side,
+  SELECT *, coalesce(try_cast(nullif(regexp_extract(k, '\.(?:runs|lanes)\[(\d+)\]', 1), '') AS BIGINT), 0) AS run_no,
+    regexp_extract(k, '^(\$.*\.arms\[\d+\]|\$\.arms\[\d+\])\.(?:cpu20_s|gpu_wall_s)', 1) AS arm_at,
+    regexp_extract(k, '\.arms\.([^.\[]+)\.(?:cpu20_s|gpu_wall_s)', 1) AS arm_key,
+    regexp_extract(k, '\.(inner|direct)\.calls_by_direction', 1) AS side,
     regexp_extract(k, '\.(cpu20_s|gpu_wall_s)(?:\[\d+\](?:\.s)?)?$', 1) AS timing,
     regexp_extract(k, '^(.*\.calls_by_direction\[\d+\])\.calls$', 1) AS obj
   FROM n)
@@ -146,7 +161,49 @@ SELECT DISTINCT file_id, run_no, side, 'calls_by_direction',
 FROM m WHERE src = 'c' AND side <> '' AND (obj <> '' OR regexp_matches(k, 'calls_by_direction[.\[](\d+)\]?$'))
 """
 
+_TREE = r"""
+WITH RECURSIVE f AS (
+  SELECT 'summaries' AS source, file_id, payload FROM summaries WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1
+  UNION ALL SELECT 'split_counters', file_id, payload FROM split_counters WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1),
+raw AS (
+  SELECT source, file_id, t.id, t.parent, t.key, t.type, CASE WHEN t.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN t.atom->>'$' END AS value,
+         row_number() OVER (PARTITION BY source, file_id, t.parent ORDER BY t.id) - 1 AS ord
+  FROM f, json_tree(f.payload) t),
+n AS (
+  SELECT source, file_id, id, parent, type, value, NULL::VARCHAR AS key, '' AS label, '' AS path, '' AS step, 0::BIGINT AS run_no, NULL::VARCHAR AS up_label, NULL::VARCHAR AS held
+  FROM raw WHERE parent IS NULL
+  UNION ALL
+  SELECT c.source, c.file_id, c.id, c.parent, c.type, c.value, CASE WHEN p.type = 'OBJECT' THEN c.key END,
+         CASE WHEN p.label = '' THEN '' ELSE p.label || '.' END || c.ord, CASE WHEN p.path = '' THEN '' ELSE p.path || '>' END || s.step, s.step,
+         CASE WHEN p.step IN ('runs', 'lanes') AND p.type = 'ARRAY' THEN c.ord ELSE p.run_no END, p.label, p.up_label
+  FROM raw c JOIN n p ON p.source = c.source AND p.file_id = c.file_id AND p.id = c.parent,
+       LATERAL (SELECT CASE WHEN p.type = 'ARRAY' THEN '[]' WHEN p.step IN ('arms', 'calls_by_direction', 'log2_histogram') THEN '{}' ELSE c.key END AS step) s),
+named AS (SELECT source, file_id, up_label AS at, step, value FROM n WHERE step IN ('arm', 'requests', 'run', 'lane', 'dir') AND value IS NOT NULL),
+arm AS (
+  SELECT a.source, a.file_id, a.label AS arm_id, CASE WHEN a.step IN ('inner', 'direct') THEN a.up_label ELSE a.held END AS parent_id, a.run_no,
+         coalesce(a.key, x.value) AS arm, try_cast(q.value AS BIGINT) AS requests
+  FROM n a LEFT JOIN named x ON x.step = 'arm' AND x.source = a.source AND x.file_id = a.file_id AND x.at = a.label
+  LEFT JOIN named q ON q.step = 'requests' AND a.step NOT IN ('inner', 'direct') AND q.source = a.source AND q.file_id = a.file_id AND q.at = a.label
+  WHERE a.type = 'OBJECT' AND (a.step IN ('inner', 'direct') OR regexp_matches(a.path, '(^|>)arms>(\{\}|\[\])$'))),
+held AS (
+  SELECT *, regexp_extract(path, '(?:^|>)arms>(?:\{\}|\[\])>(cpu20_s|gpu_wall_s)(?:>\[\](?:>s)?)?$', 1) AS timing,
+         regexp_matches(path, '(^|>)(inner|direct)>calls_by_direction(>\[\](>calls)?|>\{\})?$') AS calls,
+         length(path) - length(replace(path, '>', '')) + 1 AS depth FROM n WHERE value IS NOT NULL)
+"""
+
 ORACLES = {
+    "p2_files": _TREE + "SELECT source, file_id, '' AS node_id, lower(type) AS kind FROM n WHERE parent IS NULL",
+    "p2_runs": _TREE + r"""SELECT r.source, r.file_id, r.label AS node_id, r.held AS parent_id, r.run_no, x.value AS run_name
+FROM n r LEFT JOIN named x ON x.step IN ('run', 'lane') AND x.source = r.source AND x.file_id = r.file_id AND x.at = r.label WHERE regexp_matches(r.path, '(^|>)(runs|lanes)>\[\]$')""",
+    "p2_arms": _TREE + "SELECT * FROM arm",
+    "p2_elements": _TREE + r"""SELECT h.source, h.file_id, h.run_no, a.arm, CASE WHEN timing <> '' THEN timing ELSE 'calls_by_direction' END AS field_name,
+  coalesce(d.value::BIGINT, CASE WHEN h.step = '{}' THEN h.key::BIGINT END,
+           try_cast(nullif(split_part(substr(h.label, length(a.arm_id) + 2), '.', 2), '') AS BIGINT), 0) AS elem_no,
+  round(replace(h.value, ',', '')::DECIMAL(28, 10) * CASE WHEN timing <> '' THEN 1000000000 ELSE 1 END)::BIGINT AS amount, h.label AS node_id, a.arm_id
+FROM held h JOIN arm a ON a.source = h.source AND a.file_id = h.file_id AND starts_with(h.label, a.arm_id || '.') AND (timing <> '') = (a.arm NOT IN ('inner', 'direct'))
+LEFT JOIN named d ON d.step = 'dir' AND h.step = 'calls' AND d.source = h.source AND d.file_id = h.file_id AND d.at = h.up_label
+WHERE (timing <> '' OR calls) AND h.type <> 'BOOLEAN'""",
+    "p2_details": _TREE + "SELECT source, file_id, label AS node_id, up_label AS parent_id, run_no, path, key, value FROM held WHERE timing = '' AND NOT calls",
     "p1_found": _CHANGES,
     "p2_found": _ELEMENTS,
     "p3_found": _ONCE + "SELECT tid, pos FROM places WHERE n_mapped > 0 AND n_mapped >= 0.01 * (SELECT sum(n_mapped) FROM places)",

@@ -70,7 +70,7 @@ def _cap(spark: SparkSession, d: str) -> DataFrame:
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls by direction of direct and inner requests, added up over all files."""
-    rows = dewey.elements(dewey.nodes(load(spark, d, "split_counters"), "split_counters"))
+    rows = dewey.elements(dewey.nodes(load(spark, d, "split_counters"), "split_counters", keep=dewey.ELEMENT_NODES))
     return rows.groupBy("arm", "elem_no").agg(F.count(F.lit(1)).alias("n_elements"), F.sum("amount").alias("calls"))
 
 

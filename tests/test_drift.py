@@ -142,35 +142,65 @@ def test_unified_loses_no_value_of_the_tables(spark, sf):
 
 
 def brute_elements(summaries, counters):
+    """Looks for the names wherever they stand in a record, without any list of layouts."""
     out = set()
 
     def num(v, scale):
         return int((Decimal(v.replace(",", "")) * scale).to_integral_value(ROUND_HALF_UP))
 
-    for r in {r["file_id"]: r for r in summaries}.values():
-        top = read(r["payload"])
-        for run, body in enumerate(top["runs"]) if "runs" in top else [(0, top)]:
-            held = body.get("arms") or {}
-            for arm, a in held.items() if isinstance(held, dict) else [(x["arm"], x) for x in held]:
-                for f in ("cpu20_s", "gpu_wall_s"):
-                    v = a.get(f)
-                    for i, x in enumerate(v if isinstance(v, list) else [v]):
-                        x = x["s"] if isinstance(x, dict) else x
-                        if x is not None:
-                            out.add((r["file_id"], run, arm, f, i, num(x, 10**9)))
-    for r in {r["file_id"]: r for r in counters}.values():
-        top = read(r["payload"])
-        for run, body in enumerate(top["lanes"]) if "lanes" in top else [(0, top)]:
-            for arm in ("inner", "direct"):
-                v = (body.get(arm) or {}).get("calls_by_direction")
-                if isinstance(v, dict):
-                    pairs = [(int(k), x) for k, x in v.items()]
+    def timings(file_id, run, arm, body):
+        for f in ("cpu20_s", "gpu_wall_s"):
+            v = body.get(f)
+            for i, x in enumerate(v if isinstance(v, list) else [v]):
+                x = x["s"] if isinstance(x, dict) else x
+                if x is not None:
+                    out.add((file_id, run, arm, f, i, num(x, 10**9)))
+
+    def calls(file_id, run, arm, v):
+        if isinstance(v, dict):
+            pairs = [(int(k), x) for k, x in v.items()]
+        else:
+            pairs = [(int(x["dir"]), x["calls"]) if isinstance(x, dict) else (i, x) for i, x in enumerate(v or [])]
+        out.update((file_id, run, arm, "calls_by_direction", i, num(x, 1)) for i, x in pairs if x is not None)
+
+    def look(file_id, v, run, name):
+        if isinstance(v, list):
+            for i, x in enumerate(v):
+                look(file_id, x, i if name in ("runs", "lanes") else run, None)
+        elif isinstance(v, dict):
+            for k, x in v.items():
+                if k == "calls_by_direction":
+                    calls(file_id, run, name, x)
+                elif k == "arms":
+                    for arm, body in x.items() if isinstance(x, dict) else [(y["arm"], y) for y in x or []]:
+                        timings(file_id, run, arm, body)
                 else:
-                    pairs = [(int(x["dir"]), x["calls"]) if isinstance(x, dict) else (i, x) for i, x in enumerate(v or [])]
-                out |= {(r["file_id"], run, arm, "calls_by_direction", i, num(x, 1)) for i, x in pairs if x is not None}
+                    look(file_id, x, run, k)
+
+    for table in (summaries, counters):
+        for r in {r["file_id"]: r for r in table}.values():
+            look(r["file_id"], read(r["payload"]), 0, None)
     return out
 
 
+def test_every_path_of_the_measurements_is_claimed(spark, sf):
+    nodes = Q._nodes(spark, sf).where("value IS NOT NULL AND kind <> 'boolean'")
+    named = nodes.where("path RLIKE '(^|>)(calls_by_direction|cpu20_s|gpu_wall_s)(>|$)' AND path NOT LIKE '%overlap_rows%'")
+    paths = {r.path for r in named.select("path").distinct().collect()}
+    claimed = {r.path for r in nodes.where(f"path RLIKE r'{dewey.TIMING}' OR path RLIKE r'{dewey.CALLS}'").select("path").distinct().collect()}
+    assert {p for p in paths - claimed if not p.endswith((">dir", ">repeat"))} == set()
+    assert any(p.startswith("split>") for p in claimed)
+
+
+def test_every_scalar_is_in_a_table_and_every_parent_exists(spark, sf):
+    nodes = Q._nodes(spark, sf).cache()
+    scalars = nodes.where("value IS NOT NULL AND kind <> 'null'").count()
+    assert dewey.elements(nodes).count() + dewey.details(nodes).count() == scalars
+    ids = {(r.source, r.file_id, r.label) for r in nodes.collect()}
+    for part in (dewey.runs(nodes), dewey.arms(nodes), dewey.details(nodes), dewey.elements(nodes).withColumnRenamed("arm_id", "parent_id")):
+        assert all((r.source, r.file_id, r.parent_id) in ids for r in part.collect())
+
+
 def test_elements_on_the_tables(spark, sf):
     want = brute_elements(*(pq.read_table(f"{sf}/{t}.parquet").to_pylist() for t in ("summaries", "split_counters")))
     got = [tuple(r) for r in Q.p2_found(spark, sf).collect()]
@@ -181,6 +211,20 @@ def test_labels_link_to_parents(spark):
     tree = dewey.nodes(files(spark, '{"runs":[{"arms":[{"arm":"x","requests":7,"cpu20_s":[1.5,null,{"repeat":9,"s":2e-9}]}]}]}'), "summaries")
     got = {(r.run_no, r.arm, r.field_name, r.elem_no, r.amount, r.arm_id) for r in dewey.elements(tree).collect()}
     assert got == {(0, "x", "cpu20_s", 0, 1_500_000_000, "0.0.0.0"), (0, "x", "cpu20_s", 2, 2, "0.0.0.0")}
-    assert [tuple(r)[2:] for r in dewey.arms(tree).collect()] == [("0.0.0.0", "0.0.0", 0, "x", 7)]
-    ids = {r.node_id for r in dewey.table(tree, "").collect()}
-    assert all(r.parent_id in ids for r in dewey.table(tree, "").collect() if r.path)
+    assert [tuple(r)[2:] for r in dewey.arms(tree).collect()] == [("0.0.0.0", "0.0", 0, "x", 7)]
+    assert [tuple(r)[2:] for r in dewey.runs(tree).collect()] == [("0.0", "", 0, None)]
+    ids = {r.label for r in tree.collect()}
+    assert all(r.parent_label in ids for r in tree.collect() if r.path)
+
+
+def test_layouts_at_any_depth(spark):
+    deep = files(
+        spark, '{"x":{"split":{"inner":{"calls_by_direction":[1,null,3]},"direct":{"calls_by_direction":{"2":"1,000"}}}}}',
+        '{"lanes":[{"a>b":{"inner":{"calls_by_direction":[{"dir":3,"calls":7}]}}},{"inner":null}]}', '[' * 600 + ']' * 600, '{"arms":{"y":{"cpu20_s":"x"}}}', '{"arms":null,"runs":{}}',
+    )
+    tree = dewey.nodes(deep, "split_counters")
+    got = {(r.file_id, r.run_no, r.arm, r.elem_no, r.amount, r.arm_id) for r in dewey.elements(tree).collect()}
+    assert got == {(1, 0, "inner", 0, 1, "0.0.0"), (1, 0, "inner", 2, 3, "0.0.0"), (1, 0, "direct", 2, 1000, "0.0.1"), (2, 0, "inner", 3, 7, "0.0.0.0")}
+    assert {(r.file_id, r.run_no, r.run_name) for r in dewey.runs(tree).collect()} == {(2, 0, None), (2, 1, None)}
+    kept = dewey.elements(dewey.nodes(deep, "split_counters", keep=dewey.ELEMENT_NODES))
+    assert {(r.file_id, r.node_id) for r in kept.collect()} == {(r.file_id, r.node_id) for r in dewey.elements(tree).collect()}
