@@ -51,7 +51,7 @@ def p4_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the summaries' timings (seconds) per arm."""
-    values = dewey.elements(dewey.nodes(load(spark, sf_dir, "summaries"), "summaries"))
+    values = dewey.elements(dewey.nodes(load(spark, sf_dir, "summaries"), "summaries", keep=dewey.ELEMENT_NODES))
     keys = ["field_name", "arm"]
     sketch = percentiles.sketches(values.select(*keys, (F.col("amount") / 1e9).alias("value")), keys)
     q = F.col("quantiles")
