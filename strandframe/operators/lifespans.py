@@ -69,7 +69,7 @@ def lifespans(rows: DataFrame) -> DataFrame:
 
 
 def changes(rows: DataFrame) -> DataFrame:
-    """Every change: source, producer, file_id, field_name, change_kind, old_name, old_type, new_type, island.
+    """Every change: source, producer, file_id, field_name, change_kind, old_name, old_island, old_type, new_type, island.
 
     Input from :func:`lifespan_rows`. ``file_id`` is the file where the change shows. The
     first file of a series has no rows. Values are compared as text; a rename needs one
@@ -77,12 +77,12 @@ def changes(rows: DataFrame) -> DataFrame:
     """
     start = rows.where(F.col("starts") & (F.col("seq") > 1)).select(
         *SERIES, "file_id", "value", F.struct("field", "jtype", "last_type", "island").alias("s"),
-        F.lit(None).cast("struct<field:string,jtype:string>").alias("e"),
+        F.lit(None).cast("struct<field:string,jtype:string,island:bigint>").alias("e"),
     )
     end = rows.where(F.col("ends") & F.col("next_file_id").isNotNull()).select(
         *SERIES, F.col("next_file_id").alias("file_id"), "value",
         F.lit(None).cast("struct<field:string,jtype:string,last_type:string,island:bigint>").alias("s"),
-        F.struct("field", F.when(F.col("jtype") != "null", F.col("jtype")).otherwise(F.col("last_type")).alias("jtype")).alias("e"),
+        F.struct("field", F.when(F.col("jtype") != "null", F.col("jtype")).otherwise(F.col("last_type")).alias("jtype"), "island").alias("e"),
     )
     # A group is the changes of one file that share a value: bounded by the file's fields.
     met = start.unionByName(end).groupBy(*SERIES, "file_id", "value").agg(
@@ -91,35 +91,38 @@ def changes(rows: DataFrame) -> DataFrame:
     renamed = F.col("value").isNotNull() & (F.size("gone") == 1) & (F.size("born") > 0)
     none = F.lit(None).cast("string")
 
-    def row(name, kind, old, old_type, new_type, island):
+    def row(kind, name, island, new_type, old, old_island, old_type):
         return F.struct(
-            name.alias("field_name"), kind.alias("change_kind"), old.alias("old_name"),
+            name.alias("field_name"), F.lit(kind).alias("change_kind"), old.alias("old_name"), old_island.cast("bigint").alias("old_island"),
             old_type.alias("old_type"), new_type.alias("new_type"), island.cast("bigint").alias("island"),
         )
 
     first = F.col("gone")[0]
-    as_renamed = F.transform("born", lambda b: row(b["field"], F.lit("renamed"), first["field"], first["jtype"], b["jtype"], b["island"]))
-    as_added = F.transform("born", lambda b: row(b["field"], F.lit("added"), none, none, b["jtype"], b["island"]))
-    as_removed = F.transform("gone", lambda g: row(g["field"], F.lit("removed"), g["field"], g["jtype"], none, F.lit(None)))
+    as_renamed = F.transform("born", lambda b: row("renamed", b["field"], b["island"], b["jtype"], first["field"], first["island"], first["jtype"]))
+    as_added = F.transform("born", lambda b: row("added", b["field"], b["island"], b["jtype"], none, none, none))
+    as_removed = F.transform("gone", lambda g: row("removed", g["field"], none, none, g["field"], g["island"], g["jtype"]))
     events = met.select(
         *SERIES, "file_id", F.inline(F.when(renamed, as_renamed).otherwise(F.concat(as_added, as_removed)))
     )
     moved = events.where((F.col("change_kind") == "renamed") & (F.col("old_type") != F.col("new_type"))).withColumn("change_kind", F.lit("retyped"))
     stayed = rows.where(~F.col("starts") & (F.col("jtype") != "null") & (F.col("jtype") != F.col("last_type"))).select(
         *SERIES, "file_id", F.col("field").alias("field_name"), F.lit("retyped").alias("change_kind"),
-        F.col("field").alias("old_name"), F.col("last_type").alias("old_type"), F.col("jtype").alias("new_type"),
-        F.col("island").cast("bigint").alias("island"),
+        F.col("field").alias("old_name"), F.col("island").cast("bigint").alias("old_island"), F.col("last_type").alias("old_type"),
+        F.col("jtype").alias("new_type"), F.col("island").cast("bigint").alias("island"),
     )
     return events.unionByName(moved).unionByName(stayed)
 
 
 def _roots(events: pd.DataFrame) -> pd.DataFrame:
-    """Follows the renames of one series in order; the earliest name stands for the lineage."""
-    root: dict[str, str] = {}
+    """Follows the renames of one series in order; the earliest name of a lifespan's lineage stands for it.
+
+    A field that ended and came back is another lifespan, and so another lineage.
+    """
+    root: dict[tuple, str] = {}
     out = []
     for r in events.sort_values(["seq", "field_name"]).itertuples():
-        start = root.get(r.old_name, r.old_name)
-        root[r.field_name] = start
+        start = root.get((r.old_name, r.old_island), r.old_name)
+        root[r.field_name, r.island] = start
         out.append((r.source, r.producer, r.field_name, r.island, start))
     return pd.DataFrame(out, columns=["source", "producer", "field", "island", "canonical"])
 
@@ -137,7 +140,7 @@ def alias_table(rows: DataFrame, log: DataFrame) -> DataFrame:
     ``_roots`` are the renames of one series; the series grow in number, not in length, so a
     group stays small.
     """
-    named = log.where(F.col("change_kind") == "renamed").select(*SERIES, "file_id", "field_name", "old_name", "island")
+    named = log.where(F.col("change_kind") == "renamed").select(*SERIES, "file_id", "field_name", "old_name", "old_island", "island")
     at = rows.where("starts").select(*SERIES, "file_id", F.col("field").alias("field_name"), "seq")
     events = named.join(at, [*SERIES, "file_id", "field_name"])
     renamed = events.groupBy(*SERIES).applyInPandas(
@@ -180,6 +183,14 @@ def unified(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
+def failed_casts(table: DataFrame) -> DataFrame:
+    """The values of :func:`unified` that their lineage's type could not hold: they are kept as text alone."""
+    lost = F.when(F.col("target_type") == "decimal", F.col("value_num").isNull()).when(F.col("target_type") == "boolean", F.col("value_bool").isNull())
+    return table.where(F.col("value_text").isNotNull() & lost).select(
+        "source", "producer", "file_id", "field_name", "source_name", "json_type", "target_type", "value_text"
+    )
+
+
 def drift(source_sha256: DataFrame, summaries: DataFrame) -> DataFrame:
     """:func:`lifespan_rows` over both tables: leaves of the first, top-level keys of the second."""
     a = file_fields(source_sha256, "source_sha256", leaf_fields)

@@ -9,7 +9,8 @@ from strandframe.session import load, written
 
 
 def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifespans.drift(load(spark, sf_dir, "source_sha256"), load(spark, sf_dir, "summaries"))
+    """The lifespan rows, written once: every query of them reads them several times."""
+    return written(lifespans.drift(load(spark, sf_dir, "source_sha256"), load(spark, sf_dir, "summaries")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +20,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue: one row per producer, field and lifespan."""
-    return lifespans.lifespans(_drift(spark, sf_dir))
+    return lifespans.lifespans(lifespans.drift(load(spark, sf_dir, "source_sha256"), load(spark, sf_dir, "summaries")))
+
+
+def p1_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alias table: lineage name and type of every lifespan."""
+    rows = _drift(spark, sf_dir)
+    return lifespans.alias_table(rows, lifespans.changes(rows))
 
 
 def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files read into one consistent table under their lineage names."""
     rows = _drift(spark, sf_dir)
-    aliases = lifespans.alias_table(rows, lifespans.changes(rows))
-    return lifespans.unified(rows, aliases)
+    return lifespans.unified(rows, lifespans.alias_table(rows, lifespans.changes(rows)))
+
+
+def p1_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that did not fit the type of their lineage."""
+    return lifespans.failed_casts(p1_unified(spark, sf_dir))
 
 
 def _nodes(spark: SparkSession, sf_dir: str, keep: str | None = None) -> DataFrame:
@@ -91,7 +102,7 @@ def p5_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_lifespans": p1_lifespans, "p1_unified": p1_unified,
+    "p1_found": p1_found, "p1_lifespans": p1_lifespans, "p1_aliases": p1_aliases, "p1_unified": p1_unified, "p1_failed_casts": p1_failed_casts,
     "p2_found": p2_found, "p2_files": p2_files, "p2_runs": p2_runs, "p2_arms": p2_arms, "p2_elements": p2_elements, "p2_details": p2_details,
     "p3_found": p3_found, "p3_places": p3_places, "p5_found": p5_found, "p5_scales": p5_scales,
 }
@@ -110,8 +121,8 @@ WITH once AS (
 )
 """
 
-_CHANGES = r"""
-WITH f AS (
+_LIVES = r"""
+WITH RECURSIVE f AS (
   SELECT 'a' AS src, * FROM source_sha256 WHERE file_id IS NOT NULL AND evidence_dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1
   UNION ALL SELECT 'b', * FROM summaries WHERE file_id IS NOT NULL AND evidence_dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1),
 o AS (SELECT *, row_number() OVER w AS seq, lead(file_id) OVER w AS next_id FROM f WINDOW w AS (PARTITION BY src, evidence_dir ORDER BY captured_at, file_id)),
@@ -121,21 +132,43 @@ raw AS (
   FROM o, json_tree(o.payload) t WHERE src = 'a' AND t.type <> 'OBJECT' AND NOT contains(regexp_replace(t.fullkey, '"[^"]*"', '', 'g'), '[')
   UNION ALL SELECT src, evidence_dir, file_id, next_id, seq, t.type, t.atom->>'$', t.key FROM o, json_each(o.payload) t WHERE src = 'b'),
 r AS (
-  SELECT *, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT') THEN 'integer' WHEN type = 'DOUBLE' THEN 'float' WHEN type <> 'NULL' THEN lower(type) END AS jt FROM raw),
-l AS (
+  SELECT *, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT') THEN 'integer' WHEN type = 'DOUBLE' THEN 'float' WHEN type = 'VARCHAR' THEN 'string' WHEN type <> 'NULL' THEN lower(type) END AS jt FROM raw),
+marks AS (
   SELECT *, lag(seq) OVER w AS prev, lead(seq) OVER w AS nxt,
          last_value(jt IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_type
   FROM r WINDOW w AS (PARTITION BY src, evidence_dir, field ORDER BY seq)),
+l AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev < seq - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY src, evidence_dir, field ORDER BY seq) AS island FROM marks),
 born AS (SELECT * FROM l WHERE seq > 1 AND (prev IS NULL OR prev < seq - 1)),
-gone AS (SELECT src, evidence_dir, next_id AS here, field, val, coalesce(jt, last_type) AS jt FROM l WHERE next_id IS NOT NULL AND (nxt IS NULL OR nxt > seq + 1)),
-one AS (SELECT src, evidence_dir, here, val, any_value(field) AS was, any_value(jt) AS old_type FROM gone WHERE val IS NOT NULL GROUP BY src, evidence_dir, here, val HAVING count(*) = 1),
-met AS (SELECT b.*, x.was, x.old_type FROM born b LEFT JOIN one x ON x.src = b.src AND x.evidence_dir = b.evidence_dir AND x.here = b.file_id AND x.val = b.val)
+gone AS (SELECT src, evidence_dir, next_id AS here, field, island, val, coalesce(jt, last_type) AS jt FROM l WHERE next_id IS NOT NULL AND (nxt IS NULL OR nxt > seq + 1)),
+one AS (SELECT src, evidence_dir, here, val, any_value(field) AS was, any_value(island) AS was_island, any_value(jt) AS old_type FROM gone WHERE val IS NOT NULL GROUP BY src, evidence_dir, here, val HAVING count(*) = 1),
+met AS (SELECT b.*, x.was, x.was_island, x.old_type FROM born b LEFT JOIN one x ON x.src = b.src AND x.evidence_dir = b.evidence_dir AND x.here = b.file_id AND x.val = b.val)
+"""
+
+_CHANGES = _LIVES + r"""
 SELECT DISTINCT file_id, field AS field_name, CASE WHEN was IS NULL THEN 'added' ELSE 'renamed' END AS change_kind FROM met
 UNION ALL SELECT DISTINCT here, field, 'removed' FROM gone WHERE (src, evidence_dir, here, field) NOT IN (SELECT (src, evidence_dir, file_id, was) FROM met WHERE was IS NOT NULL)
 UNION ALL SELECT DISTINCT file_id, field, 'retyped' FROM met WHERE was IS NOT NULL AND jt <> old_type
 UNION ALL SELECT DISTINCT file_id, field, 'retyped' FROM l WHERE prev = seq - 1 AND jt <> last_type
 """
 
+_ALIASES = _LIVES + r""",
+roots AS (
+  SELECT DISTINCT src, evidence_dir, field, island, field AS canonical FROM l
+  WHERE (src, evidence_dir, field, island) NOT IN (SELECT (src, evidence_dir, field, island) FROM met WHERE was IS NOT NULL)
+  UNION ALL
+  SELECT m.src, m.evidence_dir, m.field, m.island, r.canonical FROM roots r
+  JOIN met m ON m.src = r.src AND m.evidence_dir = r.evidence_dir AND m.was = r.field AND m.was_island = r.island),
+num AS (
+  SELECT l.*, canonical, jt IS NULL AS absent, TRY_CAST(trim(regexp_replace(val, '([0-9]),([0-9]{3})', '\1\2', 'g')) AS DECIMAL(28, 9)) AS as_num
+  FROM l JOIN roots r ON r.src = l.src AND r.evidence_dir = l.evidence_dir AND r.field = l.field AND r.island = l.island),
+types AS (
+  SELECT src, evidence_dir, canonical, CASE WHEN bool_or(jt IN ('array', 'object')) THEN 'json'
+    WHEN bool_and(jt = 'boolean') THEN 'boolean' WHEN NOT bool_or(jt = 'boolean') AND (bool_or(jt IN ('integer', 'float')) OR bool_and(as_num IS NOT NULL) FILTER (jt = 'string')) THEN 'decimal'
+    WHEN bool_or(jt IS NOT NULL) THEN 'string' END AS target_type
+  FROM num GROUP BY ALL),
+table_of AS (SELECT * FROM (VALUES ('a', 'source_sha256'), ('b', 'summaries')) t(src, source))
+"""
+
 _ELEMENTS = r"""
 WITH f AS (
   SELECT 's' AS src, file_id, payload FROM summaries WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1
@@ -205,6 +238,13 @@ LEFT JOIN named d ON d.step = 'dir' AND h.step = 'calls' AND d.source = h.source
 WHERE (timing <> '' OR calls) AND h.type <> 'BOOLEAN'""",
     "p2_details": _TREE + "SELECT source, file_id, label AS node_id, up_label AS parent_id, run_no, path, key, value FROM held WHERE timing = '' AND NOT calls",
     "p1_found": _CHANGES,
+    "p1_lifespans": _LIVES + r"""
+SELECT source, evidence_dir AS producer, field, island, min(seq)::INT AS first_seq, max(seq)::INT AS last_seq, arg_min(file_id, seq) AS first_file_id, arg_max(file_id, seq) AS last_file_id,
+  count(*) AS n_files, coalesce(array_to_string(list_sort(list(DISTINCT jt) FILTER (jt IS NOT NULL)), ','), '') AS types
+FROM l JOIN (VALUES ('a', 'source_sha256'), ('b', 'summaries')) t(src, source) USING (src) GROUP BY ALL""",
+    "p1_aliases": _ALIASES + "SELECT DISTINCT source, n.evidence_dir AS producer, field, island, canonical, target_type FROM num n JOIN types USING (src, evidence_dir, canonical) JOIN table_of USING (src)",
+    "p1_failed_casts": _ALIASES + """SELECT source, n.evidence_dir AS producer, file_id, canonical AS field_name, field AS source_name, jt AS json_type, target_type, val AS value_text
+FROM num n JOIN types USING (src, evidence_dir, canonical) JOIN table_of USING (src) WHERE target_type = 'decimal' AND val IS NOT NULL AND as_num IS NULL""",
     "p2_found": _ELEMENTS,
     "p3_found": _ONCE + "SELECT tid, pos FROM places WHERE n_mapped > 0 AND n_mapped >= 0.01 * (SELECT sum(n_mapped) FROM places)",
     "p3_places": _ONCE + "SELECT * FROM places",

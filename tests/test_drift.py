@@ -119,6 +119,17 @@ def test_lineage_names(spark):
     assert got == {(1, "a", "a", 1.0), (2, "a", "b", 1.0), (3, "a", "c", 1.0), (3, "d", "d", 1234.0)}
 
 
+def test_a_name_that_comes_back_is_another_lineage(spark):
+    from strandframe.functions.jsonwalk import top_fields
+
+    rows = lifespans.lifespan_rows(lifespans.file_fields(
+        files(spark, '{"a":1}', '{"b":1}', '{"x":7}', '{"x":7,"b":2}', '{"x":7,"c":2}', '{"x":"seven"}'), "t", top_fields))
+    aliases = lifespans.alias_table(rows, lifespans.changes(rows))
+    assert {(r.field, r.island, r.canonical) for r in aliases.collect()} == {("a", 1, "a"), ("b", 1, "a"), ("x", 1, "x"), ("b", 2, "b"), ("c", 1, "b")}
+    lost = lifespans.failed_casts(lifespans.unified(rows, aliases)).collect()
+    assert [(r.file_id, r.field_name, r.value_text) for r in lost] == [(6, "x", "seven")]
+
+
 def test_unified_keeps_nested_values_and_casts_by_lineage(spark):
     from strandframe.functions.jsonwalk import top_fields
 
