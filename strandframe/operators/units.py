@@ -2,11 +2,12 @@
 
 A figure is read with the unit beside it, else that of the row's remark, else that of the
 collector's note. Figures of one source, column and unit mark form a *dialect*. The same
-task shows up in several sources; per task the dialects are linked in a chain, the median
-ratio of each link over all tasks gives a robust scale between two dialects, and the scales
-run through this graph from the dialects whose unit is written down to those whose unit is
-not, where they snap to the nearest known conversion. A written unit stands; the linked
-estimate is reported beside it.
+processes run in every source; per process the sources are linked to the one that recorded it most,
+the median ratio of each link over all processes gives a robust scale with its uncertainty, a line
+through small and large processes its offset, and the scales run through this graph from the dialects whose
+unit is written down to every other dialect, where they snap to the known conversions that
+the uncertainty allows. A written unit picks among these and stands even where it is not one of them (it is listed as disputed);
+without a written unit the nearest one is taken.
 """
 
 from __future__ import annotations
@@ -181,80 +182,142 @@ def figures(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*T
 
 
 DIALECT = ["field_name", "source_id", "mark", "unit"]
+CHANNEL = ["field_name", "source_id", "channel"]
+#: Quartile distance (of logarithms) taken for fewer than four figures, whose own says nothing.
+WIDE = 2.0
+#: A channel whose quartiles lie this many times as far apart as its partner's mixes units and is not linked.
+MIXED = 3.0
+#: A link whose offset is more than this share of the typical figure is no conversion of units.
+OFFSET = 0.5
+#: Standard deviations within which a known conversion may be the estimated one, and the least distance in logarithms.
+NEAR, LEAST_NEAR = 3.0, 0.005
+#: The walk over the graph takes place on the driver: so many dialects at most, a number of sources, columns and spellings.
+MOST_DIALECTS = 100_000
+_FACTORS = {**{f: MILLISECONDS for f in TIMES}, **{f: BYTES for f in SIZES}}
+
+
+def channels(read: DataFrame) -> DataFrame:
+    """``read`` with ``channel`` and ``v``: what is compared between sources.
+
+    Figures with a unit of their own or in the remark are one channel per source and column,
+    ``stated``, with ``v`` in the common unit: such units are picked by the size of the figure, so
+    the figures of one unit alone would not be comparable. All others are a channel per note, with ``v``
+    as it stands.
+    """
+    factors = {f"{field}:{unit}": factor for field, table in _FACTORS.items() for unit, factor in table.items()}
+    factor = _lookup(factors, F.concat_ws(":", "field_name", "unit")).try_cast("double")
+    stated = F.col("mark").isin("own", "remark") & factor.isNotNull()
+    x = F.col("x").cast("double")
+    return read.withColumns({
+        "channel": F.when(stated, "stated").otherwise(F.concat_ws(":", "mark", "unit")), "v": F.when(stated, x * factor).otherwise(x)
+    })
 
 
 def links(read: DataFrame) -> DataFrame:
-    """Scale and offset between dialects that describe the same tasks: a, b, log_ratio, offset, n.
-
-    Per task and dialect the geometric mean of the figures is taken; the dialects of a task
-    form a chain in a fixed order, so a task gives no more links than it has dialects.
-    ``log_ratio`` is the median over tasks of ln(b / a), which no single task can move far,
-    ``offset`` what the medians of both sides leave over, relative to b.
+    """Scale and offset between channels that hold the same processes: field_name, a, b, log_ratio, variance, offset, n, usable.
+
+    The entities are the processes (a task's name without its sample), which run everywhere. Per
+    process and channel the quartiles of the logarithms are taken; each channel is linked to the one
+    that has most figures of the process, so a process gives no more links than it has channels.
+    ``log_ratio`` is the median over processes of ln(b / a) and ``variance`` its uncertainty. ``offset`` is what
+    a line through the processes with small and with large figures leaves at zero, as a share of b's
+    typical figure; null where the processes are too alike to tell. Links whose offset or whose
+    unequal spread says that they are no conversion are not ``usable``.
     """
-    named = read.where((F.col("x") > 0) & F.col("entity").isNotNull())
-    per_task = named.groupBy("entity", *DIALECT).agg(F.exp(F.avg(F.log(F.col("x").cast("double")))).alias("x"))
-    chain = Window.partitionBy("field_name", "entity").orderBy("source_id", "mark", "unit")
-    a = F.lag(F.struct(*DIALECT, "x")).over(chain)
-    pairs = per_task.select(F.struct(*DIALECT).alias("b"), "x", a.alias("p")).where(F.col("p").isNotNull()).select(
-        F.struct(*[F.col(f"p.{c}") for c in DIALECT]).alias("a"), "b", F.col("p.x").alias("xa"), F.col("x").alias("xb")
+    named = channels(read).where((F.col("v") > 0) & F.col("entity").isNotNull()).select(
+        *CHANNEL, F.substring_index("entity", " (", 1).alias("entity"), F.log("v").alias("l")
+    )
+    mids = named.groupBy("entity", *CHANNEL).agg(F.percentile_approx("l", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]), 1000).alias("q"), F.count(F.lit(1)).alias("n"))
+    wide = F.when(F.col("n") >= 4, F.col("q")[2] - F.col("q")[0]).otherwise(F.lit(WIDE))
+    # The standard error of a median, by the quartiles of about normal logarithms.
+    side = F.struct("source_id", "channel", F.col("q")[1].alias("mid"), wide.alias("wide"), (F.pow(0.93 * wide, 2) / F.col("n")).alias("var"), "n")
+    seen = mids.select("field_name", "entity", side.alias("b"))
+    hub = Window.partitionBy("field_name", "entity")
+    pairs = seen.withColumn("a", F.max_by("b", F.struct("b.n", -F.col("b.source_id"), "b.channel")).over(hub)).where("b.source_id <> a.source_id OR b.channel <> a.channel").select(
+        "field_name", F.struct("a.source_id", "a.channel").alias("a"), F.struct("b.source_id", "b.channel").alias("b"), F.col("a.mid").alias("la"), F.col("b.mid").alias("lb"),
+        (F.col("a.var") + F.col("b.var")).alias("var"), ((F.col("a.n") >= 4) & (F.col("b.n") >= 4) & (F.col("b.wide") > MIXED * F.greatest("a.wide", F.lit(0.05)))).alias("mixed"),
+    )
+    key = ["field_name", "a", "b"]
+    third = lambda q: F.percentile_approx("la", q, 1000)
+    ratio = pairs.groupBy(*key).agg(
+        F.percentile_approx(F.col("lb") - F.col("la"), 0.5, 1000).alias("log_ratio"), (1.57 * F.avg("var") / F.count(F.lit(1))).alias("variance"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("mixed").cast("double")).alias("mixed"), third(0.33).alias("lo"), third(0.67).alias("hi"),
+    )
+    # The line through the medians of the lower and of the upper third of the processes.
+    mid = lambda c, when: F.percentile_approx(F.when(when, F.exp(c)), 0.5, 1000)
+    low, high = F.col("la") <= F.col("lo"), F.col("la") >= F.col("hi")
+    ends = pairs.join(ratio.select(*key, "lo", "hi", F.col("variance").alias("v")), key).groupBy(*key).agg(
+        mid("la", low).alias("xa"), mid("la", high).alias("xb"), mid("lb", low).alias("ya"), mid("lb", high).alias("yb"), F.max("v").alias("v"), mid("lb", F.lit(True)).alias("typical"),
     )
-    ratio = pairs.groupBy("a", "b").agg(
-        F.percentile_approx(F.log(F.col("xb") / F.col("xa")), 0.5, 1000).alias("log_ratio"),
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("xa", 0.5, 1000).alias("mid_a"), F.percentile_approx("xb", 0.5, 1000).alias("mid_b"),
+    apart = F.log(F.col("xb") / F.col("xa")) > 10 * F.sqrt("v")
+    line = ends.select(*key, F.when(apart & (F.col("xb") > F.col("xa")), (F.col("ya") - F.col("xa") * (F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))) / F.col("typical")).alias("offset"))
+    return ratio.join(line, key).select(
+        *key, "log_ratio", "variance", "offset", "n", ((F.col("mixed") < 0.5) & (F.coalesce(F.abs("offset"), F.lit(0.0)) <= OFFSET)).alias("usable")
     )
-    return ratio.withColumn("offset", (F.col("mid_b") - F.col("mid_a") * F.exp("log_ratio")) / F.col("mid_b")).drop("mid_a", "mid_b")
+
+
+def _estimates(known: dict[tuple, float], edges: dict[tuple, list[tuple]], skip: tuple | None = None) -> dict[tuple, tuple[float, float]]:
+    """ln(factor) and variance of every channel reached from ``known`` but ``skip``, along the links of least variance."""
+    import heapq
+
+    done: dict[tuple, tuple[float, float]] = {}
+    heap = [(0.0, i, c, v) for i, (c, v) in enumerate(sorted(known.items())) if c != skip]
+    heapq.heapify(heap)
+    count = len(known)
+    while heap:
+        variance, _, c, value = heapq.heappop(heap)
+        if c in done:
+            continue
+        done[c] = (value, variance)
+        for step, other, ratio in edges.get(c, ()):
+            if other not in done:
+                count += 1
+                heapq.heappush(heap, (variance + step, count, other, value - ratio))
+    return done
 
 
 def scales(read: DataFrame) -> DataFrame:
-    """One row per dialect: field_name, source_id, mark, unit, factor, estimate, method.
+    """One row per dialect: field_name, source_id, mark, unit, factor, estimate, candidates, method.
 
-    The graph has one node per source, column and unit spelling, a number that does not grow
-    with the rows; it is small enough to walk on the driver. Written units keep their factor
-    (method ``written``); the others get the known conversion nearest to the estimate
-    (``linked``), or none (``unlinked``) where no chain leads to a written unit.
+    Every dialect gets an estimate through the graph from the other sources, and the ``candidates``, the known
+    conversions within its uncertainty (else the nearest one). A written unit picks its conversion
+    (method ``agreed`` if that is a candidate, ``disputed`` if not, ``written`` if no link leads here); where no unit is written, the
+    nearest candidate is taken (``linked``), or none (``unlinked``). The graph has one node per source, column
+    and unit spelling, a number that does not grow with the rows; it is walked on the driver.
     """
     spark = read.sparkSession
-    nodes = {tuple(r) for r in read.select(*DIALECT).distinct().collect()}
+    rows = channels(read).select(*DIALECT, "channel").distinct().limit(MOST_DIALECTS + 1).collect()
+    if len(rows) > MOST_DIALECTS:
+        raise ValueError(f"more than {MOST_DIALECTS} units and sources: units were not recognised")
     edges: dict[tuple, list[tuple]] = {}
-    for r in links(read).collect():
-        a, b = tuple(r.a), tuple(r.b)
-        edges.setdefault(a, []).append((r.n, b, r.log_ratio))
-        edges.setdefault(b, []).append((r.n, a, -r.log_ratio))
-    table = {**{f: MILLISECONDS for f in TIMES}, **{f: BYTES for f in SIZES}}
-    written = {d: math.log(float(table[d[0]][d[3]])) for d in nodes if d[3] in table[d[0]]}
-
-    def spread(known: dict[tuple, float], skip: tuple | None = None) -> dict[tuple, float]:
-        """ln(factor) of the nodes reached from ``known``, the best supported links first."""
-        import heapq
-
-        done: dict[tuple, float] = {}
-        heap = [(0.0, i, d, v) for i, (d, v) in enumerate(sorted(known.items())) if d != skip]
-        heapq.heapify(heap)
-        count = len(heap)
-        while heap:
-            cost, _, d, value = heapq.heappop(heap)
-            if d in done:
-                continue
-            done[d] = value
-            for n, other, ratio in edges.get(d, ()):
-                if other not in done:
-                    count += 1
-                    heapq.heappush(heap, (cost + 1 / math.sqrt(n), count, other, value - ratio))
-        return done
-
-    far = spread(written)
+    for r in links(read).where("usable").collect():
+        a, b = (r.field_name, *r.a), (r.field_name, *r.b)
+        edges.setdefault(a, []).append((r.variance, b, r.log_ratio))
+        edges.setdefault(b, []).append((r.variance, a, -r.log_ratio))
+    known = {}
+    for r in rows:
+        if r.unit in _FACTORS[r.field_name]:
+            known[r.field_name, r.source_id, r.channel] = 0.0 if r.channel == "stated" else math.log(float(_FACTORS[r.field_name][r.unit]))
+    far = _estimates(known, edges)
+    near = {c: _estimates(known, edges, c).get(c) for c in known}
     out = []
-    for d in sorted(nodes):
-        estimate = spread(written, d).get(d) if d in written else far.get(d)
-        if d in written:
-            factor, method = table[d[0]][d[3]], "written"
-        elif estimate is not None:
-            factor, method = min(table[d[0]].values(), key=lambda v: abs(math.log(float(v)) - estimate)), "linked"
+    for r in sorted(rows):
+        table, c = _FACTORS[r.field_name], (r.field_name, r.source_id, r.channel)
+        written, estimate = table.get(r.unit), near[c] if c in known else far.get(c)
+        candidates: list[str] = []
+        if estimate:
+            value = estimate[0] + (math.log(float(written)) if r.channel == "stated" else 0.0)
+            by_distance = sorted(table.values(), key=lambda f: abs(math.log(float(f)) - value))
+            reach = max(LEAST_NEAR, NEAR * math.sqrt(estimate[1]))
+            candidates = [f for f in by_distance if abs(math.log(float(f)) - value) <= reach] or by_distance[:1]
+        if written:
+            factor, method = written, "written" if not estimate else "agreed" if written in candidates else "disputed"
         else:
-            factor, method = None, "unlinked"
-        out.append((*d, Decimal(factor) if factor else None, math.exp(estimate) if estimate is not None else None, method))
-    return spark.createDataFrame(out, "field_name string, source_id int, mark string, unit string, factor decimal(18,0), estimate double, method string")
+            factor, method = (candidates[0], "linked") if estimate else (None, "unlinked")
+        out.append((r.field_name, r.source_id, r.mark, r.unit, Decimal(factor) if factor else None, math.exp(value) if estimate else None, [Decimal(f) for f in candidates], method))
+    return spark.createDataFrame(
+        out, "field_name string, source_id int, mark string, unit string, factor decimal(18,0), estimate double, candidates array<decimal(18,0)>, method string"
+    )
 
 
 def converted(read: DataFrame, scale: DataFrame) -> DataFrame:
@@ -263,6 +326,7 @@ def converted(read: DataFrame, scale: DataFrame) -> DataFrame:
     Values of dialects without a scale are left out; :func:`scales` lists them.
     """
     amount = F.round(F.col("x") * F.col("factor").cast("decimal(18,0)"), 0).try_cast("bigint")
+    # One row per source, column and unit: at most MOST_DIALECTS.
     return read.join(F.broadcast(scale.select(*DIALECT, "factor")), DIALECT).select(
         "trace_id", "field_name", "entity", amount.alias("amount")
     ).where(F.col("amount").isNotNull())

@@ -1,10 +1,12 @@
 """Problem 5 against a reader per source, and units found by links alone."""
 
+import os
 import re
 from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from strandframe.operators import units
 from strandframe.plans import drift_queries as Q
@@ -71,6 +73,46 @@ def test_an_unwritten_unit_is_found_by_links(spark):
     assert scale == {(1, "duration"): (1000, "written"), (2, "duration"): (1, "linked"), (1, "peak_rss"): (10**6, "written"), (2, "peak_rss"): (1000, "linked")}
 
 
+def graded(spark, of):
+    """Scales of two sources: 12 processes of 10 runs each, the second source's figures made from the first's by ``of``."""
+    data = [(100 * s + k, s, f"p{k % 12} (S{k})", None, None, f"{y} MB" if s == 1 else str(y), None, None, None, "x")
+            for k in range(120) for s, y in ((1, round(2.0 ** (k % 12) * (1 + k / 5000), 4)), (2, of(2.0 ** (k % 12) * (1 + k / 5000), k)))]
+    data = [(i, *r[1:]) for i, r in enumerate(data)]
+    trace, sources = spark.createDataFrame(data, TRACE), spark.createDataFrame([], SOURCES)
+    read = units.figures(trace, sources)
+    return {r.source_id: r for r in units.scales(read).collect()}, units.links(read).collect()
+
+
+def test_an_offset_or_mixed_units_are_no_conversion(spark):
+    scale, _ = graded(spark, lambda x, k: round(x * 1000, 3))
+    assert (scale[2].method, int(scale[2].factor)) == ("linked", 1000)
+    scale, links = graded(spark, lambda x, k: round(x * 1000 + 200_000, 3))
+    assert scale[2].method == "unlinked" and scale[2].factor is None and links[0].offset > 0.5
+    scale, links = graded(spark, lambda x, k: round(x * (1 if k // 12 % 2 else 1000), 6))
+    assert scale[2].method == "unlinked" and not links[0].usable
+
+
+def test_a_written_unit_that_the_links_dispute_stands(spark):
+    data = [(1000 * s + k, s, f"p{k % 12}", f"{k % 12 + 1} {'ms' if s == 3 else 's'}", None, None, None, None, None, "x") for k in range(120) for s in (1, 2, 3)]
+    scale = {r.source_id: r for r in units.scales(units.figures(spark.createDataFrame(data, TRACE), spark.createDataFrame([], SOURCES))).collect()}
+    assert [(scale[s].method, int(scale[s].factor)) for s in (1, 2, 3)] == [("agreed", 1000), ("agreed", 1000), ("disputed", 1)]
+
+
+def test_hidden_notes_are_found_again_by_the_graph(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    trace, sources = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("historical_trace", "trace_sources"))
+    hidden = sources.withColumn("unit_note", F.when(~F.col("source_id").isin(*PLAIN), F.col("unit_note")))
+    right = {(c, s): PLAIN[s][i] for s in PLAIN for c, i in (("duration", 0), ("realtime", 0), ("peak_rss", 1), ("rchar", 2)) if PLAIN[s][i]}
+    rows = units.scales(units.figures(trace, hidden)).collect()
+    linked = {(r.field_name, r.source_id): r for r in rows if r.method == "linked"}
+    assert linked.keys() == right.keys() and all(r.method in ("linked", "agreed") for r in rows)
+    assert all(int(linked[k].factor) == f for k, f in right.items() if k[0] in units.TIMES)
+    # Figures that spread over many powers of two cannot tell 1,000 from 1,024; both are listed then.
+    assert all(f in [int(c) for c in linked[k].candidates] and max(linked[k].factor / f, f / linked[k].factor) < 1.08 for k, f in right.items())
+
+
 @pytest.mark.parametrize("text,remark,note,want", [
     ("1.5", "memory: GiB", None, 3 * 2**29), ("1,5 GB", None, "decimal comma here", 15 * 10**8), ("1,500 KB", None, "Commas group thousands", 1500000),
     ("2K", None, "K counts 1024: binary", 2048), ("2K", None, None, 2000), ("7", None, "memory in megabytes", 7 * 10**6), ("7 kib", "rss in GB", "memory bytes", 7168),
