@@ -1,12 +1,15 @@
-"""Test passages inside a training corpus (positional postings by document, scanned).
-
-Training tokens that occur in any test item are stored as postings: per document its
-length and, per term, the positions. The index is spread over the cluster by document. From
-it come the document frequencies of the terms, which order each item's word pairs by
-rarity. The rarest pairs, so many that no match can do without all of them, nominate documents
-for an item. In these the postings of all pairs, shifted by their place in the item, meet on
-one diagonal where a passage stands. The check walks these diagonals, joins the passages in the
-item's order, and counts the words that stand in passages of several words at a stretch.
+"""Test passages inside a training corpus (a distributed positional inverted index).
+
+The index holds every word of the corpus: a row is the posting list of one term in one block of
+documents, its positions ascending. Rows are spread over the cluster by term, and the lists of
+frequent terms by block as well, so no list is whole in one place. It is written once per corpus
+and knows nothing of the test items; any set of items is searched on it.
+
+A search joins the items' words to the terms (also to those with one wrong letter), which
+gives the frequencies that order each item's pairs of neighbouring words. The lists so found
+meet by block. There the lists of a pair, shifted by their offset, are intersected, the rarest
+pairs first, and nominate documents; in these all lists of the item are intersected, the
+passages on each diagonal are read, joined in the item's order, and the words in them counted.
 """
 
 from __future__ import annotations
@@ -17,25 +20,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from strandframe.session import written
 
-_CJK = "々぀-ヿ㐀-䶿一-鿿豈-﫿"
+_CJK = "々぀-ヿ㐀-䶿一-鿿豈-﫿"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
 _FORMAT = re.compile("[­​-‏⁠﻿]")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n\s*(?=[^\W\d_])")
-#: A passage has at least this many words (characters for scripts without spaces) at a stretch.
+#: A passage has at least this many words (characters for scripts without spaces) at a stretch; an item shorter than that must stand whole.
 STRETCH, STRETCH_CJK = 4, 6
-#: Words that may stand between right ones of one passage, if they are no item's.
-GAP = 2
+#: Words that may stand in place of right ones inside a passage, if they are no item's; one sign, whatever it is, for Chinese and Japanese.
+GAP, GAP_CJK = 2, 1
 #: Words up to this length are taken as they are, longer ones also with a wrong letter.
 LEAST_FUZZY = 4
-#: Mark of a pair of Chinese or Japanese signs over a third one that is some item's.
-OVER = GAP + 1
-#: Words a task remembers before it starts afresh.
-MEMO = 1_000_000
+#: Tokens of one block, a task's unit of work; the slices over which the lists of one term are spread.
+BLOCK, SLICES = 1_000_000, 64
+#: Items that one task searches in a block.
+ITEMS = 5_000
+#: Positions left free between two documents of a block.
+APART = 4
 
 
 def tokens(text: str) -> list[str]:
@@ -55,181 +63,117 @@ def by_character(words: list[str]) -> bool:
     return 2 * sum(len(w) == 1 and ord(w) > 0x2E80 for w in words) > len(words)
 
 
-class Queries:
-    """The test items as numbers: bounded by the items, which are few and fixed; sent to every task."""
-
-    def __init__(self, rows: list[tuple[int, str | None]]):
-        words = {item: w for item, text in rows if (w := tokens(text or ""))}
-        self.items = sorted(words)
-        self.vocabulary: dict[str, int] = {}
-        for item in self.items:
-            for w in words[item]:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.size = len(self.vocabulary) + 1
-        self.terms = [np.array([self.vocabulary[w] for w in words[item]], dtype=np.int64) for item in self.items]
-        self.cjk = [by_character(words[item]) for item in self.items]
-        # Words with one letter missing, to find terms with a wrong letter; None where two terms clash.
-        self.near: dict[str, int | None] = {}
-        for w, t in self.vocabulary.items():
-            if len(w) > LEAST_FUZZY and w.isalpha():
-                for k in {w[:i] + w[i + 1 :] for i in range(len(w))}:
-                    self.near[k] = t if self.near.get(k, t) == t else None
-
-    def term(self, word: str) -> int:
-        """The term of a word, also if one letter in it is wrong, swapped, missing or too many; else 0."""
-        if len(word) <= LEAST_FUZZY:
-            return 0
-        found = self.near.get(word)
-        if found is None:
-            near = {t for i in range(len(word)) if (t := self.vocabulary.get(k := word[:i] + word[i + 1 :]) or self.near.get(k))}
-            found = near.pop() if len(near) == 1 else 0
-        return found
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs of item words that can stand next to each other in a passage: key, item number, place.
-
-        Words meet over up to ``GAP`` words that are no item's; for Chinese and Japanese over one
-        sign, whatever it is. The key (see :meth:`key`) says which of these it is.
-        """
-        keys, owner, place = [], [], []
-        for n, (t, cjk) in enumerate(zip(self.terms, self.cjk)):
-            for kind, span in [(0, 1), (1, 2), (OVER, 2)] if cjk else [(d, d + 1) for d in range(GAP + 1)]:
-                keys.append(self.key(kind, t[:-span], t[span:]))
-                owner.append(np.full(len(keys[-1]), n))
-                place.append(np.arange(len(keys[-1])))
-        return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (keys, owner, place))
-
-    def key(self, kind, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """A pair as one number: ``kind`` words of no item stand between (``OVER``: one of some item)."""
-        return (kind * self.size + first) * self.size + second
-
-    def span(self, keys: np.ndarray) -> np.ndarray:
-        """How far apart the words of a pair stand."""
-        kind = keys // self.size**2
-        return np.where(kind == OVER, 2, kind + 1)
-
-    def pairs_of(self, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of a document: key, place. Any passage of any item holds one at each of its steps."""
-        at = np.nonzero(dense)[0]
-        kind = np.diff(at) - 1
-        near = kind <= GAP
-        first, second, kind = at[:-1][near], at[1:][near], kind[near]
-        keys = self.key(kind, dense[first], dense[second])
-        if any(self.cjk):
-            over = np.nonzero((dense[:-2] > 0) & (dense[1:-1] > 0) & (dense[2:] > 0))[0]
-            keys, first = np.concatenate([keys, self.key(OVER, dense[over], dense[over + 2])]), np.concatenate([first, over])
-        return keys, first
-
-
-def index(documents: DataFrame, queries: Queries, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The positional index: doc_id, n_tokens, terms (ascending), positions (ascending within a term).
-
-    Holds the postings of every document; words that are no item's are left out. A word
-    with one wrong letter is posted under the term it stands for. Null and empty texts and
-    rows without an id have no postings. Positions count tokens from 0.
-    """
-
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = dict(queries.vocabulary)
+_INDEX = pa.schema([("term", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("postings", pa.binary())])
+
+
+def _lists(words: list[str], lengths: list[int], ids: list[int], block: int) -> pa.RecordBatch:
+    """The posting lists of a block (gaps between positions), and under the empty term its documents with start and end."""
+    size = np.array(lengths, dtype=np.int64)
+    starts = np.cumsum(size + APART) - size - APART
+    codes, terms = pd.factorize(np.array(words, dtype=object))
+    order = np.argsort(codes, kind="stable")
+    places = (np.arange(len(words)) + APART * np.repeat(np.arange(len(size)), size))[order]
+    counts = np.bincount(codes, minlength=len(terms))
+    first = np.cumsum(counts) - counts
+    gaps = np.diff(places, prepend=0)
+    gaps[first] = places[first]
+    # The bytes of a list's gaps by rank: the high ones are nearly all zero and take no room once compressed.
+    ranked = gaps.astype("<i4").view("u1").reshape(-1, 4)
+    data = np.concatenate([ids, starts, starts + size]).astype("<i8").tobytes() + b"".join(ranked[f : f + c].T.tobytes() for f, c in zip(first, counts))
+    head = 24 * len(ids)
+    ends = np.concatenate([[0, head], head + 4 * (first + counts)]).astype("<i4")
+    lists = pa.Array.from_buffers(pa.binary(), len(terms) + 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(["", *terms]), pa.array(np.full(len(terms) + 1, block)), pa.array(np.concatenate([[len(ids)], counts])), lists], schema=_INDEX
+    )
+
+
+def _post(most: int):
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task that runs again reads the same rows in the same order and so numbers its blocks alike.
+        block = TaskContext.get().partitionId() << 24
+        words, lengths, ids = [], [], []
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                words = tokens(text)
-                for w in set(words):
-                    if w not in known:
-                        known[w] = queries.term(w)
-                ids = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
-                at = np.nonzero(ids)[0]
-                if len(at):
-                    order = np.argsort(ids[at], kind="stable")
-                    rows.append((doc_id, len(words), ids[at][order], at[order].astype(np.int32)))
-                if len(known) > MEMO:
-                    known = dict(queries.vocabulary)
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "terms", "positions"])
-
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = tokens(text)
+                if found:
+                    words += found
+                    lengths.append(len(found))
+                    ids.append(doc_id)
+                if len(words) >= most:
+                    yield _lists(words, lengths, ids, block)
+                    words, lengths, ids, block = [], [], [], block + 1
+        if words:
+            yield _lists(words, lengths, ids, block)
+
+    return post
+
+
+def index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK) -> DataFrame:
+    """The positional inverted index: term, block, n, postings; written once, to be searched for any items.
+
+    A block is about ``block_tokens`` tokens of whole documents, with a little space between them; ``postings`` are
+    the gaps between a term's positions in the block, ``n`` their number. The empty term lists the
+    block's documents with start and end. Null and empty texts, texts without words and rows
+    without an id have no postings. The id must be unique; other columns are ignored.
+    """
     docs = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    return docs.mapInPandas(post, "doc_id bigint, n_tokens int, terms array<int>, positions array<int>")
-
+    lists = docs.mapInArrow(_post(block_tokens), "term string, block bigint, n bigint, postings binary")
+    slice_ = F.pmod(F.shiftright("block", 24) + F.col("block"), F.lit(SLICES))
+    return written(lists.repartition("term", slice_).sortWithinPartitions("term", "block"), "zstd")
 
-def _dense(terms, positions, n_tokens: int) -> np.ndarray:
-    """A document's tokens as term numbers in text order, 0 for words of no item."""
-    dense = np.zeros(n_tokens, dtype=np.int64)
-    dense[positions] = terms
-    return dense
 
+@F.pandas_udf(ArrayType(StringType()))
+def _words(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: tokens(t or ""))
 
-def pair_frequencies(postings: DataFrame, queries: Queries) -> dict[int, int]:
-    """Documents that hold each word pair of the items: a few numbers for each word of the items. Pairs in no document are left out."""
-    wanted, size = np.unique(queries.pairs()[0]), queries.size
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(wanted), dtype=np.int64)
-        for batch in batches:
-            for terms, positions, n in zip(batch["terms"], batch["positions"], batch["n_tokens"]):
-                keys = np.unique(queries.pairs_of(_dense(terms, positions, n))[0])
-                at = np.searchsorted(wanted, keys)
-                ok = at < len(wanted)
-                ok[ok] = wanted[at[ok]] == keys[ok]
-                total[at[ok]] += 1
-        used = np.nonzero(total)[0]
-        yield pd.DataFrame({"key": wanted[used], "n": total[used]})
-
-    if not len(wanted):
-        return {}
-    counts = postings.select("terms", "positions", "n_tokens").mapInPandas(count, "key bigint, n bigint")
-    return {r.key: r.n for r in counts.groupBy("key").agg(F.sum("n").alias("n")).collect()}
+@F.pandas_udf(BooleanType())
+def _by_character(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: by_character(list(w)))
 
 
-def _stretch(cjk: bool) -> int:
-    return STRETCH_CJK if cjk else STRETCH
+def _shortened(word: str) -> Column:
+    """A word, and what is left of it when one letter is taken out: (key, whole)."""
+    w = F.col(word)
+    cut = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.struct(F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))).alias("key"), F.lit(False).alias("whole")))
+    return F.array_distinct(F.concat(F.array(F.struct(w.alias("key"), F.lit(True).alias("whole"))), F.when(F.length(w) > LEAST_FUZZY, cut).otherwise(F.filter(cut, lambda _: F.lit(False)))))
 
 
-def anchors(queries: Queries, frequencies: dict[int, int], least: float = 0.5) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """The items' pairs that occur, sorted by key (key, item number, place), and which of them begin the search.
+def meanings(postings: DataFrame, item_terms: DataFrame) -> DataFrame:
+    """Which terms of the index stand for which words of the items: word, term, n (how often the corpus has it).
 
-    A step leads from an item's word to the next. Passages that hold ``least`` of the words
-    have at least (stretch - 1) / stretch times as many steps, each within one of their pairs. The
-    commonest pairs are left out as long as all of them together reach fewer steps: so every match
-    holds one of the others, the rarest, however common its passage is.
+    A term stands for the item word it equals, else for the only item word from which one letter
+    makes it differ: missing (looked at first), too many, wrong or swapped. Words of up to
+    ``LEAST_FUZZY`` letters, or with other signs than letters, only stand for themselves.
     """
-    key, owner, place = queries.pairs()
-    often = np.array([frequencies.get(int(k), 0) for k in key], dtype=np.int64)
-    order = np.nonzero(often)[0]
-    order = order[np.argsort(key[order], kind="stable")]
-    key, owner, place, often = key[order], owner[order], place[order], often[order]
-    span, begins = queries.span(key), np.ones(len(key), dtype=bool)
-    for n, (item, cjk) in enumerate(zip(queries.terms, queries.cjk)):
-        steps = least * len(item) * (_stretch(cjk) - 1) / _stretch(cjk)
-        mine = np.nonzero(owner == n)[0]
-        reached: set[int] = set()
-        for k in mine[np.lexsort((place[mine], -often[mine]))]:
-            reached.update(range(place[k], place[k] + span[k]))
-            if len(reached) >= steps:
-                break
-            begins[k] = False
-    return (key, owner, place), begins
-
-
-def stretches(item: np.ndarray, dense: np.ndarray, diagonal: int, cjk: bool) -> list[tuple[int, int, int]]:
-    """Passages on one diagonal: (item place, document place, length).
-
-    Right words stand side by side or with up to ``GAP`` words between them that are no
-    item's (one sign, whatever it is, for Chinese and Japanese).
+    vocabulary = postings.where("term <> ''").groupBy(F.col("term").alias("word")).agg(F.sum("n").alias("n"))
+    exact = vocabulary.join(item_terms, F.col("word") == F.col("term")).select("word", "term", "n")
+    asked = item_terms.select("term", F.inline(_shortened("term"))).where(F.col("whole") | F.col("term").rlike(r"^\p{L}+$"))
+    others = vocabulary.join(item_terms, F.col("word") == F.col("term"), "left_anti").where(F.length("word") > LEAST_FUZZY)
+    seen = others.select("word", "n", F.inline(_shortened("word"))).withColumnRenamed("whole", "as_is")
+    met = seen.join(asked, "key").groupBy("word", "n").agg(F.collect_set(F.when(F.col("as_is"), F.col("term"))).alias("missing"), F.collect_set("term").alias("any"))
+    near = met.select("word", F.when(F.size("missing") == 1, F.col("missing")[0]).when(F.size("any") == 1, F.col("any")[0]).alias("term"), "n")
+    return exact.unionByName(near.where("term IS NOT NULL"))
+
+
+def plans(items: DataFrame, meant: DataFrame, least: float, left_out: float) -> DataFrame:
+    """How each item is searched: item_id, words, cjk, begins, need.
+
+    ``begins`` says for each pair of neighbouring words whether it nominates documents. A match holds at least
+    ``least / 2`` times the item's words as such pairs; the commonest pairs, up to the share ``left_out`` of
+    that number, are left out, and a document must hold ``need`` of the others. An item of one word is its own pair.
     """
-    low, high = max(0, -diagonal), min(len(item), len(dense) - diagonal)
-    part = dense[low + diagonal : high + diagonal]
-    right = part == item[low:high]
-    at = np.nonzero(right)[0]
-    if not len(at):
-        return []
-    if cjk:
-        breaks = np.diff(at) > 2
-    else:
-        other = np.cumsum((part > 0) & ~right)
-        breaks = (np.diff(at) > GAP + 1) | (other[at[1:]] != other[at[:-1]])
-    starts, ends = at[np.concatenate([[True], breaks])], at[np.concatenate([breaks, [True]])]
-    least = _stretch(cjk)
-    return [(int(a + low), int(a + low + diagonal), int(b - a + 1)) for a, b in zip(starts, ends) if b - a + 1 >= least]
+    n_words = F.size("words")
+    often = meant.groupBy("term").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("item_id").orderBy("place")
+    each = items.where(n_words > 0).select("item_id", "size", F.posexplode("words").alias("place", "term")).join(often, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    pairs = each.withColumn("n", F.least("n", F.lead("n", 1).over(order))).where((F.col("place") < F.col("size") - 1) | (F.col("size") == 1))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("n").desc(), "place"))
+    want = F.greatest(F.ceil(F.col("size") * least / 2), F.lit(1))
+    skipped = F.least(F.floor(want * left_out), want - 1)
+    begins = pairs.withColumn("begins", rank > skipped).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "begins"))), lambda x: x["begins"]).alias("begins"))
+    return items.join(begins, "item_id").select("item_id", "words", "cjk", "begins", F.least(want - skipped, F.size("begins").cast("bigint")).cast("int").alias("need"))
 
 
 def in_order(runs: list[tuple[int, int, int]]) -> tuple[int, int]:
@@ -247,18 +191,17 @@ def in_order(runs: list[tuple[int, int, int]]) -> tuple[int, int]:
     return max(best, default=(0, 0))
 
 
-def _hits(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (number in ``keys``, number in ``wanted``) of equal keys; ``wanted`` is sorted."""
-    lo = np.searchsorted(wanted, keys, "left")
-    times = np.searchsorted(wanted, keys, "right") - lo
-    return np.repeat(np.arange(len(keys)), times), np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from ``low`` up to ``high`` of each range, and which range each is of."""
+    size = np.maximum(high - low, 0)
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[which], which
 
 
 def _runs(owner: np.ndarray, place: np.ndarray, at: np.ndarray, span: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All passages of all items in one document from its pairs: item number, item place, document place, length.
+    """All passages from pairs of right words: owner, item place, document place, length.
 
-    On each diagonal a pair that begins where the one before it ends goes on with its
-    passage, so these are the :func:`stretches` of every diagonal.
+    On each diagonal a pair that begins where the one before it ends goes on with its passage.
     """
     line = at - place
     order = np.lexsort((span, place, line, owner))
@@ -266,63 +209,185 @@ def _runs(owner: np.ndarray, place: np.ndarray, at: np.ndarray, span: np.ndarray
     new = np.ones(len(order), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1]) | (place[1:] > end[:-1])
     first = np.nonzero(new)[0]
-    last = np.append(first[1:], len(order)) - 1
+    last = np.append(first[1:], len(order))[: len(first)] - 1
     words = end[last] - place[first] + 1
-    first, words = first[words >= stretch[owner[first]]], words[words >= stretch[owner[first]]]
+    long = words >= stretch[owner[first]]
+    first, words = first[long], words[long]
     return owner[first], place[first], place[first] + line[first], words
 
 
-def matches(postings: DataFrame, queries: Queries, picked: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray], least: float = 0.5) -> DataFrame:
-    """item_id, doc_id, n_words, n_found, n_passages, kind for every item that a document holds.
-
-    One of an item's rarest pairs makes the document a candidate for it. There the postings
-    of all its pairs are shifted by their place in the item, and the passages on every diagonal that
-    one of them touches are read. ``picked`` comes from :func:`anchors` with
-    the same ``least``, the share of the item's words that must be found; ``kind`` is ``phrase``
-    where the whole item stands in one passage, else ``proximity``.
+class _Block:
+    """The posting lists of one block that some item asks for."""
+
+    def __init__(self, lists: pd.DataFrame):
+        documents = np.frombuffer(b"".join(lists.loc[lists["term"] == "", "postings"]), dtype="<i8").reshape(3, -1)
+        self.ids, self.starts, self.ends = documents
+        lists = lists[lists["term"] != ""]
+        self.number = {t: k + 1 for k, t in enumerate(sorted(set(lists["term"])))}
+        of = lists["term"].map(self.number).to_numpy(dtype=np.int64)
+        places = [np.cumsum(np.frombuffer(p, dtype="u1").reshape(4, -1).T.copy().view("<i4").ravel(), dtype=np.int64) for p in lists["postings"]]
+        term = np.repeat(of, [len(p) for p in places])
+        places = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
+        # One list per item word, one after the other; and the list each position is in, for intersections.
+        order = np.lexsort((places, term))
+        self.places = places[order]
+        self.first = np.searchsorted(term[order], np.arange(len(self.number) + 2))
+        self.holds = np.zeros(int(self.ends[-1]) + 2 * APART, dtype=np.int32)
+        self.holds[places] = term
+        # Terms and places as one ascending number, to find a document's part of a list.
+        self.width = len(self.holds)
+        self.key = term[order] * self.width + self.places
+
+    def terms(self, words) -> np.ndarray:
+        return np.array([self.number.get(w, 0) for w in words], dtype=np.int64)
+
+    def part(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of terms within bounds, and which of the terms each belongs to."""
+        at, which = _ranges(np.searchsorted(self.key, term * self.width + low), np.searchsorted(self.key, term * self.width + high))
+        return self.places[at], which
+
+    def meet(self, a: np.ndarray, b: np.ndarray, span: np.ndarray, low=None, high=None) -> tuple[np.ndarray, np.ndarray]:
+        """Where list ``b`` shifted by ``span`` meets list ``a``: the places of a, and which pair each is of. The rarer list is read."""
+        size = self.first[1:] - self.first[:-1]
+        lead = size[a] <= size[b]
+        term = np.where(lead, a, b)
+        if low is None:
+            at, which = _ranges(self.first[term], self.first[term + 1])
+            place = self.places[at]
+        else:
+            place, which = self.part(term, low, high)
+        place = np.where(lead[which], place, place - span[which])
+        end = place + span[which]
+        ok = (place >= 0) & (end < self.width)
+        place, end, which = place[ok], end[ok], which[ok]
+        ok = (self.holds[place] == a[which]) & (self.holds[end] == b[which])
+        return place[ok], which[ok]
+
+
+def _search(least: float):
+    def search(lists: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        block, rows = _Block(lists), []
+        terms = [block.terms(w) for w in items["words"]]
+        size = np.array([len(t) for t in terms], dtype=np.int64)
+        cjk = items["cjk"].to_numpy(dtype=bool)
+
+        def pairs(span: int, of: np.ndarray, picked=None):
+            """First and second term, item number and place of the items' pairs ``span`` apart that the block can hold."""
+            parts = [(n, *((t, t) if len(t) == 1 and span == 1 else (t[:-span], t[span:])), picked[n] if picked else None) for n, t in ((n, terms[n]) for n in of)]
+            a = np.concatenate([x[1] for x in parts] or [size[:0]])
+            b = np.concatenate([x[2] for x in parts] or [size[:0]])
+            owner = np.repeat([x[0] for x in parts] or size[:0], [len(x[1]) for x in parts] or size[:0])
+            place = np.concatenate([np.arange(len(x[1])) for x in parts] or [size[:0]])
+            ok = (a > 0) & (b > 0)
+            if picked:
+                ok &= np.concatenate([np.asarray(x[3], dtype=bool) for x in parts] or [ok])
+            return a[ok], b[ok], owner[ok], place[ok]
+
+        # Documents that hold enough of an item's rarest neighbouring words, each pair looked up once.
+        a, b, owner, place = pairs(1, np.arange(len(terms)), items["begins"].tolist())
+        code, which = np.unique(a * len(block.first) + b, return_inverse=True)
+        first, second = code // len(block.first), code % len(block.first)
+        single = size[owner] == 1
+        spans = np.ones(len(code), dtype=np.int64)
+        at, pair = block.meet(first, second, spans)
+        doc = np.searchsorted(block.starts, at, "right") - 1
+        held = np.unique(pair * len(block.ids) + doc)
+        pair, doc = held // len(block.ids), held % len(block.ids)
+        cut = np.searchsorted(pair, np.arange(len(code) + 1))
+        hit, of = _ranges(cut[which], cut[which + 1])
+        hit, of = hit[~single[of]], of[~single[of]]
+        candidate, steps = np.unique(owner[of] * len(block.ids) + doc[hit], return_counts=True)
+        enough = steps >= items["need"].to_numpy()[candidate // len(block.ids)]
+        alone = [n * len(block.ids) + np.unique(np.searchsorted(block.starts, block.places[block.first[t] : block.first[t + 1]], "right") - 1)
+                 for n, t in ((n, t[0]) for n, t in enumerate(terms) if len(t) == 1) if t]
+        candidate = np.concatenate([candidate[enough], *alone]).astype(np.int64)
+        item, doc = candidate // len(block.ids), candidate % len(block.ids)
+
+        # All passages of a candidate's item in its document.
+        found: list[tuple[np.ndarray, ...]] = []
+        near = np.zeros(len(candidate), dtype=np.int64)
+        by_item = np.argsort(item, kind="stable")
+        cut = np.searchsorted(item[by_item], np.arange(len(terms) + 1))
+        wanted = np.nonzero(cut[1:] > cut[:-1])[0]
+        for span in range(1, GAP + 2):
+            a, b, owner, place = pairs(span, wanted[(size[wanted] > 1) & ((span <= GAP_CJK + 1) | ~cjk[wanted])])
+            at, of = _ranges(cut[owner], cut[owner + 1])
+            who = by_item[at]
+            hits, which = block.meet(a[of], b[of], np.full(len(of), span), block.starts[doc[who]], block.ends[doc[who]])
+            who, place = who[which], place[of][which]
+            inside = (hits >= block.starts[doc[who]]) & (hits + span < block.ends[doc[who]])
+            for k in range(1, span):
+                inside &= (block.holds[hits + k] == 0) | cjk[item[who]]
+            who, place, hits = who[inside], place[inside], hits[inside]
+            found.append((who, place, hits, np.full(len(who), span)))
+            if span == 1 and len(who):
+                # Neighbouring words of the item that the document has side by side, each place once.
+                wide = int(size.max()) + 1
+                near += np.bincount(np.unique(who * wide + place) // wide, minlength=len(candidate))
+        lone = np.nonzero(size[item] == 1)[0]
+        for c in lone:
+            hits, _ = block.part(terms[item[c]][:1], block.starts[doc[c] : doc[c] + 1], block.ends[doc[c] : doc[c] + 1])
+            found.append((np.full(len(hits), c), np.zeros(len(hits), np.int64), hits, np.zeros(len(hits), np.int64)))
+            near[c] = 1
+        who, place, hits, span = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+        stretch = np.minimum(size, np.where(cjk, STRETCH_CJK, STRETCH))
+        who, place, hits, words = _runs(who, place, hits, span, stretch[item])
+        enough = (np.bincount(who, words, len(candidate)) >= least * size[item]) & (near >= np.maximum(np.ceil(size[item] * least / 2), 1).clip(max=np.maximum(size[item] - 1, 1)))
+        cut = np.searchsorted(who, np.arange(len(candidate) + 1))
+        for c in np.nonzero(enough)[0]:
+            mine = slice(cut[c], cut[c + 1])
+            runs = list(zip(place[mine].tolist(), hits[mine].tolist(), words[mine].tolist()))
+            total = int(size[item[c]])
+            # Passages in order hold no more of the item than all passages together.
+            if len({w for i, _, m in runs for w in range(i, i + m)}) < least * total:
+                continue
+            count, passages = in_order(runs)
+            if count >= least * total:
+                kind = "phrase" if passages == 1 and count == total else "proximity"
+                rows.append((items["item_id"].iat[item[c]], block.ids[doc[c]], total, count, passages, kind))
+        return pd.DataFrame(rows, columns=["item_id", "doc_id", "n_words", "n_found", "n_passages", "kind"])
+
+    return search
+
+
+def matches(postings: DataFrame, items: DataFrame, least: float = 0.5, left_out: float = 0.5) -> DataFrame:
+    """item_id, doc_id, n_words, n_found, n_passages, kind for every item that a document of the index holds.
+
+    A document holds an item if passages in the item's order hold at least ``least`` of its words, and pairs of
+    neighbouring item words that stand side by side in it are at least half as many. Items with the same id
+    keep the first text by order; items without an id or without words match nothing, and items shorter than a stretch must stand
+    whole. ``kind`` is ``phrase`` where the whole item stands in one passage, else ``proximity``.
+    ``left_out`` only says how many of the commonest pairs are spared in the nomination: the result is the same for each
+    value from 0 (every pair is looked up) to 1. Extra columns are ignored.
     """
-    (keys, owner, place), begins = picked
-    rare, rare_owner, span = keys[begins], owner[begins], queries.span(keys)
-    stretch = np.array([_stretch(c) for c in queries.cjk], dtype=np.int64)
-    least_words = np.array([least * len(t) for t in queries.terms])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, terms, positions, n in zip(batch["doc_id"], batch["terms"], batch["positions"], batch["n_tokens"]):
-                dense = _dense(terms, positions, n)
-                pair, at = queries.pairs_of(dense)
-                candidate = np.zeros(len(queries.items), dtype=bool)
-                candidate[rare_owner[_hits(pair, rare)[1]]] = True
-                if not candidate.any():
-                    continue
-                which, hit = _hits(pair, keys)
-                ours = candidate[owner[hit]]
-                which, hit = which[ours], hit[ours]
-                of, start, at, words = _runs(owner[hit], place[hit], at[which], span[hit], stretch)
-                for k in np.nonzero(np.bincount(of, words, len(least_words)) >= least_words)[0]:
-                    mine, item = of == k, queries.terms[k]
-                    runs = list(zip(start[mine].tolist(), at[mine].tolist(), words[mine].tolist()))
-                    # Passages in order hold no more of the item than all passages together.
-                    if len({w for i, _, m in runs for w in range(i, i + m)}) < least * len(item):
-                        continue
-                    found, passages = in_order(runs)
-                    if found >= least * len(item):
-                        kind = "phrase" if passages == 1 and found == len(item) else "proximity"
-                        rows.append((queries.items[k], doc_id, len(item), found, passages, kind))
-            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "n_words", "n_found", "n_passages", "kind"])
-
-    return postings.mapInPandas(search, "item_id bigint, doc_id bigint, n_words int, n_found int, n_passages int, kind string")
+    once = items.where(F.col("item_id").isNotNull()).groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.min("item_text").alias("text"))
+    worded = once.select("item_id", _words("text").alias("words")).where(F.size("words") > 0).select("item_id", "words", _by_character("words").alias("cjk"), F.size("words").alias("size"))
+    worded = written(worded)
+    item_terms = worded.select(F.explode("words").alias("term")).distinct()
+    meant = written(meanings(postings, item_terms))
+    slices = worded.agg(F.ceil(F.count(F.lit(1)) / ITEMS)).scalar()
+    part = F.pmod(F.xxhash64("item_id"), F.greatest(slices, F.lit(1))).alias("part")
+    planned = written(plans(worded, meant, least, left_out)).select("*", part)
+    # Posting lists of the terms that stand for some item's word, and the blocks that can hold an item: those with enough of its words.
+    lists = postings.join(meant.select(F.col("word").alias("term"), F.col("term").alias("means")), "term")
+    needed = lists.select("block", F.col("means").alias("term"), "postings")
+    held = lists.select("block", F.col("means").alias("term")).distinct()
+    asked = planned.select("item_id", "part", "need", F.explode("words").alias("term"))
+    asked = asked.groupBy("item_id", "part", "need", "term").agg(F.count(F.lit(1)).alias("times"))
+    pairs = held.join(asked, "term").groupBy("block", "part", "item_id", "need").agg(F.sum("times").alias("times")).where("times >= need").select("block", "part", "item_id")
+    pairs = written(pairs)
+    wanted = pairs.join(planned.drop("part"), "item_id")
+    blocks = postings.where("term = ''").select("block", "term", "postings")
+    tasks = wanted.select("block", "part").distinct()
+    sent = needed.unionByName(blocks).join(tasks, "block").select(F.col("block").alias("of_block"), F.col("part").alias("of_part"), "term", "postings")
+    return sent.groupBy("of_block", "of_part").cogroup(wanted.groupBy("block", "part")).applyInPandas(
+        _search(least), "item_id bigint, doc_id bigint, n_words int, n_found int, n_passages int, kind string"
+    )
 
 
 def leaked(documents: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
-    """Every pair of a test item and a document that holds at least ``least`` of its words.
+    """Every pair of a test item and a document that holds at least ``least`` of its words: :func:`matches` on a fresh :func:`index`.
 
-    Items with the same id keep the first text by order; items without words match nothing.
     ``documents`` may hold a text under several ids; each counts. Extra columns are ignored.
-    The items are read to the driver: they are the fixed query set, not the corpus.
     """
-    rows = items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("item_text").alias("text")).collect()
-    queries = Queries([(r.item_id, r.text) for r in rows])
-    postings = written(index(documents, queries))
-    return matches(postings, queries, anchors(queries, pair_frequencies(postings, queries), least), least)
+    return matches(index(documents), items, least)

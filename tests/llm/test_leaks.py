@@ -1,5 +1,6 @@
 """Problem 7: altered, partial, reordered and shared passages."""
 
+import math
 import random
 
 import pytest
@@ -64,23 +65,102 @@ def test_characters_and_kinds(found):
     assert found[7, list(CASES).index("two of three")].kind == "proximity"
 
 
+class Brute:
+    """Every diagonal of every document, without any index."""
+
+    def __init__(self, items):
+        self.words = {i: w for i, t in items if (w := L.tokens(t or ""))}
+        self.known = {w for ws in self.words.values() for w in ws}
+        self.memo = {}
+
+    def meaning(self, word):
+        """The item word a word stands for, None for a word of no item."""
+        if word not in self.memo:
+            def cuts(w):
+                return {w[:i] + w[i + 1 :] for i in range(len(w))} if len(w) > 4 else set()
+
+            found = {word} & self.known
+            if not found and len(word) > 4:
+                letters = [t for t in self.known if t.isalpha()]
+                found = {t for t in letters if word in cuts(t)}
+                if len(found) != 1:
+                    found |= {t for t in self.known if t in cuts(word)} | {t for t in letters if cuts(t) & cuts(word)}
+            self.memo[word] = found.pop() if len(found) == 1 else None
+        return self.memo[word]
+
+    def runs(self, item, doc, cjk):
+        out, least = [], min(len(item), 6 if cjk else 4)
+        for line in range(-len(item) + 1, len(doc)):
+            start = last = None
+            for i in range(max(0, -line), min(len(item), len(doc) - line) + 1):
+                right = i < min(len(item), len(doc) - line) and doc[i + line] == item[i]
+                if right:
+                    start, last = i if start is None else start, i
+                between = [doc[k + line] for k in range((last or 0) + 1, i)] if start is not None else []
+                stop = i >= min(len(item), len(doc) - line) or (not right and start is not None and (
+                    i - last > (1 if cjk else 2) or (not cjk and doc[i + line] is not None)))
+                if start is not None and stop and (i == len(item) or not right):
+                    if last - start + 1 >= least:
+                        out.append((start, start + line, last - start + 1))
+                    start = last = None
+        return out
+
+    def pairs(self, docs):
+        got = set()
+        for d, text in docs:
+            doc = [self.meaning(w) for w in L.tokens(text or "")]
+            side = set(zip(doc, doc[1:]))
+            for i, item in self.words.items():
+                if len(set(item) & set(doc)) < 0.25 * len(set(item)):
+                    continue
+                near = sum(p in side for p in zip(item, item[1:])) if len(item) > 1 else 1
+                need = min(max(math.ceil(len(item) / 4), 1), max(len(item) - 1, 1))
+                if near >= need and L.in_order(self.runs(item, doc, L.by_character(item)))[0] >= 0.5 * len(item):
+                    got.add((i, d))
+        return got
+
+
 def test_against_all_alignments(spark, sf):
-    """The search by rarest pairs finds what a search along every diagonal of every document finds."""
+    """The search finds what a search along every diagonal of every document finds."""
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")
-    queries = L.Queries([(r.item_id, r.item_text) for r in items.collect()])
-    want = set()
-    for r in docs.where("text is not null").collect():
-        words = L.tokens(r.text)
-        dense = __import__("numpy").array([queries.vocabulary.get(w) or queries.term(w) for w in words], dtype="int64")
-        for k, item in enumerate(queries.terms):
-            if not len(dense) or len(set(item) & set(dense)) < 0.3 * len(set(item)):
-                continue
-            runs = [x for line in range(-len(item) + 1, len(dense)) for x in L.stretches(item, dense, line, queries.cjk[k])]
-            if L.in_order(runs)[0] >= 0.5 * len(item):
-                want.add((queries.items[k], r.doc_id))
+    want = Brute([(r.item_id, r.item_text) for r in items.collect()]).pairs([(r.doc_id, r.text) for r in docs.collect()])
     assert {(r.item_id, r.doc_id) for r in L.leaked(docs, items).collect()} == want and want
 
 
+def test_one_index_for_any_items(spark):
+    """New items are searched on an index that was written without them, whatever is left out and however blocks are cut."""
+    docs = [(i, CASES[n][0]) for i, n in enumerate(CASES)] + [(50, "ash"), (51, "an ash tree stands"), (52, "tree ash")]
+    postings = L.index(spark.createDataFrame(docs, "doc_id int, text string").repartition(3), block_tokens=60)
+    assert postings.select("block").distinct().count() > 6
+    rows = [(1, ITEM), (2, "ash"), (3, "ash tree"), (4, PARTS[1]), (5, "walled")]
+    results = []
+    for part, left_out in ((rows[:1], 0.5), (rows, 0.0), (rows, 0.5), (rows, 1.0)):
+        got = {(r.item_id, r.doc_id): r.n_found for r in L.matches(postings, spark.createDataFrame(part, "item_id int, item_text string"), left_out=left_out).collect()}
+        results.append(got)
+    assert results[1] == results[2] == results[3]
+    assert set(results[0]) == Brute(rows[:1]).pairs(docs) and set(results[1]) == Brute(rows).pairs(docs)
+    assert {k for k in results[1] if k[0] in (2, 3)} == {(2, 50), (2, 51), (2, 52), (3, 51)}
+
+
+def test_the_index_holds_every_word_and_place(spark):
+    import numpy as np
+
+    docs = [(i, CASES[n][0]) for i, n in enumerate(CASES)]
+    rows = L.index(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    held = {}
+    for block in {r.block for r in rows}:
+        ids, starts, ends = np.frombuffer(b"".join(r.postings for r in rows if r.block == block and r.term == ""), "<i8").reshape(3, -1)
+        for r in rows:
+            if r.block == block and r.term:
+                gaps = np.frombuffer(r.postings, "u1").reshape(4, -1).T.copy().view("<i4").ravel()
+                assert len(gaps) == r.n
+                for p in np.cumsum(gaps):
+                    k = int(np.searchsorted(starts, p, "right")) - 1
+                    assert p < ends[k]
+                    held[int(ids[k]), int(p - starts[k])] = r.term
+    assert held == {(d, k): w for d, t in docs for k, w in enumerate(L.tokens(t))}
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id int, text string"), spark.createDataFrame([], "item_id int, item_text string")
     full = spark.createDataFrame([(1, ITEM)], "doc_id int, text string")
@@ -107,8 +187,6 @@ def test_passages_apart_foreign_pairs_and_common_halves(spark):
 
 @pytest.mark.parametrize("signs", [False, True])
 def test_random_passages_against_all_alignments(spark, signs):
-    import numpy as np
-
     rng = random.Random(5)
     known = [chr(0x4E00 + i) for i in range(30)] if signs else [a + b for a in "bcdfg" for b in ("a", "e", "i", "o", "u", "y")]
     items = [(i, " ".join(rng.choices(known, k=24))) for i in range(4)]
@@ -118,13 +196,7 @@ def test_random_passages_against_all_alignments(spark, signs):
         for at in range(0, 24, 6):
             text += [w if rng.random() < 0.7 else rng.choice(["q", *known[:2]]) for w in item[at : at + 6]] * (rng.random() < 0.9) + ["q"] * rng.choice([0, 0, 1, 5])
         docs.append((d, " ".join(text)))
-    queries, want = L.Queries(items), set()
-    for d, text in docs:
-        dense = np.array([queries.vocabulary.get(w, 0) for w in L.tokens(text)], dtype="int64")
-        for k, item in enumerate(queries.terms):
-            runs = [x for line in range(-len(item) + 1, len(dense)) for x in L.stretches(item, dense, line, queries.cjk[k])]
-            if L.in_order(runs)[0] >= 0.5 * len(item):
-                want.add((k, d))
+    want = Brute(items).pairs(docs)
     columns = "doc_id int, text string", "item_id int, item_text string"
     got = L.leaked(spark.createDataFrame(docs, columns[0]), spark.createDataFrame(items, columns[1])).collect()
     assert {(r.item_id, r.doc_id) for r in got} == want and 20 < len(want) < 150
