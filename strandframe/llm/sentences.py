@@ -2,14 +2,15 @@
 
 The boundary rules are compiled into a finite transducer. A scan over the text finds the
 places where something can happen (stops, quotation marks, blank lines, white space between
-Thai letters) and gives each a symbol from its near surroundings; the transducer's states
-are the depth of open quotations. A symbol moves the state and may end a unit.
-
-Long documents are cut into chunks. Each chunk is run from every state at once, which gives
-its transition function; a prefix scan composes the functions of a document's chunks, so each
-chunk learns the state it begins in, and then emits its boundaries. Chunks are independent
-rows, so one huge document keeps many tasks busy. Short documents are one chunk that begins
-in state 0 and need no shuffle.
+Thai letters) and gives each a symbol from its near surroundings; the transducer's state is
+the depth of open quotations. A symbol moves the state and may end a unit.
+
+Documents are cut into chunks, long ones into many. A symbol's effect on the depth is a function
+``max(depth + a, b)``; such functions compose to one of the same kind, so each chunk's is two
+numbers, whatever the depth. A prefix scan composes the functions of a document's chunks, each
+chunk learns the depth it begins in and emits its boundaries. Chunks are independent rows, so
+one huge document keeps many tasks busy. A cut lies where no rule looks across it further than
+the margin a chunk carries, so the units do not depend on where the cuts are.
 """
 
 from __future__ import annotations
@@ -23,10 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.session import written
+
 CHUNK = 32_768
-#: Context on both sides of a chunk, in code points.
-MARGIN = 1_024
-STATES = 4
+#: Context on both sides of a chunk, in code points: more than the rules' look-around over shorter runs than ``RUN``.
+MARGIN = 2_048
+#: Runs of white space, stops and closing marks from this length on are never within the margin of a cut.
+RUN = 256
+#: A function that forgets the depth it is given.
+FORGET = -(10**9)
 
 # Abbreviations that do not end a sentence, whatever follows.
 NEVER = frozenset(
@@ -80,9 +86,9 @@ _MARK_BEFORE = re.compile(r"(?:^|\n\s*\n\s*)\s*(?:§\s*)?\d+$")
 _HEADER = re.compile(r"[^\n]{0,100}\b[A-Z]{1,4}-\d+/\d+\b[^\n]{0,40}\d[^\n]{0,3}(?=\s*(?:\n[^\S\n]*\n|$))")
 _LONE_HEADER = re.compile(r"(?:^|\n\s*\n)\s*([^\n]+)$")
 
-#: Symbols: what a transducer step does to the depth of quotation, and the depth up to which it ends a unit.
-STEP = {"S": (0, 0), "T": (0, 0), "O": (1, -1), "C": (-1, -1), "E": (-1, 1), "B": (-STATES, STATES), "H": (0, STATES)}
-MOVES = {s: tuple(min(STATES - 1, max(0, d + move)) for d in range(STATES)) for s, (move, _) in STEP.items()}
+#: Symbols: the function (a, b) of a step, depth -> max(depth + a, b), and the depth up to which it ends a unit.
+STEP = {"S": ((0, 0), 0), "T": ((0, 0), 0), "O": ((1, 0), -1), "C": ((-1, 0), -1), "E": ((-1, 0), 1), "B": ((FORGET, 0), 10**9), "H": ((0, 0), 10**9)}
+_LONG_RUN = re.compile(rf"[\s.…!?؟।。！？\"“”»’)\]』」）█*]{{{RUN},}}")
 
 
 def _word(before: str) -> tuple[str, str]:
@@ -229,13 +235,13 @@ def events(text: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def transition(symbols: list[str]) -> list[int]:
-    """The state function of a run of symbols: where each start state ends up."""
-    f = list(range(STATES))
+def transition(symbols: str) -> tuple[int, int]:
+    """The function (a, b) of a run of symbols: depth -> max(depth + a, b)."""
+    a, b = 0, 0
     for symbol in symbols:
-        move = MOVES[symbol]
-        f = [move[s] for s in f]
-    return f
+        (c, d), _ = STEP[symbol]
+        a, b = max(a + c, FORGET), max(b + c, d)
+    return a, b
 
 
 def _trimmed(text: str, end: int, start: int) -> tuple[int, int]:
@@ -245,34 +251,90 @@ def _trimmed(text: str, end: int, start: int) -> tuple[int, int]:
     return end, _SPACE.match(text, start).end()
 
 
+def boundaries(symbols: str, depth: int) -> list[int]:
+    """Which symbols end a unit if the first one is met at this depth."""
+    out = []
+    for k, symbol in enumerate(symbols):
+        (a, b), most = STEP[symbol]
+        if depth <= most:
+            out.append(k)
+        depth = max(depth + a, b)
+    return out
+
+
+def joined(begin: int | None, ends: list[int], nexts: list[int]) -> tuple[list[int], list[int], int | None]:
+    """Starts and ends of the units between boundaries, and where the next one begins; a boundary before any text moves the begin."""
+    starts, stops = [], []
+    for end, start in zip(ends, nexts):
+        if begin is None or end > begin:
+            starts.append(begin)
+            stops.append(end)
+            begin = start
+        else:
+            begin = max(begin, start)
+    return starts, stops, begin
+
+
 def units(text: str) -> list[tuple[int, int]]:
     """All units of a text as (start, end) code points, trimmed of white space."""
-    out, begin, state = [], _SPACE.match(text).end(), 0
-    for symbol, _, end, start in events(text):
-        if state <= STEP[symbol][1]:
-            end, start = _trimmed(text, end, start)
-            if end > begin:
-                out.append((begin, end))
-                begin = start
-            else:
-                begin = max(begin, start)
-        state = MOVES[symbol][state]
-    end = len(text.rstrip())
-    if end > begin:
-        out.append((begin, end))
+    found = events(text)
+    edges = [_trimmed(text, found[k][2], found[k][3]) for k in boundaries("".join(e[0] for e in found), 0)]
+    starts, ends, begin = joined(_SPACE.match(text).end(), [a for a, _ in edges], [b for _, b in edges])
+    last = len(text.rstrip())
+    return [*zip(starts, ends), *([(begin, last)] if last > begin else [])]
+
+
+def cuts(text: str, chunk: int) -> list[int]:
+    """Where chunks begin: at every ``chunk`` code points, moved on past places too near to a long run."""
+    if len(text) <= chunk:
+        return [0]
+    near = [(m.start() - MARGIN, m.end() + MARGIN) for m in _LONG_RUN.finditer(text)]
+    out, at, k = [0], chunk, 0
+    while at < len(text):
+        while k < len(near) and near[k][1] <= at:
+            k += 1
+        if k < len(near) and near[k][0] < at:
+            at = near[k][1]
+            continue
+        out.append(at)
+        at += chunk
     return out
 
 
 def compose(functions: np.ndarray) -> np.ndarray:
-    """Inclusive prefix scan of state functions (n, states) by doubling: row i holds f_i ∘ … ∘ f_0."""
+    """Inclusive prefix scan of depth functions (n, 2) by doubling: row i holds f_i ∘ … ∘ f_0."""
     scan, step = functions.copy(), 1
     while step < len(scan):
-        scan[step:] = np.take_along_axis(scan[step:], scan[:-step], axis=1)
+        a, b = scan[:-step, 0], scan[:-step, 1]
+        c, d = scan[step:, 0], scan[step:, 1]
+        scan[step:] = np.stack([np.maximum(a + c, FORGET), np.maximum(b + c, d)], axis=1)
         step *= 2
     return scan
 
 
+_CHUNK = "doc_id bigint, chunk_no int, base bigint, low bigint, high bigint, text string"
+
+
+def _cut(chunk: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Every chunk with its margins; a document is walked through once."""
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                starts = cuts(text, chunk)
+                for no, (low, high) in enumerate(zip(starts, [*starts[1:], len(text)])):
+                    base = max(0, low - MARGIN)
+                    rows.append((doc_id, no, base, low, high, text[base : high + MARGIN]))
+                    if len(rows) >= 64:
+                        yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "base", "low", "high", "text"])
+                        rows = []
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "base", "low", "high", "text"])
+
+    return run
+
+
 def _short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Units of documents that are one chunk, which begins at depth 0."""
     for batch in batches:
         ids, starts, ends = [], [], []
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -283,71 +345,72 @@ def _short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": np.array(ids, "int64"), "sent_start": np.array(starts, "int64"), "sent_end": np.array(ends, "int64")})
 
 
-def _long(chunk: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                low, text, base = row.chunk_no * chunk, row.text, row.base
-                found = [e for e in events(text) if low <= base + e[1] < low + chunk]
-                symbols = "".join(e[0] for e in found)
-                edges = [_trimmed(text, e[2], e[3]) for e in found]
-                ends, nexts = [base + a for a, _ in edges], [base + b for _, b in edges]
-                first = _SPACE.match(text).end() if not row.chunk_no else None
-                last = base + len(text.rstrip()) if base + len(text) == row.size else None
-                rows.append((row.doc_id, row.chunk_no, transition(symbols), symbols, ends, nexts, first, last))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "function", "symbols", "ends", "nexts", "first", "last"]).astype({"first": "Int64", "last": "Int64"})
-
-    return run
+_SCANNED = "doc_id bigint, chunk_no int, a bigint, b bigint, symbols string, ends array<bigint>, nexts array<bigint>, first bigint, last bigint"
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The boundaries of chunks whose start state is known, as (doc_id, sent_end, next_start)."""
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A chunk's symbols, their function, and the boundaries they may be; where its text begins and ends."""
     for batch in batches:
         rows = []
         for row in batch.itertuples():
-            state = row.state
-            for symbol, end, start in zip(row.symbols, row.ends, row.nexts):
-                if state <= STEP[symbol][1]:
-                    rows.append((row.doc_id, end, start))
-                state = MOVES[symbol][state]
-        yield pd.DataFrame(rows, columns=["doc_id", "sent_end", "next_start"])
+            text, base = row.text, row.base
+            found = [e for e in events(text) if row.low <= base + e[1] < row.high]
+            symbols = "".join(e[0] for e in found)
+            edges = [_trimmed(text, e[2], e[3]) for e in found]
+            own = text[row.low - base : row.high - base]
+            blank = not own or own.isspace()
+            first = None if blank else row.low + _SPACE.match(own).end()
+            last = None if blank else row.low + len(own.rstrip())
+            rows.append((row.doc_id, row.chunk_no, *transition(symbols), symbols, [base + a for a, _ in edges], [base + b for _, b in edges], first, last))
+        yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "a", "b", "symbols", "ends", "nexts", "first", "last"]).astype({"first": "Int64", "last": "Int64"})
+
+
+def _depths(functions: pd.DataFrame) -> pd.DataFrame:
+    """The depth each chunk of one document begins in, from a scan over the chunks' functions: two numbers each."""
+    functions = functions.sort_values("chunk_no")
+    scan = compose(functions[["a", "b"]].to_numpy(dtype=np.int64))
+    after = np.maximum(scan[:, 0], scan[:, 1])
+    return pd.DataFrame({"doc_id": functions["doc_id"], "chunk_no": functions["chunk_no"], "depth": np.concatenate([[0], after[:-1]])})
 
 
-def _start_states(functions: pd.DataFrame) -> pd.DataFrame:
-    """The state each chunk of one document begins in, from a scan over the chunks' functions."""
-    functions = functions.sort_values("chunk_no")
-    scan = compose(np.array(functions["function"].tolist(), dtype=np.int64))
-    return pd.DataFrame({"doc_id": functions["doc_id"], "chunk_no": functions["chunk_no"], "state": np.concatenate([[0], scan[:-1, 0]])})
+_EMITTED = "doc_id bigint, chunk_no int, sent_start array<bigint>, sent_end array<bigint>, begin bigint"
+
+
+def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Units of chunks whose depth is known; the first one's start (null) lies in an earlier chunk, ``begin`` is where the last one is left open."""
+    for batch in batches:
+        rows = []
+        for row in batch.itertuples():
+            kept = boundaries(row.symbols, row.depth)
+            starts, ends, begin = joined(None, [row.ends[k] for k in kept], [row.nexts[k] for k in kept])
+            rows.append((row.doc_id, row.chunk_no, starts, ends, begin))
+        yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "sent_start", "sent_end", "begin"]).astype({"begin": "Int64"})
 
 
 def sentence_units(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, sent_start, sent_end of every unit; positions are code points, the end exclusive.
 
     Null and empty texts, texts of white space alone and rows without an id have no units. The id must be
-    unique; other columns are ignored. Depth of quotation
-    is followed to three; deeper marks count as the third. Documents longer than ``chunk``
-    take the chunked way, which gives the same units (white space runs over the margin of
-    1,024 characters at a seam aside).
+    unique; other columns are ignored. Depth of quotation has no limit. ``chunk`` says how
+    documents are spread over tasks and has no part in the result.
     """
     docs = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     short = docs.where(F.length("text") <= chunk).mapInPandas(_short, "doc_id bigint, sent_start bigint, sent_end bigint")
 
-    size = F.length("text")
-    pieces = docs.where(size > chunk).select(
-        "doc_id", "text", size.alias("size"), F.explode(F.sequence(F.lit(0), ((size - 1) / chunk).cast("int"))).alias("chunk_no")
-    ).withColumn("base", F.greatest(F.col("chunk_no") * chunk - MARGIN, F.lit(0))).select(
-        "doc_id", "chunk_no", "size", "base", F.expr(f"substring(text, base + 1, (chunk_no + 1) * {chunk} + {MARGIN} - base)").alias("text")
-    ).repartition("doc_id", "chunk_no")
-    found = pieces.mapInPandas(
-        _long(chunk),
-        "doc_id bigint, chunk_no int, function array<int>, symbols string, ends array<bigint>, nexts array<bigint>, first bigint, last bigint",
+    pieces = docs.where(F.length("text") > chunk).mapInPandas(_cut(chunk), _CHUNK).repartition("doc_id", "chunk_no")
+    found = written(pieces.mapInPandas(_scan, _SCANNED))
+    depths = found.select("doc_id", "chunk_no", "a", "b").groupBy("doc_id").applyInPandas(_depths, "doc_id bigint, chunk_no int, depth bigint")
+    emitted = written(found.join(depths, ["doc_id", "chunk_no"]).select("doc_id", "chunk_no", "symbols", "ends", "nexts", "depth").mapInPandas(_emit, _EMITTED))
+    # What passes from chunk to chunk is small: where the open unit begins. Only that is put in a document's order.
+    edges = emitted.select("doc_id", "chunk_no", "begin").join(found.select("doc_id", "chunk_no", "first", "last"), ["doc_id", "chunk_no"])
+    order = Window.partitionBy("doc_id").orderBy("chunk_no")
+    before, all_of = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("doc_id")
+    carried = edges.select(
+        "doc_id", "chunk_no", F.coalesce(F.last("begin", ignorenulls=True).over(before), F.min("first").over(all_of)).alias("carry"),
+        F.last("begin", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("open"), F.min("first").over(all_of).alias("head"), F.max("last").over(all_of).alias("tail"),
     )
-    states = found.select("doc_id", "chunk_no", "function").groupBy("doc_id").applyInPandas(_start_states, "doc_id bigint, chunk_no int, state int")
-    begun = found.join(states, ["doc_id", "chunk_no"])
-    inner = begun.select("doc_id", "symbols", "ends", "nexts", "state").mapInPandas(_emit, "doc_id bigint, sent_end bigint, next_start bigint")
-    edges = found.where(F.col("first").isNotNull()).select("doc_id", F.lit(-1).cast("bigint").alias("sent_end"), F.col("first").alias("next_start"))
-    edges = edges.unionByName(found.where(F.col("last").isNotNull()).select("doc_id", F.col("last").alias("sent_end"), F.col("last").alias("next_start")))
-    order = Window.partitionBy("doc_id").orderBy("sent_end", "next_start")
-    long = inner.unionByName(edges).select("doc_id", F.max("next_start").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("sent_start"), "sent_end")
-    return short.unionByName(long.where(F.col("sent_end") > F.col("sent_start")))
+    spans = emitted.join(carried.select("doc_id", "chunk_no", "carry"), ["doc_id", "chunk_no"]).select(
+        "doc_id", "carry", F.explode(F.arrays_zip("sent_start", "sent_end")).alias("u")
+    ).select("doc_id", F.coalesce("u.sent_start", "carry").alias("sent_start"), F.col("u.sent_end").alias("sent_end"))
+    rest = carried.where("chunk_no = 0").select("doc_id", F.coalesce("open", "head").alias("sent_start"), F.col("tail").alias("sent_end"))
+    return short.unionByName(spans.unionByName(rest).where(F.col("sent_end") > F.col("sent_start")))

@@ -1,5 +1,7 @@
 """Problem 8: boundaries by script, and chunked against whole runs."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -44,12 +46,15 @@ def test_layout():
 
 def test_scan_composes_like_a_loop():
     rng = np.random.default_rng(1)
-    f = rng.integers(0, S.STATES, (13, S.STATES))
-    scan, run = S.compose(f), np.arange(S.STATES)
-    for i, g in enumerate(f):
-        run = g[run]
-        assert (scan[i] == run).all()
-    assert len(S.compose(f[:1])) == 1
+    parts = ["".join(rng.choice(list("SSTOOOCCEBH"), rng.integers(0, 30))) for _ in range(13)]
+    scan = S.compose(np.array([S.transition(p) for p in parts]))
+    for start in (0, 1, 7, 50):
+        depth = start
+        for part, (a, b) in zip(parts, scan):
+            for symbol in part:
+                (c, d), _ = S.STEP[symbol]
+                depth = max(depth + c, d)
+            assert depth == max(start + a, b)
 
 
 def test_chunks_give_the_same_units(spark, sf):
@@ -60,6 +65,21 @@ def test_chunks_give_the_same_units(spark, sf):
         assert len(rows) == len(whole) and {tuple(r) for r in rows} == whole
 
 
+def test_seams_long_runs_and_deep_quotations(spark):
+    rng, page = random.Random(3), "\n\nHigh Bench - T-4/00 - Page 2 of 5\n\n"
+    some = ['He said "', "«", "»", "“", "”", " Dr. Orr ", " no. 5", ". ", "! ", "one two three", "\n\n", page, "他说。", "ศาล เห็น", " █ The ", "\n", " (…) Ende"]
+    texts = [
+        "One two. Three four." + " " * 70_000, "One two. Three" + " " * 70_000 + "four. Five.", "\n" * 70_000 + "One. Two.", "One" + "." * 70_000 + " Two. Three.", "█" * 70_000 + " The end. So.",
+        "«" * 9 + "One. Two. " * 900 + "»" * 9 + " Three. Four.", "“" * 5000 + "One. Two. " + "”" * 5000 + " Three. Four.", "x" * 70_000, "a. " * 30_000,
+    ] + ["".join(rng.choices(some, k=900)) for _ in range(25)] + ["".join(w * rng.choice([1, 1, 1, 300]) for w in rng.choices(some, k=120)) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = {(d, a, b) for d, t in enumerate(texts) for a, b in S.units(t)}
+    for chunk in (500, 3000, 32_768):
+        rows = S.sentence_units(docs, chunk=chunk).collect()
+        assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    assert (0, 9, 20) in want and (1, 9, 70_019) in want
+
+
 def test_every_character_is_in_one_unit(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect():
         spans = S.units(r.text)
