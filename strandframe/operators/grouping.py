@@ -21,6 +21,12 @@ def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     return best.select(key, "__r.*")
 
 
+def quality_score(qual: Column, least: int = 15) -> Column:
+    """The score by which a record is kept among duplicates: the sum of its base qualities of at least ``least`` (null qualities: 0)."""
+    good = F.filter(qual, lambda q: q >= least)
+    return F.coalesce(F.aggregate(good, F.lit(0).cast("bigint"), lambda acc, q: acc + q), F.lit(0).cast("bigint"))
+
+
 def fragment_ends(aln: DataFrame, score: Column) -> DataFrame:
     """Examined records with their unclipped 5' end and score: rec_idx, qname, flag, tid, pos, end_key, score."""
     operations = cigar.ops(F.col("cigar"))
@@ -85,24 +91,39 @@ def two_level_histogram(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrence")).groupBy("occurrence").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+def _numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` range-partitioned and kept, with ``__part``; and per partition the rows before it."""
+    parts = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    # One row per partition: their number does not grow with the rows of a partition.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts, sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+
+
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """``df`` with its 1-based rank in a total order, without one task holding all rows.
 
     Rows are range-partitioned and kept; each partition numbers its rows, and the sizes of
     the partitions before it (one number each) are added.
     """
-    parts = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    parts, offsets = _numbered(df, order)
     inside = Window.partitionBy("__part").orderBy(*order)
     ranked = parts.withColumn("__n", F.row_number().over(inside)).join(F.broadcast(offsets), "__part")
     return ranked.withColumn(name, F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")
 
 
-def ordered_cap(df: DataFrame, order: list[str], most: int) -> DataFrame:
-    """The first ``most`` rows in a total order (a feature of the reports that use it)."""
-    return df.orderBy(*order).limit(most)
+def ordered_cap(df: DataFrame, order: list[str], most: int | None) -> DataFrame:
+    """The first ``most`` rows in a total order (a feature of the reports that use it); all of them with None.
+
+    By rank, as in :func:`global_rank`: no task gets the first rows of all others. Only
+    the partitions that begin before the cap are sorted.
+    """
+    if most is None:
+        return df
+    parts, offsets = _numbered(df, order)
+    inside = Window.partitionBy("__part").orderBy(*order)
+    near = parts.join(F.broadcast(offsets.where(F.col("__before") < most)), "__part")
+    return near.withColumn("__n", F.row_number().over(inside)).where(F.col("__n") + F.col("__before") <= most).drop("__part", "__n", "__before")
 
 
 def values_at(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:

@@ -139,17 +139,25 @@ def gene_counts(aln: DataFrame, genes: DataFrame) -> DataFrame:
 def duplication_matrix(aln: DataFrame, genes: DataFrame) -> DataFrame:
     """Counts per gene in four modes (with and without multi-mappers and duplicates) and their rates. Needs ``is_dup``.
 
-    In each mode the i-th record of one mate meets the i-th of the other by (mate position,
-    record). Rates are per thousand bases and per million of the fragments of the first mode.
+    In each mode the i-th record of one mate meets the i-th of the other, in order of the hit number
+    (column ``hi``) if there is one and all records of the name in this mode have it, else of
+    (mate position, record). Rates are per thousand bases and per million of the fragments of the first mode.
     """
     kept = aln.where(lacks(NOT_COUNTED_MULTI) & (has(FIRST) != has(SECOND)))
     multi = F.coalesce(F.col("nh") > 1, F.lit(False))
-    modes = F.filter(F.array(F.lit(0), F.when(~F.col("is_dup"), 1), F.when(~multi, 2), F.when(~F.col("is_dup") & ~multi, 3)), lambda m: m.isNotNull())
-    rows = kept.join(gene_hits(kept, genes), "rec_idx", "left").select(
-        "qname", "rec_idx", "mate_pos", "genes", has(FIRST).alias("first"), F.explode(modes).alias("mode")
-    )
-    order = Window.partitionBy("qname", "mode", "first").orderBy("mate_pos", "rec_idx")
-    fragments = rows.withColumn("i", F.row_number().over(order)).groupBy("qname", "mode", "i").agg(
+    inside = {0: F.lit(True), 1: ~F.col("is_dup"), 2: ~multi, 3: ~F.col("is_dup") & ~multi}
+    rows = kept.join(gene_hits(kept, genes), "rec_idx", "left").withColumn("first", has(FIRST)).withColumns({f"in{m}": c for m, c in inside.items()})
+    name, side = Window.partitionBy("qname"), Window.partitionBy("qname", "first")
+    place = {m: F.col("mate_pos") for m in inside}
+    if "hi" in aln.columns:
+        place = {m: F.when(F.bool_and(F.when(F.col(f"in{m}"), F.col("hi").isNotNull())).over(name), F.col("hi")).otherwise(F.col("mate_pos")) for m in inside}
+        rows = rows.withColumns({f"at{m}": c for m, c in place.items()})
+        place = {m: F.col(f"at{m}") for m in inside}
+    # The number of a record among its mate's in each mode is a running count: the rows are sorted once, not once per mode.
+    nth = {m: F.sum(F.col(f"in{m}").cast("int")).over(side.orderBy(c, "rec_idx").rowsBetween(Window.unboundedPreceding, 0)) for m, c in place.items()}
+    counted = rows.withColumns({f"i{m}": c for m, c in nth.items()})
+    modes = F.filter(F.array(*[F.when(F.col(f"in{m}"), F.struct(F.lit(m).alias("mode"), F.col(f"i{m}").alias("i"))) for m in inside]), lambda x: x.isNotNull())
+    fragments = counted.select("qname", "genes", "first", F.inline(modes)).groupBy("qname", "mode", "i").agg(
         F.max(F.when(F.col("first"), F.col("genes"))).alias("a"), F.max(F.when(~F.col("first"), F.col("genes"))).alias("b")
     )
     votes = fragments.groupBy("mode", one_gene(F.col("a"), F.col("b")).alias("gene_id")).agg(F.count(F.lit(1)).alias("n"))
@@ -173,7 +181,7 @@ def duplication_matrix(aln: DataFrame, genes: DataFrame) -> DataFrame:
 def coverage(aln: DataFrame, refs: DataFrame) -> DataFrame:
     """Runs of equal depth: tid, start, end, depth; blocks are clamped to their reference."""
     kept = aln.where(lacks(UNMAPPED) & (F.col("tid") >= 0))
-    blocks = kept.select("tid", F.inline(cigar.coverage_blocks(F.col("pos"), cigar.ops(F.col("cigar"))))).join(F.broadcast(refs.select("tid", "ref_length")), "tid")
+    blocks = kept.select("tid", F.inline(cigar.coverage_blocks(F.col("pos"), cigar.ops(F.col("cigar"))))).join(refs.select("tid", "ref_length"), "tid")
     inside = blocks.select("tid", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "ref_length").alias("end"))
     return intervals.depth(inside, ["tid"])
 
@@ -215,18 +223,18 @@ def read_distribution(aln: DataFrame, genes: DataFrame) -> DataFrame:
         .when(at["down1"], names("down1", "down5", "down10")).when(at["down5"], names("down5", "down10")).when(at["down10"], names("down10"))
         .otherwise(nothing)
     )
-    counted = written(marked.groupBy(chosen.alias("classes")).agg(F.sum("n").alias("n")))
-    per = counted.select(F.explode("classes").alias("class"), "n").groupBy("class").agg(F.sum("n").alias("tags"))
+    # The totals are counted as classes of their own, in the same pass.
+    told = F.concat(chosen, names("total_tags"), F.when(F.size(chosen) > 0, names("assigned_tags")).otherwise(nothing))
+    per = marked.groupBy(told.alias("told")).agg(F.sum("n").alias("n")).select(F.explode("told").alias("class"), "n")
+    reads = kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total_reads").alias("class"), "n")
+    tagged = per.unionByName(reads).groupBy("class").agg(F.sum("n").alias("tags"))
     base = where.groupBy("class").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
-    all_classes = aln.sparkSession.createDataFrame([(c,) for c in annotation.CLASSES], "class string")
-    rows = all_classes.join(base, "class", "left").join(per, "class", "left").fillna(0, ["bases", "tags"]).select(
-        "class", F.col("bases").cast("bigint").alias("bases"), F.col("tags").cast("bigint").alias("tags"),
-        F.round(F.col("tags") * 1000.0 / (F.col("bases") + 1), 6).alias("tags_per_kb"),
+    all_classes = aln.sparkSession.createDataFrame([(c, c in annotation.CLASSES) for c in (*annotation.CLASSES, "total_reads", "total_tags", "assigned_tags")], "class string, region boolean")
+    tags = F.coalesce("tags", F.lit(0)).cast("bigint")
+    bases = F.when(F.col("region"), F.coalesce("bases", F.lit(0)).cast("bigint"))
+    return all_classes.join(base, "class", "left").join(tagged, "class", "left").select(
+        "class", bases.alias("bases"), tags.alias("tags"), F.round(tags * 1000.0 / (bases + 1), 6).alias("tags_per_kb")
     )
-    totals = counted.agg(F.sum("n").alias("total_tags"), F.sum(F.when(F.size("classes") > 0, F.col("n"))).alias("assigned_tags"))
-    reads = kept.agg(F.count(F.lit(1)).alias("total_reads"))
-    extra = totals.unpivot([], ["total_tags", "assigned_tags"], "class", "tags").unionByName(reads.unpivot([], ["total_reads"], "class", "tags"))
-    return rows.unionByName(extra.select("class", F.lit(None).cast("bigint").alias("bases"), F.coalesce("tags", F.lit(0)).cast("bigint").alias("tags"), F.lit(None).cast("double").alias("tags_per_kb")))
 
 
 def junction_events(aln: DataFrame) -> DataFrame:
@@ -291,8 +299,8 @@ def junction_saturation(aln: DataFrame, genes: DataFrame) -> DataFrame:
     return run.withColumn("novel", F.col("all_junctions") - F.col("known"))
 
 
-def infer_experiment(aln: DataFrame, genes: DataFrame) -> DataFrame:
-    """Strand protocol codes of the first records that overlap a gene: code, n. Needs ``is_dup``.
+def infer_experiment(aln: DataFrame, genes: DataFrame, most: int | None = INFER_CAP) -> DataFrame:
+    """Strand protocol codes of the first ``most`` records that overlap a gene (None: of all): code, n. Needs ``is_dup``.
 
     A record reaches from its position over its read length (clips included). The code is
     mate, read strand and gene strand(s).
@@ -304,7 +312,7 @@ def infer_experiment(aln: DataFrame, genes: DataFrame) -> DataFrame:
     tx = annotation.transcripts(genes).select("tid", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.when(F.col("strand") == "+", 1).otherwise(2).alias("side"))
     sides = intervals.overlap_join(shapes, tx, ["tid"], 16_384).groupBy("tid", "start", "end").agg(F.bit_or("side").alias("side"))
     joined = spans.withColumns({"start": F.col("pos").cast("bigint"), "end": (F.col("pos") + F.col("l_seq")).cast("bigint")}).join(sides, ["tid", "start", "end"])
-    capped = ordered_cap(joined.select("tid", "pos", "rec_idx", "flag", "side"), PLACE, INFER_CAP)
+    capped = ordered_cap(joined.select("tid", "pos", "rec_idx", "flag", "side"), PLACE, most)
     code = F.concat(
         F.when(has(FIRST), "1").otherwise("2"), F.when(has(REVERSE), "-").otherwise("+"),
         F.when(F.col("side") == 1, "+").when(F.col("side") == 2, "-").otherwise("-:+"),
@@ -312,15 +320,15 @@ def infer_experiment(aln: DataFrame, genes: DataFrame) -> DataFrame:
     return capped.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def inner_distance(aln: DataFrame, genes: DataFrame) -> DataFrame:
-    """Inner distances of the first pairs in a hundred bins of five: bin_left, bin_right, n. Needs ``is_dup``.
+def inner_distance(aln: DataFrame, genes: DataFrame, most: int | None = DISTANCE_CAP) -> DataFrame:
+    """Inner distances of the first ``most`` pairs (None: of all) in a hundred bins of five: bin_left, bin_right, n. Needs ``is_dup``.
 
     Pairs on two references count towards the cap but have no distance. Where both ends lie in
     one transcript the exonic bases between them are taken, if there are any.
     """
     ok = lacks(NOT_DISTANCED) & ~F.col("is_dup") & has(PAIRED) & lacks(MATE_UNMAPPED) & (F.col("mapq") >= LEAST_QUALITY)
     ahead = (F.col("mate_pos") > F.col("pos")) | ((F.col("mate_pos") == F.col("pos")) & lacks(FIRST))
-    kept = ordered_cap(aln.where(ok & ahead).select(*PLACE, "mate_tid", "mate_pos", "cigar"), PLACE, DISTANCE_CAP).where("tid = mate_tid")
+    kept = ordered_cap(aln.where(ok & ahead).select(*PLACE, "mate_tid", "mate_pos", "cigar"), PLACE, most).where("tid = mate_tid")
     operations = cigar.ops(F.col("cigar"))
     end = F.col("pos") + cigar.query_length(operations) + cigar.total(operations, ("N",))
     # Equal pairs have equal distances and are worked out once.

@@ -27,10 +27,24 @@ def _dups(aln: DataFrame) -> DataFrame:
     return grouping.duplicates(aln, F.col("body_len"))
 
 
-def _marked(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Records with the computed duplicate mark, written once: reports read it more than once."""
-    aln = _aln(spark, d, *JUDGED, *columns)
-    return written(reports.with_duplicates(aln, _dups(aln)))
+_MADE: dict[tuple, DataFrame] = {}
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """Records with the computed duplicate mark: one table for all reports, made once per session and state of the input."""
+    key = (spark.sparkContext.applicationId, d, _version(spark, f"{d}/alignments.parquet"))
+    if key not in _MADE:
+        aln = written(_aln(spark, d, *JUDGED, "mapq", "mate_tid", "mate_pos", "nh"))
+        _MADE.clear()
+        _MADE[key] = written(reports.with_duplicates(aln, _dups(aln)))
+    return _MADE[key]
+
+
+def _version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a file or folder was last changed, and its size."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(at).getModificationTime(), files.getContentSummary(at).getLength()
 
 
 def _genes(spark: SparkSession, d: str, any_case: bool = False) -> DataFrame:
@@ -80,20 +94,53 @@ def _rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _junctions(spark: SparkSession, d: str) -> DataFrame:
-    events = reports.junction_events(_marked(spark, d, "mapq"))
+    events = reports.junction_events(_marked(spark, d))
     return reports.junctions(events, _genes(spark, d, True))
 
 
 def _junction_totals(spark: SparkSession, d: str) -> DataFrame:
-    return reports.junction_totals(reports.junction_events(_marked(spark, d, "mapq")), _genes(spark, d, True))
+    return reports.junction_totals(reports.junction_events(_marked(spark, d)), _genes(spark, d, True))
+
+
+def chain(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Every report of one run, all from the one marked table: by name, to be written or joined on."""
+    marked, refs, genes, any_case = _marked(spark, d), load(spark, d, "ref_seqs"), _genes(spark, d), _genes(spark, d, True)
+    events = reports.junction_events(marked)
+    return {
+        "flagstat": reports.flagstat(marked), "flagstat_post": reports.flagstat(marked, computed=True), "idxstats": reports.idxstats(marked, refs),
+        "bam_stat": reports.bam_stat(marked), "coverage": reports.coverage(marked, refs), "gene_counts": reports.gene_counts(marked, genes),
+        "dup_matrix": reports.duplication_matrix(marked, genes), "read_distribution": reports.read_distribution(marked, any_case),
+        "junctions": reports.junctions(events, any_case), "junction_totals": reports.junction_totals(events, any_case),
+        "junction_saturation": reports.junction_saturation(marked, any_case), "infer_experiment": reports.infer_experiment(marked, any_case),
+        "inner_distance": reports.inner_distance(marked, any_case), "pos_dup_hist": reports.position_duplication(marked), "aln_qc": reports.alignment_qc(marked, genes),
+    }
+
+
+def write_chain(spark: SparkSession, d: str, out: str) -> dict[str, str]:
+    """Writes every report of :func:`chain` as Parquet under ``out``: the folder of each."""
+    paths = {}
+    for name, report in chain(spark, d).items():
+        paths[name] = f"{out}/{name}"
+        report.write.mode("overwrite").parquet(paths[name])
+    return paths
+
+
+def _chain_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain in one table: report and number of its rows."""
+    rows = None
+    for name, report in chain(spark, d).items():
+        one = report.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("report"), "n_rows")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 QUERIES = {
+    "chain": _chain_rows,
     "coordinate_rank": _rank,
     "flagstat": lambda s, d: reports.flagstat(_aln(s, d, "flag", "tid", "mate_tid", "mapq")),
-    "flagstat_post": lambda s, d: reports.flagstat(_marked(s, d, "mate_tid", "mapq"), computed=True),
+    "flagstat_post": lambda s, d: reports.flagstat(_marked(s, d), computed=True),
     "idxstats": lambda s, d: reports.idxstats(_aln(s, d, "flag", "tid"), load(s, d, "ref_seqs")),
-    "bam_stat": lambda s, d: reports.bam_stat(_marked(s, d, "mapq", "mate_tid")),
+    "bam_stat": lambda s, d: reports.bam_stat(_marked(s, d)),
     "mate_pairs": _mates,
     "markdup_flags": _flag_duplicates,
     "markdup_metrics": _metrics,
@@ -108,15 +155,15 @@ QUERIES = {
     "gene_length": lambda s, d: annotation.gene_lengths(_genes(s, d)),
     "gene_hits": lambda s, d: reports.gene_hits(_aln(s, d, *PLACED).where(flags.lacks(flags.NOT_EXAMINED)), _genes(s, d)).select("rec_idx", F.explode("genes").alias("gene_id")),
     "gene_counts": lambda s, d: reports.gene_counts(_aln(s, d, *PLACED, "qname", "nh"), _genes(s, d)),
-    "dup_matrix": lambda s, d: reports.duplication_matrix(_marked(s, d, "nh", "mate_pos"), _genes(s, d)),
+    "dup_matrix": lambda s, d: reports.duplication_matrix(_marked(s, d), _genes(s, d)),
     "interval_subtract": lambda s, d: annotation.regions(_genes(s, d, True)),
     "region_bases": lambda s, d: intervals.covered(annotation.regions(_genes(s, d, True)), ["class"]),
     "read_distribution": lambda s, d: reports.read_distribution(_marked(s, d), _genes(s, d, True)),
     "junction_annotation": _junctions,
     "junction_totals": _junction_totals,
-    "junction_saturation": lambda s, d: reports.junction_saturation(_marked(s, d, "mapq"), _genes(s, d, True)),
-    "infer_experiment": lambda s, d: reports.infer_experiment(_marked(s, d, "mapq"), _genes(s, d, True)),
-    "inner_distance": lambda s, d: reports.inner_distance(_marked(s, d, "mapq", "mate_tid", "mate_pos"), _genes(s, d, True)),
+    "junction_saturation": lambda s, d: reports.junction_saturation(_marked(s, d), _genes(s, d, True)),
+    "infer_experiment": lambda s, d: reports.infer_experiment(_marked(s, d), _genes(s, d, True)),
+    "inner_distance": lambda s, d: reports.inner_distance(_marked(s, d), _genes(s, d, True)),
     "pos_dup_hist": lambda s, d: reports.position_duplication(_aln(s, d, *PLACED, "mapq")),
     "seq_dup_hist": lambda s, d: grouping.two_level_histogram(load(s, d, "documents"), ["text"]),
     "aln_qc": lambda s, d: reports.alignment_qc(_aln(s, d, *PLACED, "qname", "nh"), _genes(s, d)),
@@ -352,3 +399,11 @@ SELECT count(*) FILTER (flag & 2308 = 0 AND flag & 64 <> 0) AS left_reads, count
   count(*) FILTER (flag & 2308 = 0 AND NOT multi AND h = 1) AS gene, count(*) FILTER (flag & 2308 = 0 AND NOT multi AND h > 1) AS ambiguous,
   count(*) FILTER (flag & 2308 = 0 AND NOT multi AND h = 0) AS no_feature, count(DISTINCT qname) FILTER (flag & 2308 = 0 AND flag & 64 <> 0 AND flag & 2 <> 0) AS proper_pairs FROM k""",
 }
+
+# The chain's twin counts the rows of the twins above.
+_PARTS = {
+    "flagstat": "flagstat", "flagstat_post": "flagstat_post", "idxstats": "idxstats", "bam_stat": "bam_stat", "coverage": "coverage_sweep", "gene_counts": "gene_counts",
+    "dup_matrix": "dup_matrix", "read_distribution": "read_distribution", "junctions": "junction_annotation", "junction_totals": "junction_totals",
+    "junction_saturation": "junction_saturation", "infer_experiment": "infer_experiment", "inner_distance": "inner_distance", "pos_dup_hist": "pos_dup_hist", "aln_qc": "aln_qc",
+}
+ORACLES["chain"] = " UNION ALL ".join(f"SELECT '{name}' AS report, count(*) AS n_rows FROM ({ORACLES[twin]})" for name, twin in _PARTS.items())

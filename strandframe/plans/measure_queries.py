@@ -49,7 +49,7 @@ def _workers(spark: SparkSession, d: str) -> DataFrame:
 
 def _capture(spark: SparkSession, d: str) -> DataFrame:
     rows = _aln(spark, d, "qname").withColumn("worker", F.substring_index("qname", ":", 2))
-    return measures.bounded_capture(rows, "worker", "qname", "rec_idx", 1_000)
+    return measures.bounded_capture(rows, "worker", "qname", "rec_idx", 100_000)
 
 
 def _rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _topn(spark: SparkSession, d: str) -> DataFrame:
 
 def _cap(spark: SparkSession, d: str) -> DataFrame:
     kept = _aln(spark, d, "flag", "tid", "pos").where("flag & 4 = 0").select("tid", "pos", "rec_idx")
-    return grouping.ordered_cap(kept, ["tid", "pos", "rec_idx"], 2_000)
+    return grouping.ordered_cap(kept, ["tid", "pos", "rec_idx"], 200_000)
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
@@ -125,11 +125,11 @@ SELECT host, arm, any_value(n) AS n_values, min(v) FILTER (i = 0) AS q0_1, min(v
     "worker_stats": _ALN + """ SELECT split_part(qname, ':', 1) || ':' || split_part(qname, ':', 2) AS worker, count(*) AS requests, sum(body_len)::BIGINT AS bytes, max(ref_len) AS longest, bit_or(flag) AS status
 FROM aln GROUP BY ALL""",
     "bounded_capture": _ALN + """, r AS (SELECT split_part(qname, ':', 1) || ':' || split_part(qname, ':', 2) AS worker, qname, min(rec_idx) AS f, count(*) AS n_records FROM aln GROUP BY ALL)
-SELECT worker, qname, n_records, running FROM (SELECT *, (sum(n_records) OVER (PARTITION BY worker ORDER BY f, qname ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM r) WHERE running <= 1000""",
+SELECT worker, qname, n_records, running FROM (SELECT *, (sum(n_records) OVER (PARTITION BY worker ORDER BY f, qname ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM r) WHERE running <= 100000""",
     "profile_difference": _ALN + """, p AS (SELECT tid, count(*) FILTER (nh = 1) AS n_a, count(*) FILTER (nh = 2) AS n_b FROM aln WHERE nh IN (1, 2) GROUP BY tid)
 SELECT tid, n_a, n_b, round(n_a / (SELECT sum(n_a) FROM p), 6) AS share_a, round(n_b / (SELECT sum(n_b) FROM p), 6) AS share_b FROM p""",
     "topn": _ONCE + " SELECT timing_id, host, arm, cpu20_s FROM t WHERE cpu20_s IS NOT NULL ORDER BY cpu20_s DESC, timing_id LIMIT 15",
-    "ordered_cap": _ALN + " SELECT tid, pos, rec_idx FROM aln WHERE flag & 4 = 0 ORDER BY tid NULLS FIRST, pos NULLS FIRST, rec_idx LIMIT 2000",
+    "ordered_cap": _ALN + " SELECT tid, pos, rec_idx FROM aln WHERE flag & 4 = 0 ORDER BY tid NULLS FIRST, pos NULLS FIRST, rec_idx LIMIT 200000",
     "capacity": _ONCE + """, m AS (SELECT host, avg(cpu20_s) AS s FROM t WHERE cpu20_s IS NOT NULL AND arm = 'real' GROUP BY host)
 SELECT host, round(24.0 * 60 * 20 * 0.32 / (s / 60), 3) AS per_day_32, round(24.0 * 60 * 20 * 0.8 / (s / 60), 3) AS per_day_80 FROM m""",
     "stream_windows": """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total_value FROM (

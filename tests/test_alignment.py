@@ -200,6 +200,10 @@ def test_ranks_quantiles_and_captures(spark):
     df = spark.createDataFrame([(i, (i * 7) % 50) for i in range(200)], "i int, v int").repartition(6)
     ranked = grouping.global_rank(df, ["v", "i"]).collect()
     assert [r.i for r in sorted(ranked, key=lambda r: r["rank"])] == [i for v, i in sorted(((i * 7) % 50, i) for i in range(200))]
+    for most in (0, 1, 77, 200, 900, None):
+        capped = grouping.ordered_cap(df, ["v", "i"], most)
+        assert sorted((r.v, r.i) for r in capped.collect()) == sorted(((i * 7) % 50, i) for i in range(200))[:most]
+        assert capped.columns == ["i", "v"] and "TakeOrdered" not in capped._jdf.queryExecution().toString()
     values = sorted((i * 7) % 50 for i in range(200))
     q = grouping.lower_quantiles(df.withColumn("k", F.lit(1)), ["k"], "v", [(0, 1), (1, 3), (1, 1)]).first()
     assert (q.n_values, q.q0_1, q.q1_3, q.q1_1) == (200, values[0], values[199 // 3], values[-1])
@@ -208,3 +212,24 @@ def test_ranks_quantiles_and_captures(spark):
     assert {(r.w, r.r, r.running) for r in got} == {("w", "a", 2), ("x", "d", 1)}
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (2,), (3,)], "x int")
     assert {tuple(r) for r in measures.multiset_difference(a, b).collect()} == {(1, "left"), (3, "right")}
+
+
+def test_quality_scores(spark):
+    rows = spark.createDataFrame([(1, [10, 15, 40]), (2, []), (3, None), (4, [14])], "i int, qual array<smallint>")
+    got = {r.i: r.s for r in rows.select("i", grouping.quality_score(F.col("qual")).alias("s")).collect()}
+    assert got == {1: 55, 2: 0, 3: 0, 4: 0}
+
+
+def test_matrix_pairs_by_hit_number(spark):
+    genes = spark.createDataFrame([(g, 0, "+", s, s + 50, s) for g, s in (("a", 0), ("b", 1000), ("c", 2000))], "gene_id string, tid int, strand string, start bigint, end bigint, ord_no bigint")
+
+    def r(i, flag, pos, mate, hi, dup=False):
+        return (i, "n", flag, 0, pos, "10M", 2, mate, dup, hi)
+
+    # By mate position the mates of a and b would be crossed; by hit number each meets its own.
+    rows = [r(1, 65, 0, 1000, 1), r(2, 65, 1000, 0, 2), r(3, 129, 5, 0, 1), r(4, 129, 1005, 1000, 2), r(5, 65, 2000, 0, 3, True)]
+    schema = "rec_idx bigint, qname string, flag int, tid int, pos int, cigar string, nh int, mate_pos int, is_dup boolean, hi int"
+    count = lambda rows: {x.gene_id: (x.all_counts_multi, x.filtered_counts_multi) for x in reports.duplication_matrix(spark.createDataFrame(rows, schema), genes).collect()}
+    assert count(rows) == {"a": (1, 1), "b": (1, 1), "c": (1, 0)}
+    # A record without the number that only one mode leaves out makes the others fall back to the mate position.
+    assert count(rows[:4] + [r(5, 65, 2000, 0, None, True)]) == {"a": (1, 1), "b": (0, 1), "c": (0, 0)}
