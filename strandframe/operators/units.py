@@ -123,15 +123,15 @@ def _number(digits: Column) -> Column:
     return text.try_cast("decimal(28,9)")
 
 
-def figures(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*TIMES, *SIZES)) -> DataFrame:
-    """One row per present value: trace_id, source_id, entity, field_name, x, own, mark, unit.
+def figures(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*TIMES, *SIZES), keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per present value: trace_id, source_id, entity, field_name, x, mark, unit, and the columns of the trace to ``keep``.
 
     Deliveries of one ``trace_id`` count once, the latest by ``received_at`` stands. Empty
     text, null and marks for "none" (-, n/a, none, null, nan) are no values, nor is text
     without a figure. A null source is one of its own (-1). ``columns`` says which to read. ``x`` is the figure; for clocks and compound durations it is in
     milliseconds already. ``mark`` says where the unit comes from: own, remark, note or none.
     """
-    row = F.struct("received_at", "source_id", "task_name", "remark", *columns)
+    row = F.struct("received_at", "source_id", "task_name", "remark", *columns, *keep)
     # Parted first: the rows are not reduced by a partial aggregate, which would sort them once more.
     parted = trace.where(F.col("trace_id").isNotNull()).select("trace_id", row.alias("t")).repartition("trace_id")
     once = parted.groupBy("trace_id").agg(F.max("t").alias("t")).select("trace_id", "t.*")
@@ -142,7 +142,7 @@ def figures(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*T
         )
         for c in columns
     ]
-    long = once.select("trace_id", F.coalesce("source_id", F.lit(-1)).alias("source_id"), F.regexp_replace("task_name", r"\s+", " ").alias("entity"), F.inline(F.array(*each))).where(
+    long = once.select("trace_id", F.coalesce("source_id", F.lit(-1)).alias("source_id"), F.regexp_replace("task_name", r"\s+", " ").alias("entity"), *keep, F.inline(F.array(*each))).where(
         F.col("raw").isNotNull() & ~F.lower("raw").isin("", "-", "--", "n/a", "na", "none", "null", "nan", "\u2014")
     )
     # The table of sources is fixed (a dozen rows), and each gives a handful of facts.
@@ -170,12 +170,12 @@ def figures(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*T
     composed = (F.col("digits") == "") & (F.col("kind") == "time:") & F.col("parts").rlike("[0-9]\\s*[a-z]")
     own = F.when(F.col("binary"), F.coalesce(_lookup(_BINARY, F.col("code")), "code")).otherwise(F.col("code"))
     read = cut.select(
-        "trace_id", "source_id", "entity", "field_name", "said", "note_unit", composed.alias("composed"), own.alias("own"),
+        "trace_id", "source_id", "entity", *keep, "field_name", "said", "note_unit", composed.alias("composed"), own.alias("own"),
         F.when(composed, whole.cast("decimal(28,9)")).otherwise(_number(F.col("digits"))).alias("x"),
     ).where(F.col("x").isNotNull())
     own = F.when(F.col("composed"), F.lit("ms")).otherwise(F.col("own"))
     return read.select(
-        "trace_id", "source_id", "entity", "field_name", "x",
+        "trace_id", "source_id", "entity", *keep, "field_name", "x",
         F.when(own.isNotNull(), "own").when(F.col("said").isNotNull(), "remark").when(F.col("note_unit").isNotNull(), "note").otherwise("none").alias("mark"),
         F.coalesce(own, "said", "note_unit", F.lit("?")).alias("unit"),
     )
@@ -320,19 +320,19 @@ def scales(read: DataFrame) -> DataFrame:
     )
 
 
-def converted(read: DataFrame, scale: DataFrame) -> DataFrame:
-    """trace_id, field_name, entity, amount: milliseconds and bytes, rounded half up.
+def converted(read: DataFrame, scale: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """trace_id, field_name, entity, the columns to ``keep``, amount: milliseconds and bytes, rounded half up.
 
     Values of dialects without a scale are left out; :func:`scales` lists them.
     """
     amount = F.round(F.col("x") * F.col("factor").cast("decimal(18,0)"), 0).try_cast("bigint")
     # One row per source, column and unit: at most MOST_DIALECTS.
     return read.join(F.broadcast(scale.select(*DIALECT, "factor")), DIALECT).select(
-        "trace_id", "field_name", "entity", amount.alias("amount")
+        "trace_id", "field_name", "entity", *keep, amount.alias("amount")
     ).where(F.col("amount").isNotNull())
 
 
-def common_units(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*TIMES, *SIZES)) -> DataFrame:
+def common_units(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*TIMES, *SIZES), keep: tuple[str, ...] = ()) -> DataFrame:
     """:func:`converted` of a trace by the scales found in the same trace; the text is read once."""
-    read = written(figures(trace, sources, columns))
-    return converted(read, scales(read))
+    read = written(figures(trace, sources, columns, keep))
+    return converted(read, scales(read), keep)

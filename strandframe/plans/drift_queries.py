@@ -169,7 +169,8 @@ types AS (
 table_of AS (SELECT * FROM (VALUES ('a', 'source_sha256'), ('b', 'summaries')) t(src, source))
 """
 
-_ELEMENTS = r"""
+#: Twin of p2_found, on which others build.
+ELEMENT_ROWS = r"""
 WITH f AS (
   SELECT 's' AS src, file_id, payload FROM summaries WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1
   UNION ALL SELECT 'c', file_id, payload FROM split_counters WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1),
@@ -224,7 +225,39 @@ held AS (
          length(path) - length(replace(path, '>', '')) + 1 AS depth FROM n WHERE value IS NOT NULL)
 """
 
+#: Figures of the trace read source by source, as a CTE ``val`` (trace_id, task_name, submit_at, pct_cpu, field_name, amount) for twins.
+TRACE_VALUES = r"""
+WITH once AS (
+  SELECT * FROM historical_trace WHERE trace_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY received_at DESC NULLS LAST) = 1),
+long AS (
+  SELECT trace_id, source_id, task_name, submit_at, pct_cpu, lower(coalesce(remark, '')) AS remark, unnest(['duration', 'realtime', 'peak_rss', 'rchar']) AS field_name,
+         lower(trim(replace(unnest([duration, realtime, peak_rss, rchar]), chr(160), ' '))) AS t FROM once),
+said AS (
+  SELECT *, field_name IN ('duration', 'realtime') AS is_time, CASE WHEN field_name IN ('duration', 'realtime') THEN regexp_extract(remark, '(?:times|duration)[^;]*?(milliseconds|seconds|minutes)', 1)
+    WHEN field_name = 'peak_rss' THEN regexp_extract(remark, '(?:memory|rss)[^;]*?(kib|mib|gib|kb|mb|gb)', 1) ELSE regexp_extract(remark, '(?:rchar|characters)[^;]*?(kib|mib|gib|kb|mb|gb)', 1) END AS word,
+    CASE WHEN source_id = 5 THEN replace(t, ',', '.') ELSE replace(t, ',', '') END AS n
+  FROM long WHERE t IS NOT NULL AND t NOT IN ('', '-', 'n/a')),
+cut AS (
+  SELECT *, CASE WHEN source_id NOT IN (1, 3, 6, 7, 8) OR NOT is_time THEN regexp_extract(n, '^([0-9.]+)', 1) END AS num, trim(regexp_extract(n, '^[0-9.]+ *([a-z]*)$', 1)) AS own FROM said),
+unit AS (
+  SELECT *, CASE WHEN own <> '' AND source_id = 6 THEN own || 'ib' WHEN own <> '' THEN own WHEN source_id = 12 THEN word
+    ELSE split_part(CASE source_id WHEN 2 THEN 'ms ms b b' WHEN 3 THEN '- - kib kib' WHEN 4 THEN 's s b mib' WHEN 10 THEN 'min min mib gib' WHEN 11 THEN 'ds ds kb kb' END, ' ',
+      list_position(['duration', 'realtime', 'peak_rss', 'rchar'], field_name)::INT) END AS u FROM cut),
+val AS (
+  SELECT trace_id, task_name, submit_at, pct_cpu, field_name, round(CASE
+    WHEN is_time AND source_id IN (3, 6) THEN
+      (coalesce(try_cast(nullif(regexp_extract(t, '^([0-9]+)-', 1), '') AS DECIMAL(28, 9)), 0) * 86400 + coalesce(try_cast(nullif(regexp_extract(t, '([0-9]+):[0-9]+:[0-9.]+$', 1), '') AS DECIMAL(28, 9)), 0) * 3600
+       + regexp_extract(t, '([0-9]+):[0-9.]+$', 1)::DECIMAL(28, 9) * 60 + regexp_extract(t, ':([0-9.]+)$', 1)::DECIMAL(28, 9)) * 1000
+    WHEN is_time AND source_id IN (1, 7, 8) THEN
+      (coalesce(try_cast(nullif(regexp_extract(t, '([0-9.]+) *h', 1), '') AS DECIMAL(28, 9)), 0) * 3600 + coalesce(try_cast(nullif(regexp_extract(t, '([0-9.]+) *m', 1), '') AS DECIMAL(28, 9)), 0) * 60
+       + coalesce(try_cast(nullif(regexp_extract(t, '([0-9.]+) *s', 1), '') AS DECIMAL(28, 9)), 0)) * 1000
+    ELSE num::DECIMAL(28, 9) * CASE u WHEN 'ms' THEN 1 WHEN 'milliseconds' THEN 1 WHEN 'ds' THEN 100 WHEN 's' THEN 1000 WHEN 'seconds' THEN 1000 WHEN 'min' THEN 60000 WHEN 'minutes' THEN 60000
+      WHEN 'b' THEN 1 WHEN 'kb' THEN 1000 WHEN 'mb' THEN 1000000 WHEN 'megabytes' THEN 1000000 WHEN 'gb' THEN 1000000000 WHEN 'gigabytes' THEN 1000000000
+      WHEN 'kib' THEN 1024 WHEN 'mib' THEN 1048576 WHEN 'gib' THEN 1073741824 END END)::BIGINT AS amount FROM unit)
+"""
+
 ORACLES = {
+    "p5_found": TRACE_VALUES + "SELECT trace_id, field_name, amount FROM val WHERE field_name <> 'realtime' AND amount IS NOT NULL",
     "p2_files": _TREE + "SELECT source, file_id, '' AS node_id, lower(type) AS kind FROM n WHERE parent IS NULL",
     "p2_runs": _TREE + r"""SELECT r.source, r.file_id, r.label AS node_id, r.held AS parent_id, r.run_no, x.value AS run_name
 FROM n r LEFT JOIN named x ON x.step IN ('run', 'lane') AND x.source = r.source AND x.file_id = r.file_id AND x.at = r.label WHERE regexp_matches(r.path, '(^|>)(runs|lanes)>\[\]$')""",
@@ -245,7 +278,7 @@ FROM l JOIN (VALUES ('a', 'source_sha256'), ('b', 'summaries')) t(src, source) U
     "p1_aliases": _ALIASES + "SELECT DISTINCT source, n.evidence_dir AS producer, field, island, canonical, target_type FROM num n JOIN types USING (src, evidence_dir, canonical) JOIN table_of USING (src)",
     "p1_failed_casts": _ALIASES + """SELECT source, n.evidence_dir AS producer, file_id, canonical AS field_name, field AS source_name, jt AS json_type, target_type, val AS value_text
 FROM num n JOIN types USING (src, evidence_dir, canonical) JOIN table_of USING (src) WHERE target_type = 'decimal' AND val IS NOT NULL AND as_num IS NULL""",
-    "p2_found": _ELEMENTS,
+    "p2_found": ELEMENT_ROWS,
     "p3_found": _ONCE + "SELECT tid, pos FROM places WHERE n_mapped > 0 AND n_mapped >= 0.01 * (SELECT sum(n_mapped) FROM places)",
     "p3_places": _ONCE + "SELECT * FROM places",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.operators import dewey, grouping, measures, units
+from strandframe.plans.drift_queries import ELEMENT_ROWS, TRACE_VALUES
 from strandframe.session import load
 from strandframe.streaming import windows
 
@@ -53,10 +54,8 @@ def _capture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rollup(spark: SparkSession, d: str) -> DataFrame:
-    trace = load(spark, d, "historical_trace")
-    ran = units.common_units(trace, load(spark, d, "trace_sources"), ("realtime",))
-    cpu = grouping.latest(trace.select("trace_id", "received_at", "pct_cpu"), "trace_id", "received_at")
-    return measures.trace_rollup(ran.join(cpu, "trace_id").withColumn("process", F.substring_index("entity", " (", 1)), "process", "amount", "pct_cpu")
+    ran = units.common_units(load(spark, d, "historical_trace"), load(spark, d, "trace_sources"), ("realtime",), keep=("pct_cpu",))
+    return measures.trace_rollup(ran.withColumn("process", F.substring_index("entity", " (", 1)), "process", "amount", "pct_cpu")
 
 
 def _topn(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +110,10 @@ w AS (
   FROM ev GROUP BY GROUPING SETS ((tid, strand), (bucket), (strand), ()))"""
 
 ORACLES = {
+    "calls_by_direction": "WITH e AS (" + ELEMENT_ROWS + ") SELECT arm, elem_no, count(*) AS n_elements, sum(amount)::BIGINT AS calls FROM e WHERE field_name = 'calls_by_direction' GROUP BY ALL",
+    "trace_rollup": TRACE_VALUES + """SELECT split_part(regexp_replace(task_name, '\\s+', ' ', 'g'), ' (', 1) AS process, count(*) AS n_tasks, round(sum(amount) / 60000, 3) AS run_minutes,
+  round(sum(amount * coalesce(try_cast(regexp_extract(pct_cpu, '([0-9.]+)', 1) AS DOUBLE), 0) / 100) / 60000, 3) AS cpu_minutes, max(amount) AS longest_ms
+FROM val WHERE field_name = 'realtime' AND amount IS NOT NULL GROUP BY ALL""",
     "arm_summary": _ONCE + """ SELECT host, arm, count(*) AS n, round(avg(cpu20_s), 6) AS mean_value, round(min(cpu20_s), 6) AS min_value, round(max(cpu20_s), 6) AS max_value
 FROM t WHERE cpu20_s IS NOT NULL AND NOT isnan(cpu20_s) GROUP BY host, arm""",
     "paired_ratio": _ONCE + """, m AS (SELECT host, median(cpu20_s) FILTER (arm = 'real') AS a, median(cpu20_s) FILTER (arm = 'synthetic') AS b FROM t WHERE cpu20_s IS NOT NULL GROUP BY host)
