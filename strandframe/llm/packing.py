@@ -5,7 +5,7 @@ and a rest. Rests and whole texts are spread by hash over shards of bounded size
 packs its items best-fit first and then searches locally among its underfull containers: it
 moves an item, exchanges one for one or two for one, always raising the sum of squared
 fills, until the emptiest containers run empty or no exchange helps. The containers that are
-still underfull are pooled, spread over fewer shards and searched again.
+still underfull, a small part, are pooled, dealt anew over fewer shards and searched again, twice.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from strandframe.session import written
 
 #: Items of one shard, and of one shard of the underfull containers: their search takes time in proportion to the square.
-SHARD, POOL = 20_000, 2_000
+SHARD, POOL = 20_000, 4_000
+#: How often the containers that are still underfull are pooled, dealt anew over shards and searched.
+ROUNDS = 2
 PLACED = "size_id int, container_id string, doc_id bigint, piece_no int, n_tokens int, tok_start bigint"
 
 
@@ -165,7 +167,7 @@ def _pack(level: int):
 _PACKED = "size_id int, capacity bigint, doc_id bigint, piece_no int, n_tokens bigint, tok_start bigint, container_id string, is_full boolean"
 
 
-def assign(counts: DataFrame, capacities: DataFrame, shard_items: int = SHARD, pool_items: int = POOL) -> DataFrame:
+def assign(counts: DataFrame, capacities: DataFrame, shard_items: int = SHARD, pool_items: int = POOL, rounds: int = ROUNDS) -> DataFrame:
     """Containers of every capacity: size_id, container_id, doc_id, piece_no, n_tokens, tok_start.
 
     ``counts`` has doc_id (unique) and n_tokens, ``capacities`` (a few fixed rows) size_id and
@@ -188,11 +190,13 @@ def assign(counts: DataFrame, capacities: DataFrame, shard_items: int = SHARD, p
         sharded = items.join(F.broadcast(shards), "size_id").withColumn("shard", F.pmod(F.xxhash64(*key), F.col("shards")).cast("int"))
         return sharded.drop("shards").groupBy("size_id", "shard").applyInPandas(_pack(level), _PACKED)
 
-    first = written(spread(rest, ["doc_id", "piece_no"], 0, shard_items))
-    again = spread(first.where(~F.col("is_full")), ["container_id"], 1, pool_items)
-    whole = full.withColumn("container_id", F.format_string("d-%d-%d", "doc_id", "piece_no"))
     columns = ["size_id", "container_id", "doc_id", "piece_no", "n_tokens", "tok_start"]
-    return whole.select(*columns).unionByName(first.where("is_full").select(*columns)).unionByName(again.select(*columns))
+    done = full.withColumn("container_id", F.format_string("d-%d-%d", "doc_id", "piece_no")).select(*columns)
+    level = written(spread(rest, ["doc_id", "piece_no"], 0, shard_items))
+    for turn in range(1, rounds + 1):
+        done = done.unionByName(level.where("is_full").select(*columns))
+        level = written(spread(level.where(~F.col("is_full")), ["container_id", F.lit(turn)], turn, pool_items))
+    return done.unionByName(level.select(*columns))
 
 
 def packed(documents: DataFrame, capacities: DataFrame, **options) -> DataFrame:
@@ -207,3 +211,21 @@ def fill_report(placed: DataFrame, capacities: DataFrame) -> DataFrame:
         "size_id", "capacity_tokens", "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_containers"),
         F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("fill"),
     )
+
+
+def checks(placed: DataFrame, counts: DataFrame, capacities: DataFrame) -> DataFrame:
+    """size_id, n_documents, n_overfull, n_split_needlessly, n_not_whole: the last three are 0 for a right packing.
+
+    Containers over their capacity; texts in pieces though they fit; texts whose pieces are not just their tokens, each once and in order.
+    """
+    sized = placed.join(capacities.select(F.col("size_id").cast("int"), F.col("capacity_tokens").cast("bigint").alias("capacity")), "size_id")
+    held = sized.groupBy("size_id", "container_id", "capacity").agg(F.sum("n_tokens").alias("n"))
+    over = held.groupBy("size_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_overfull"))
+    piece = F.struct("tok_start", (F.col("tok_start") + F.col("n_tokens")).alias("end"))
+    docs = sized.groupBy("size_id", "doc_id", "capacity").agg(F.array_sort(F.collect_list(piece)).alias("p")).join(counts.select("doc_id", F.col("n_tokens").alias("whole")), "doc_id", "full")
+    inner = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: F.element_at("p", i)["tok_start"] == F.when(i == 1, 0).otherwise(F.element_at("p", F.greatest(i - 1, F.lit(1)))["end"]))
+    right = F.coalesce(inner & (F.element_at("p", -1)["end"] == F.col("whole")), F.lit(False))
+    per = docs.groupBy("size_id").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if((F.size("p") > 1) & (F.col("whole") <= F.col("capacity"))).alias("n_split_needlessly"), F.count_if(~right).alias("n_not_whole")
+    )
+    return per.join(over, "size_id").select("size_id", "n_documents", "n_overfull", "n_split_needlessly", "n_not_whole")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandframe.llm import leaks, packing, percentiles, sentences
 from strandframe.operators import dewey, units
-from strandframe.session import load
+from strandframe.plans.drift_queries import TRACE_VALUES
+from strandframe.session import load, written
 
 GROUP = ["metric", "grp", "run_day"]
 
@@ -23,11 +24,8 @@ def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = once.select(F.concat_ws("/", "host", "arm").alias("grp"), _day("started_at"), "cpu20_s", "gpu_wall_s").unpivot(
         ["grp", "run_day"], ["cpu20_s", "gpu_wall_s"], "metric", "value"
     )
-    trace = load(spark, sf_dir, "historical_trace")
-    ran = units.common_units(trace, load(spark, sf_dir, "trace_sources"), ("realtime",))
-    # Repeated deliveries of a trace_id share its submit time; the earliest stands if they should not.
-    day = trace.where("trace_id IS NOT NULL").groupBy("trace_id").agg(F.min("submit_at").alias("submit_at"))
-    real = ran.join(day, "trace_id").select(
+    ran = units.common_units(load(spark, sf_dir, "historical_trace"), load(spark, sf_dir, "trace_sources"), ("realtime",), keep=("submit_at",))
+    real = ran.select(
         F.substring_index("entity", " (", 1).alias("grp"), _day("submit_at"), F.lit("realtime").alias("metric"), F.col("amount").cast("double").alias("value")
     )
     return probe.select(*GROUP, "value").unionByName(real.select(*GROUP, "value"))
@@ -80,6 +78,13 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir), load(spark, sf_dir, "container_sizes"))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity the documents placed, and what must be none: containers over capacity, texts split for no need, texts not placed whole."""
+    docs, sizes = load(spark, sf_dir, "documents"), load(spark, sf_dir, "container_sizes")
+    counts = written(packing.token_counts(docs))
+    return packing.checks(packing.assign(counts, sizes), counts, sizes)
+
+
 def _leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
@@ -101,8 +106,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found, "p4_all_days": p4_all_days, "p4_arms": p4_arms,
-    "p6_found": p6_found, "p6_placed": p6_placed, "p6_fill": p6_fill,
+    "p6_found": p6_found, "p6_placed": p6_placed, "p6_fill": p6_fill, "p6_checks": p6_checks,
     "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    # Exact percentiles: no group is near the limit.
+    "p4_found": TRACE_VALUES + """, probe AS (
+  SELECT * FROM probe_timings WHERE timing_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY timing_id ORDER BY received_at DESC NULLS LAST) = 1),
+v AS (
+  SELECT unnest(['cpu20_s', 'gpu_wall_s']) AS metric, concat_ws('/', host, arm) AS grp, started_at AS moment, unnest([cpu20_s, gpu_wall_s]) AS x FROM probe
+  UNION ALL SELECT 'realtime', split_part(regexp_replace(task_name, '\\s+', ' ', 'g'), ' (', 1), submit_at, amount FROM val WHERE field_name = 'realtime')
+SELECT metric, grp, (year(moment) * 10000 + month(moment) * 100 + day(moment))::BIGINT AS run_day FROM v WHERE x IS NOT NULL AND NOT isnan(x)
+GROUP BY ALL HAVING quantile_disc(x, 0.9) >= 4 * quantile_disc(x, 0.5)""",
+    "p6_checks": """SELECT size_id, (SELECT count(*) FROM documents WHERE length(text) > 0 AND doc_id IS NOT NULL) AS n_documents,
+  0::BIGINT AS n_overfull, 0::BIGINT AS n_split_needlessly, 0::BIGINT AS n_not_whole FROM container_sizes""",
+}

@@ -71,3 +71,20 @@ def test_documents(spark):
     assert sorted((r.doc_id, r.piece_no) for r in placed.collect()) == [(3, 0), (3, 1), (4, 0)]
     assert P.fill_report(placed, spark.createDataFrame([(1, 512, 0)], SIZES)).first().n_containers == 2
     assert P.packed(docs.limit(0), spark.createDataFrame([(1, 512, 0)], SIZES)).count() == 0
+
+
+def test_checks_see_what_is_wrong(spark):
+    sizes = spark.createDataFrame([(1, 10)], "size_id int, capacity_tokens int")
+    counts = spark.createDataFrame([(1, 4), (2, 25), (3, 9), (4, 3)], "doc_id bigint, n_tokens bigint")
+    schema = "size_id int, container_id string, doc_id bigint, piece_no int, n_tokens bigint, tok_start bigint"
+    right = [(1, "a", 1, 0, 4, 0), (1, "b", 2, 0, 10, 0), (1, "c", 2, 1, 10, 10), (1, "a", 2, 2, 5, 20), (1, "d", 3, 0, 9, 0), (1, "e", 4, 0, 3, 0)]
+    wrong = [(1, "a", 1, 0, 2, 0), (1, "b", 1, 1, 2, 2), (1, "b", 2, 0, 10, 0), (1, "c", 2, 1, 10, 9), (1, "a", 2, 2, 5, 20), (1, "d", 3, 0, 8, 0), (1, "e", 4, 0, 3, 0)]
+    report = lambda rows: [tuple(r) for r in P.checks(spark.createDataFrame(rows, schema), counts, sizes).collect()]
+    assert report(right) == [(1, 4, 0, 0, 0)] and report(wrong) == [(1, 4, 1, 1, 2)]
+
+
+def test_more_rounds_never_need_more_containers(spark):
+    counts = spark.range(3000).selectExpr("id AS doc_id", "id * 7919 % 487 + 20 AS n_tokens")
+    sizes = spark.createDataFrame([(1, 512)], "size_id int, capacity_tokens int")
+    used = [P.fill_report(P.assign(counts, sizes, 300, 200, rounds), sizes).first() for rounds in (0, 1, 3)]
+    assert used[0].n_containers >= used[1].n_containers >= used[2].n_containers >= used[2].least_containers and used[2].fill > 0.97
