@@ -21,6 +21,8 @@ from strandframe.session import materialise
 
 #: Bases of a word; a request is at most ``LONGEST`` bases.
 K, LONGEST, PIECE = 12, 4_096, 32_768
+#: Places of one word that one salt holds.
+HOT = 10_000
 _CODE = np.full(256, 4, dtype=np.int64)
 _CODE[[ord(c) for c in "ACGT"]] = range(4)
 
@@ -36,8 +38,15 @@ def pieces(references: DataFrame, piece: int = PIECE) -> DataFrame:
     """
     plain = F.regexp_replace(F.upper("seq"), "[^ACGT]", ".")
     both = references.where(F.length("seq") > 0).select("tid", F.posexplode(F.array(plain, reverse_complement(plain))).alias("strand", "seq"))
-    cut = both.select("tid", "strand", "seq", F.explode(F.sequence(F.lit(0), ((F.length("seq") - 1) / piece).cast("int"))).alias("piece_no"))
-    return cut.select("tid", "strand", "piece_no", F.expr(f"substring(seq, piece_no * {piece} + 1, {piece + LONGEST})").alias("text")).repartition("tid", "strand", "piece_no")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A sequence is walked through once, whatever its length."""
+        for batch in batches:
+            for row in batch.itertuples():
+                for no, at in enumerate(range(0, len(row.seq), piece)):
+                    yield pd.DataFrame({"tid": [row.tid], "strand": row.strand, "piece_no": no, "text": row.seq[at : at + piece + LONGEST]})
+
+    return both.mapInPandas(run, "tid int, strand int, piece_no int, text string").repartition("tid", "strand", "piece_no")
 
 
 def _words(text: str, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,23 +107,34 @@ def search(requests: DataFrame, references: DataFrame, k: int = K, piece: int =
     ``requests`` has req_id (unique) and query, a text of bases in reading direction (for
     requests that read backwards, the reverse complement). A request without any match has
     length 0 and all suffixes as places, as an empty prefix has. Null and empty queries have
-    no row. Extra columns are ignored.
+    no row; a query of more than ``LONGEST`` bases is an error. Extra columns are ignored.
+    Requests with the same query are searched once. The places of a frequent first word, a repeat of the reference,
+    are spread over as many salts as they fill, and the requests that begin with it are sent to each.
     """
     cut = pieces(references, piece)
-    asked = requests.where(F.length("query") > 0).select("req_id", F.upper(F.left("query", F.lit(LONGEST))).alias("query"))
+    named = requests.where(F.length("query") > 0).select("req_id", F.upper("query").alias("query"))
+    named = named.withColumn("query", F.when(F.length("query") <= LONGEST, F.col("query")).otherwise(F.raise_error(F.lit(f"queries have at most {LONGEST} bases"))))
+    asked = named.select("query").distinct().withColumn("req_id", F.col("query"))
     sizes = F.filter(F.sequence(F.lit(1), F.lit(k)), lambda s: s <= F.length("query"))
     short = asked.select("req_id", F.explode(sizes).alias("size"), "query").select("req_id", "size", _number(F.left("query", F.col("size"))).alias("word"))
-    by_count = short.join(word_counts(cut, k, piece), ["size", "word"]).groupBy("req_id").agg(F.max(F.struct("size", "n")).alias("s"))
+    counts = word_counts(cut, k, piece)
+    by_count = short.join(counts, ["size", "word"]).groupBy("req_id").agg(F.max(F.struct("size", "n")).alias("s"))
     long = asked.where(F.length("query") > k).withColumn("word", _number(F.left("query", F.lit(k))))
-    places = long.join(word_index(cut, k, piece), "word").withColumn("piece_no", F.floor(F.col("pos") / piece).cast("int"))
+    # Words with more places than one salt holds: at most a share of 1 / HOT of all places.
+    often = counts.where((F.col("size") == k) & (F.col("n") > HOT)).select("word", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    spread = long.join(often, "word", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    salt = F.pmod(F.xxhash64("tid", "strand", "pos"), F.coalesce("salts", F.lit(1))).cast("int")
+    known = word_index(cut, k, piece).join(often, "word", "left").withColumn("salt", salt).drop("salts")
+    places = spread.join(known, ["word", "salt"]).withColumn("piece_no", F.floor(F.col("pos") / piece).cast("int"))
     seen = places.join(cut, ["tid", "strand", "piece_no"]).select(
         "req_id", common_prefix(F.col("query"), F.expr(f"substring(text, cast(pos % {piece} as int) + 1, length(query))")).alias("length")
     )
     by_text = seen.groupBy("req_id", "length").agg(F.count(F.lit(1)).alias("n")).groupBy("req_id").agg(F.max(F.struct("length", "n")).alias("t"))
     total = references.agg(F.coalesce(2 * F.sum(F.length("seq")), F.lit(0))).scalar()
-    return asked.join(by_count, "req_id", "left").join(by_text, "req_id", "left").select(
-        "req_id", F.coalesce("t.length", "s.size", F.lit(0)).alias("length"), F.coalesce("t.n", "s.n", total).cast("bigint").alias("n_places")
+    found = asked.join(by_count, "req_id", "left").join(by_text, "req_id", "left").select(
+        "query", F.coalesce("t.length", "s.size", F.lit(0)).alias("length"), F.coalesce("t.n", "s.n", total).cast("bigint").alias("n_places")
     )
+    return named.join(found, "query").select("req_id", "length", "n_places")
 
 
 def chain(requests: DataFrame, references: DataFrame, least: int = 5, steps: int = 8, k: int = K, piece: int = PIECE) -> DataFrame:

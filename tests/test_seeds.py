@@ -35,3 +35,17 @@ def test_longest_matches_and_chains(spark):
         assert steps[8, n] == (start, length, places)
         start, n = start + length, n + 1
     assert steps[0, 0] == (0, 40, 1) and (0, 1) not in steps
+
+
+def test_frequent_words_are_spread_and_long_queries_refused(spark, monkeypatch):
+    import pytest
+
+    refs = ["A" * 200 + "C" + "A" * 60, "ACGT" * 30]
+    queries = ["A" * 80, "A" * 80, "A" * 61 + "C", "ACGTACGTAA", "C" + "A" * 70]
+    asked = spark.createDataFrame(list(enumerate(queries)), "req_id int, query string")
+    known = spark.createDataFrame(list(enumerate(refs)), "tid int, seq string")
+    monkeypatch.setattr(seeds, "HOT", 16)
+    got = {r.req_id: (r.length, r.n_places) for r in seeds.search(asked, known, 4, 64).collect()}
+    assert got == {i: brute(q, refs) for i, q in enumerate(queries)}
+    with pytest.raises(Exception, match="at most"):
+        seeds.search(spark.createDataFrame([(1, "A" * 5000)], "req_id int, query string"), known).collect()
