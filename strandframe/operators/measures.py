@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.operators.grouping import medians
+from strandframe.operators.grouping import log2_bin, lower_quantiles, medians
 
 
 def arm_summary(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -106,3 +106,32 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     columns = a.columns
     left = a.exceptAll(b.select(*columns)).withColumn("side", F.lit("left"))
     return left.unionByName(b.select(*columns).exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, lower quantiles (1/2, 9/10, 99/100), greatest value and log2 histogram of whole numbers per group.
+
+    The histogram is text, ``bin:count`` in order of the bins (at most 64): bin 0 for 0, k for 2^(k-1) up to 2^k - 1. Nulls and
+    negative numbers do not count; groups without values have no row.
+    """
+    kept = df.where(F.col(value) >= 0).select(*keys, F.col(value).cast("bigint").alias("__v"))
+    bins = kept.groupBy(*keys, log2_bin(F.col("__v")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__v").cast("decimal(38,0)")).alias("s"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "n"))), lambda x: F.concat_ws(":", x["b"].cast("string"), x["n"].cast("string"))), ",")
+    shape = bins.groupBy(*keys).agg(text.alias("log2_histogram"), F.round(F.sum("s").cast("double") / F.sum("n"), 6).alias("mean_value"))
+    return lower_quantiles(kept.withColumn("__v", F.col("__v").cast("double")), keys, "__v", [(1, 2), (9, 10), (99, 100), (1, 1)]).join(shape, keys)
+
+
+def repeats(runs: DataFrame, keys: list[str], cpu: str, gpu: str) -> DataFrame:
+    """One row per repeat of a comparison: ``keys``, cpu_s, gpu_s (means where a repeat has several) and speedup."""
+    each = runs.groupBy(*keys).agg(F.avg(cpu).alias("cpu_s"), F.avg(gpu).alias("gpu_s")).where("cpu_s IS NOT NULL AND gpu_s IS NOT NULL")
+    return each.select(*keys, F.round("cpu_s", 9).alias("cpu_s"), F.round("gpu_s", 9).alias("gpu_s"), F.round(F.try_divide("cpu_s", "gpu_s"), 6).alias("speedup"))
+
+
+def checksum(df: DataFrame, position: str, columns: list[str]) -> DataFrame:
+    """One row, n_rows and checksum: equal for equal rows at equal positions, in whatever order and parts they are read.
+
+    Each row's text begins with its position, so rows that change places change the sum; nulls differ from empty texts.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in (position, *columns)])
+    short = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(short), F.lit(0)).cast("string").alias("checksum"))

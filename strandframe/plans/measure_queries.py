@@ -41,13 +41,31 @@ def _attributed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _workers(spark: SparkSession, d: str) -> DataFrame:
-    stats = _aln(spark, d, "qname", "body_len", "ref_len", "flag").select(
-        F.substring_index("qname", ":", 2).alias("worker"), F.lit(1).cast("bigint").alias("requests"), F.col("body_len").cast("bigint").alias("bytes"),
-        F.col("ref_len").alias("longest"), F.col("flag").alias("status"),
+    """The counters of direct and inner requests merged: each element is one worker's calls in one direction."""
+    calls = dewey.elements(dewey.nodes(load(spark, d, "split_counters"), "split_counters", keep=dewey.ELEMENT_NODES))
+    stats = calls.select(
+        F.col("arm").alias("worker"), F.lit(1).cast("bigint").alias("requests"), F.col("amount").alias("bytes"), F.col("amount").alias("longest"),
+        F.expr("shiftleft(1L, cast(elem_no as int))").alias("status"),
     )
     return measures.stat_merge(stats, ["worker"])
 
 
+def _distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Microseconds of CPU time by arm: quantiles and log2 histogram."""
+    return measures.distribution(_timings(spark, d).withColumn("us", F.round(F.col("cpu20_s") * 1_000_000)), ["arm"], "us")
+
+
+def _repeats(spark: SparkSession, d: str) -> DataFrame:
+    """CPU against device time of every host, arm and repeat."""
+    runs = grouping.latest(load(spark, d, "probe_timings").select("timing_id", "received_at", "host", "arm", "rep_no", "cpu20_s", "gpu_wall_s"), "timing_id", "received_at")
+    return measures.repeats(runs, ["host", "arm", "rep_no"], "cpu20_s", "gpu_wall_s")
+
+
+def _checksum(spark: SparkSession, d: str) -> DataFrame:
+    """Of the alignments' records, in order of ``rec_idx``."""
+    return measures.checksum(_aln(spark, d, "qname", "flag", "tid", "pos", "cigar"), "rec_idx", ["qname", "flag", "tid", "pos", "cigar"])
+
+
 def _capture(spark: SparkSession, d: str) -> DataFrame:
     rows = _aln(spark, d, "qname").withColumn("worker", F.substring_index("qname", ":", 2))
     return measures.bounded_capture(rows, "worker", "qname", "rec_idx", 100_000)
@@ -84,12 +102,15 @@ QUERIES = {
     "paired_ratio": lambda s, d: measures.paired_ratio(_timings(s, d), ["host"], "arm", "real", "synthetic", "cpu20_s"),
     "quantile_lower": _quantiles,
     "log2_hist": _log2,
-    "imbalance_32": lambda s, d: measures.imbalance(_aln(s, d, "body_len"), "rec_idx", F.col("body_len")),
+    "imbalance_32": lambda s, d: measures.imbalance(_timings(s, d), "timing_id", F.col("cpu20_s")),
     "work_attribution": _attributed,
     "work_reconciled": lambda s, d: measures.reconciled(_attributed(s, d), ["requests", "bytes", "bases"]),
     "worker_stats": _workers,
     "bounded_capture": _capture,
-    "profile_difference": lambda s, d: measures.profile_difference(_aln(s, d, "tid", "nh"), "tid", "nh", 1, 2),
+    "profile_difference": lambda s, d: measures.profile_difference(_timings(s, d), "host", "arm", "real", "synthetic"),
+    "probe_distribution": _distribution,
+    "probe_repeats": _repeats,
+    "record_checksum": _checksum,
     "trace_rollup": _rollup,
     "topn": _topn,
     "ordered_cap": _cap,
@@ -122,15 +143,23 @@ SELECT host, round(a, 6) AS base_median, round(b, 6) AS other_median, round(b /
 SELECT host, arm, any_value(n) AS n_values, min(v) FILTER (i = 0) AS q0_1, min(v) FILTER (i = (n - 1) // 4) AS q1_4, min(v) FILTER (i = (n - 1) // 2) AS q1_2,
   min(v) FILTER (i = (n - 1) * 9 // 10) AS q9_10, min(v) FILTER (i = (n - 1) * 99 // 100) AS q99_100, min(v) FILTER (i = n - 1) AS q1_1 FROM r GROUP BY host, arm""",
     "log2_hist": _ALN + " SELECT CASE WHEN tlen = 0 THEN 0 ELSE floor(log2(abs(tlen)))::INT + 1 END AS bin, count(*) AS n FROM aln GROUP BY ALL",
-    "imbalance_32": _ALN + """ SELECT rec_idx // 32 AS lane_group, round(max(body_len) * count(body_len) / sum(body_len), 6) AS imbalance FROM aln GROUP BY ALL HAVING sum(body_len) > 0""",
+    "imbalance_32": _ONCE + """ SELECT timing_id // 32 AS lane_group, round(max(cpu20_s) * count(cpu20_s) / sum(cpu20_s), 6) AS imbalance FROM t GROUP BY ALL HAVING sum(cpu20_s) > 0""",
     "work_attribution": _EVENTS + " SELECT * FROM w",
     "work_reconciled": _EVENTS + " SELECT level, sum(requests)::BIGINT AS requests, sum(bytes)::BIGINT AS bytes, sum(bases)::BIGINT AS bases FROM w GROUP BY level",
-    "worker_stats": _ALN + """ SELECT split_part(qname, ':', 1) || ':' || split_part(qname, ':', 2) AS worker, count(*) AS requests, sum(body_len)::BIGINT AS bytes, max(ref_len) AS longest, bit_or(flag) AS status
-FROM aln GROUP BY ALL""",
+    "worker_stats": "WITH e AS (" + ELEMENT_ROWS + """) SELECT arm AS worker, count(*) AS requests, sum(amount)::BIGINT AS bytes, max(amount) AS longest, bit_or((1::BIGINT << elem_no::INT)) AS status
+FROM e WHERE field_name = 'calls_by_direction' GROUP BY ALL""",
+    "probe_distribution": _ONCE + """, u AS (SELECT arm, round(cpu20_s * 1000000)::BIGINT AS v FROM t WHERE cpu20_s >= 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY arm) AS n FROM u),
+b AS (SELECT arm, CASE WHEN v = 0 THEN 0 ELSE length(bin(v)) END AS b, count(*) AS c FROM u GROUP BY ALL)
+SELECT arm, any_value(n) AS n_values, min(v) FILTER (i = (n - 1) // 2)::DOUBLE AS q1_2, min(v) FILTER (i = (n - 1) * 9 // 10)::DOUBLE AS q9_10, min(v) FILTER (i = (n - 1) * 99 // 100)::DOUBLE AS q99_100,
+  max(v)::DOUBLE AS q1_1, round(avg(v), 6) AS mean_value, (SELECT string_agg(b.b || ':' || b.c, ',' ORDER BY b.b) FROM b WHERE b.arm IS NOT DISTINCT FROM r.arm) AS log2_histogram FROM r GROUP BY arm""",
+    "probe_repeats": _ONCE + """, m AS (SELECT host, arm, rep_no, avg(cpu20_s) AS c, avg(gpu_wall_s) AS g FROM t GROUP BY ALL)
+SELECT host, arm, rep_no, round(c, 9) AS cpu_s, round(g, 9) AS gpu_s, round(c / nullif(g, 0), 6) AS speedup FROM m WHERE c IS NOT NULL AND g IS NOT NULL""",
+    "record_checksum": _ALN + """ SELECT count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', rec_idx, coalesce(qname, '~'), coalesce(flag::VARCHAR, '~'), coalesce(tid::VARCHAR, '~'), coalesce(pos::VARCHAR, '~'), coalesce(cigar, '~'))), 1, 15))::BIGINT)::VARCHAR AS checksum FROM aln""",
     "bounded_capture": _ALN + """, r AS (SELECT split_part(qname, ':', 1) || ':' || split_part(qname, ':', 2) AS worker, qname, min(rec_idx) AS f, count(*) AS n_records FROM aln GROUP BY ALL)
 SELECT worker, qname, n_records, running FROM (SELECT *, (sum(n_records) OVER (PARTITION BY worker ORDER BY f, qname ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM r) WHERE running <= 100000""",
-    "profile_difference": _ALN + """, p AS (SELECT tid, count(*) FILTER (nh = 1) AS n_a, count(*) FILTER (nh = 2) AS n_b FROM aln WHERE nh IN (1, 2) GROUP BY tid)
-SELECT tid, n_a, n_b, round(n_a / (SELECT sum(n_a) FROM p), 6) AS share_a, round(n_b / (SELECT sum(n_b) FROM p), 6) AS share_b FROM p""",
+    "profile_difference": _ONCE + """, p AS (SELECT host, count(*) FILTER (arm = 'real') AS n_a, count(*) FILTER (arm = 'synthetic') AS n_b FROM t WHERE arm IN ('real', 'synthetic') GROUP BY host)
+SELECT host, n_a, n_b, round(n_a / (SELECT sum(n_a) FROM p), 6) AS share_a, round(n_b / (SELECT sum(n_b) FROM p), 6) AS share_b FROM p""",
     "topn": _ONCE + " SELECT timing_id, host, arm, cpu20_s FROM t WHERE cpu20_s IS NOT NULL ORDER BY cpu20_s DESC, timing_id LIMIT 15",
     "ordered_cap": _ALN + " SELECT tid, pos, rec_idx FROM aln WHERE flag & 4 = 0 ORDER BY tid NULLS FIRST, pos NULLS FIRST, rec_idx LIMIT 200000",
     "capacity": _ONCE + """, m AS (SELECT host, avg(cpu20_s) AS s FROM t WHERE cpu20_s IS NOT NULL AND arm = 'real' GROUP BY host)

@@ -125,6 +125,56 @@ def write_junctions(found: DataFrame, refs: DataFrame, path: str) -> None:
     _lines(named, ["tid", "first_rec_idx", "start"], ["ref_name", "start", "end", "n_reads", F.concat(F.lit(" "), "kind")], path)
 
 
+def write_histogram(histogram: DataFrame, path: str) -> None:
+    """How many keys occur how often, by occurrence."""
+    _lines(histogram, ["occurrence"], ["occurrence", "n_keys"], path)
+
+
+def write_inner_distance(bins: DataFrame, path: str) -> None:
+    """Inner distances by bin."""
+    _lines(bins, ["bin_left"], ["bin_left", "bin_right", "n"], path)
+
+
+def write_saturation(steps: DataFrame, path: str) -> None:
+    """Junctions after each share of the events: the numbers of the saturation plot."""
+    _lines(steps, ["percent"], ["percent", "known", "all_junctions", "novel"], path)
+
+
+# Labels of the junction summary.
+_JUNCTION_KINDS = (("Known Splicing", "annotated"), ("Partial Novel Splicing", "partial_novel"), ("Novel Splicing", "complete_novel"))
+
+
+def junction_log_text(totals: DataFrame) -> str:
+    """Events and junctions by kind (four rows), with short introns as filtered events."""
+    n = {r.kind: (r.n_events, r.n_junctions) for r in totals.collect()}
+    get = lambda kind, i: n.get(kind, (0, 0))[i]
+    out = []
+    for i, unit in enumerate(("Events", "Junctions")):
+        # Filtered events are part of the total, they have no junctions.
+        out.append(f"Total splicing  {unit}:\t{sum(v[i] for v in n.values())}\n")
+        out += [f"{label} {unit}:\t{get(kind, i)}\n" for label, kind in _JUNCTION_KINDS]
+        out.append(f"Filtered Splicing Events:\t{get('filtered', 0)}\n\n" if i == 0 else "")
+    return "".join(out)
+
+
+def distribution_json(report: DataFrame, keys: list[str]) -> str:
+    """Distributions (:func:`strandframe.operators.measures.distribution`) as one JSON text, an object per group; one row per group is read."""
+    import json
+
+    out = {}
+    for r in report.collect():
+        row = r.asDict()
+        bins = dict(part.split(":") for part in row["log2_histogram"].split(",") if part)
+        out["/".join(str(row[k]) for k in keys)] = {**{c: row[c] for c in ("mean_value", "q1_2", "q9_10", "q99_100", "q1_1")}, "log2_histogram": {k: int(v) for k, v in bins.items()}}
+    return json.dumps(out, indent=2, sort_keys=True)
+
+
+def write_repeats(repeats: DataFrame, path: str) -> None:
+    """The rows of a measured comparison, one per repeat, numbers of seconds with nine places."""
+    place = lambda c: F.format_string("%.9f", F.col(c))
+    _lines(repeats, ["host", "arm", "rep_no"], ["host", "arm", "rep_no", place("cpu_s"), place("gpu_s"), F.format_string("%.6f", F.col("speedup"))], path)
+
+
 def write_matrix(matrix: DataFrame, path: str) -> None:
     """The duplication matrix, ``NA`` where a rate has no base."""
     _lines(matrix, ["gene_id"], matrix.columns, path)

@@ -91,10 +91,16 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True)
 
 
-def read_timings(spark: SparkSession, path: str) -> DataFrame:
-    """A timing table: repeat, arm, wall_s, user_s, sys_s, max_rss_kib, exit. A row that did not exit with 0 raises an error."""
-    rows = spark.read.csv(path, sep="\t", header=True, schema="repeat int, arm string, wall_s double, user_s double, sys_s double, max_rss_kib bigint, exit int")
-    return rows.withColumn("wall_s", F.when(F.col("exit") == 0, F.col("wall_s")).otherwise(F.raise_error(F.concat(F.lit("run did not exit cleanly: "), F.col("arm")))))
+# Columns of the two layouts of timing tables.
+TIMINGS = "repeat int, arm string, wall_s double, user_s double, sys_s double, max_rss_kib bigint, exit int"
+STAGES = "stage string, wall_s double, user_s double, sys_s double, max_rss_kib bigint, threads int, exit int"
+
+
+def read_timings(spark: SparkSession, path: str, layout: str = TIMINGS) -> DataFrame:
+    """A timing table in one of the layouts. A row that did not exit with 0 raises an error, whichever columns are read."""
+    rows = spark.read.csv(path, sep="\t", header=True, schema=layout)
+    failed = F.raise_error(F.concat(F.lit("run did not exit cleanly: "), F.coalesce(F.col(rows.columns[1] if layout == TIMINGS else rows.columns[0]), F.lit("")))).cast("boolean")
+    return rows.where(F.when(F.col("exit") == 0, F.lit(True)).otherwise(failed))
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:

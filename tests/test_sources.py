@@ -127,3 +127,65 @@ def test_texts(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "idx")).collect()] == ["chr1\t1000\t1\t0", "chr2\t500\t1\t0", "*\t0\t0\t1"]
     render.write_bedgraph(reports.coverage(aln, refs), refs, str(tmp_path / "cov"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "cov")).collect()) == ["chr1\t11\t15\t1", "chr1\t7\t10\t1", "chr2\t50\t55\t1"]
+
+
+def test_captures_and_their_results(spark, tmp_path):
+    import hashlib
+    import struct
+
+    from strandframe.sources import requests as Q
+
+    def inner(request, read, start, length, bases):
+        v = [request, read, 0, 0, 0, 0, 0, start, length, 3, 9, 1, 7, 4, 5, 2]
+        body = struct.pack("<16Q", *v) + bytes([1, 0, 0, 0]) + struct.pack("<II", len(bases), len(bases)) + bytes(84) + bases + bases[::-1]
+        return struct.pack("<IHHQ", 16 + len(body), 1, 0, request) + body
+
+    def capture(frames):
+        data = b"SSIRLE01" + struct.pack("<II", 1, 160) + bytes(144) + frames
+        return data + bytes(Q.FOOTER - 32) + hashlib.sha256(data).digest()
+
+    end = struct.pack("<IHHQ", 16, 2, 0, 0)
+    good = capture(inner(1, 0, 0, 4, b"\x00\x01\x02\x03") + inner(2, 0, 2, 2, b"\x00\x01\x02\x03") + end + inner(3, 1, 0, 1, b"\x03") + end)
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "a.bin").write_bytes(good)
+    rows = Q.read_captures(spark, str(tmp_path / "good")).orderBy("request").collect()
+    assert [(r.read_no, r.start, r.length, r.out_places, r.dir, bytes(r.bases1)) for r in rows] == [
+        (0, 0, 4, 2, 1, b"\x03\x02\x01\x00"), (0, 2, 2, 2, 1, b"\x03\x02\x01\x00"), (1, 0, 1, 2, 1, b"\x03")]
+    for n, bad in enumerate((good[:-1] + b"x", capture(inner(1, 0, 0, 4, b"\x00\x01\x02\x03")), capture(inner(1, 0, 9, 4, b"\x00\x01") + end), good[:50])):
+        (tmp_path / f"bad{n}").mkdir()
+        (tmp_path / f"bad{n}" / "a.bin").write_bytes(bad)
+        with pytest.raises(Exception, match="capture|footer|request|frame"):
+            Q.read_captures(spark, str(tmp_path / f"bad{n}")).collect()
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.star-tuples.bin").write_bytes(b"UMSTAR01" + struct.pack("<9Q", 2, 1, 2, 3, 4, 5, 6, 7, 8))
+    assert [tuple(r)[1:] for r in Q.read_tuples(spark, str(tmp_path / "t")).collect()] == [(0, 1, 2, 3, 4), (1, 5, 6, 7, 8)]
+
+
+def test_a_failed_run_is_an_error_whatever_is_read(spark, tmp_path):
+    from strandframe.sources import text as T
+
+    (tmp_path / "t.tsv").write_text("stage\twall_s\tuser_s\tsys_s\tmax_rss_kib\tthreads\texit\nsort\t1.5\t2\t0\t7\t4\t0\nmark\t1\t2\t0\t7\t4\t1\n")
+    rows = T.read_timings(spark, str(tmp_path / "t.tsv"), T.STAGES)
+    with pytest.raises(Exception, match="cleanly: mark"):
+        rows.select("stage").collect()
+
+
+def test_report_texts_of_junctions_distances_and_distributions(spark, tmp_path):
+    import json
+
+    from strandframe.operators import measures
+    from strandframe.sources import render
+
+    totals = spark.createDataFrame([("annotated", 7, 2), ("complete_novel", 1, 1), ("filtered", 3, 0)], "kind string, n_events bigint, n_junctions bigint")
+    log = render.junction_log_text(totals)
+    assert "Total splicing  Events:\t11\n" in log and "Novel Splicing Junctions:\t1\n" in log and "Filtered Splicing Events:\t3\n" in log
+    render.write_histogram(spark.createDataFrame([(2, 5), (1, 9)], "occurrence bigint, n_keys bigint"), str(tmp_path / "h"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "h").glob("part-*"))) == "1\t9\n2\t5\n"
+    values = spark.createDataFrame([("a", v) for v in (0, 1, 2, 3, 8, None, -4)], "k string, v bigint")
+    shown = json.loads(render.distribution_json(measures.distribution(values, ["k"], "v"), ["k"]))
+    assert shown == {"a": {"mean_value": 2.8, "q1_2": 2.0, "q9_10": 3.0, "q99_100": 3.0, "q1_1": 8.0, "log2_histogram": {"0": 1, "1": 1, "2": 2, "4": 1}}}
+    a = spark.createDataFrame([(1, "x", None), (2, "y", "")], "i int, s string, t string")
+    one = lambda df: df.first().checksum
+    assert one(measures.checksum(a, "i", ["s", "t"])) == one(measures.checksum(a.repartition(3).orderBy("s"), "i", ["s", "t"]))
+    swapped = spark.createDataFrame([(2, "x", None), (1, "y", "")], "i int, s string, t string")
+    assert one(measures.checksum(a, "i", ["s", "t"])) != one(measures.checksum(swapped, "i", ["s", "t"]))
