@@ -122,6 +122,8 @@ def _ends(text: str, at: int, end: int) -> bool:
             return follows in "\"«„“¿¡([█"
         if len(word) < 2 or ("." in word and low not in MAY_END) or low in NEVER or low in BEFORE_FIGURE:
             return bool(not word and before and before[-1] in ")]%»”")
+        if low in COMPANY and ord(follows) > 0x590:
+            return False
         return follows.isupper() or ord(follows) > 0x590
     if not word:
         return True
@@ -134,7 +136,9 @@ def _ends(text: str, at: int, end: int) -> bool:
     if low in COMPANY and ord(follows) > 0x590:
         return False
     if low in MAY_END:
-        return not (follows in "([" and text[after + 1 : after + 2].isdigit())
+        # A year or a reference in brackets goes on, a redaction in brackets is the next sentence's first word.
+        inner = text[after + 1 : after + 2]
+        return not (follows == "(" and inner != "…" or follows == "[" and inner.isdigit())
     if len(word) == 1 and ord(word) < 0x590 and word.isalpha():
         # Initials and one-letter abbreviations, but for the end of a two-letter one (d. A.).
         return word == "A" and lead in ("d.", "S.") and not follows.isdigit()

@@ -41,6 +41,9 @@ def test_layout():
     assert split("ศาลเห็นว่า ข้อ 5 ตัน ผิด") == ["ศาลเห็นว่า", "ข้อ 5 ตัน", "ผิด"]
     assert split("it.The next.他说。Then") == ["it.", "The next.", "他说。", "Then"]
     assert split("He told X*** The end. Der Weber am [REDACTED] Speicher ruht (…) Ende.") == ["He told X***", "The end.", "Der Weber am [REDACTED] Speicher ruht (…)", "Ende."]
+    assert split("費用はUmmwicket Timber Ltd.の負担とする。次。") == ["費用はUmmwicket Timber Ltd.の負担とする。", "次。"]
+    assert split("It left for Orr & Co. (see p. 16). Then (…) paid Orr Ltd. (…) left. Orr Inc. [2019] 3. Orr Inc. [REDACTED] left.") == [
+        "It left for Orr & Co. (see p. 16).", "Then (…) paid Orr Ltd.", "(…) left.", "Orr Inc. [2019] 3.", "Orr Inc.", "[REDACTED] left."]
     assert split("no stop at all") == ["no stop at all"] and split("") == [] and split(" \n ") == []
 
 
