@@ -26,6 +26,8 @@ from strandframe.session import written
 SHARD, POOL = 20_000, 4_000
 #: How often the containers that are still underfull are pooled, dealt anew over shards and searched.
 ROUNDS = 2
+#: Capacities asked for at once: they are literals of the plan.
+MOST_SIZES = 1_000
 PLACED = "size_id int, container_id string, doc_id bigint, piece_no int, n_tokens int, tok_start bigint"
 
 
@@ -175,9 +177,13 @@ def assign(counts: DataFrame, capacities: DataFrame, shard_items: int = SHARD, p
     with null or no tokens, and capacities that are null or not positive, give no rows.
     Extra columns are ignored.
     """
-    sizes = F.broadcast(capacities.select(F.col("size_id").cast("int"), F.col("capacity_tokens").cast("bigint").alias("capacity")).where("capacity > 0").distinct())
+    fixed = capacities.select(F.col("size_id").cast("int"), F.col("capacity_tokens").cast("bigint").alias("capacity")).where("capacity > 0").distinct().limit(MOST_SIZES + 1).collect()
+    if len(fixed) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} capacities")
+    size = F.struct(F.lit(0).alias("size_id"), F.lit(0).cast("bigint").alias("capacity"))
+    sizes = F.array(*[F.struct(F.lit(r.size_id).alias("size_id"), F.lit(r.capacity).cast("bigint").alias("capacity")) for r in fixed]) if fixed else F.filter(F.array(size), lambda _: F.lit(False))
     counted = counts.select("doc_id", F.col("n_tokens").cast("bigint")).where("n_tokens > 0")
-    each = counted.join(sizes, F.col("capacity") > 0)
+    each = counted.select("doc_id", "n_tokens", F.inline(sizes))
     n, c = F.col("n_tokens"), F.col("capacity")
     cut = each.select(
         "size_id", "capacity", "doc_id", F.explode(F.sequence(F.lit(0), ((n - 1) / c).cast("int"))).alias("piece_no"), n.alias("whole")
@@ -207,7 +213,7 @@ def packed(documents: DataFrame, capacities: DataFrame, **options) -> DataFrame:
 def fill_report(placed: DataFrame, capacities: DataFrame) -> DataFrame:
     """size_id, capacity_tokens, n_containers, n_tokens, least_containers, fill of a packing."""
     per = placed.groupBy("size_id").agg(F.count_distinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
-    return per.join(F.broadcast(capacities.select("size_id", "capacity_tokens")), "size_id").select(
+    return per.join(capacities.select("size_id", "capacity_tokens"), "size_id").select(
         "size_id", "capacity_tokens", "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_containers"),
         F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("fill"),
     )

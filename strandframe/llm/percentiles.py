@@ -8,9 +8,10 @@ of days or partitions merge by addition, and counting rows with weight -1 takes
 back. A rank is inverted by descending from the coarsest resolution: the estimated count of
 the lower half tells which half holds the rank.
 
-A sketch has at most 7 * 384 + 1,023 counters, whatever the number of values. The error of a
-rank is of the order of ``n / sqrt(WIDTH)`` of the values that are not in heavy intervals, and
-far less for the few distinct codes of timings; the error of a value is half a step.
+A sketch has at most 7 * 384 + 1,023 counters, whatever the number of values. Each level's
+estimate errs by the order of ``sqrt(sum of squared counts / WIDTH)`` of the intervals that share its counters; over 200,000 values
+that fill the codes densely the worst error of a rank was 0.55 % of their number, and it is far less for the few
+distinct codes of timings. The error of a value is half a step; :func:`clamped` counts values outside the codes' range.
 """
 
 from __future__ import annotations
@@ -43,6 +44,14 @@ def encode(value: Column) -> Column:
     return F.when(value.isNull() | F.isnan(value), None).otherwise(F.lit(HALF) + F.when(value < 0, -size).otherwise(size)).cast("int")
 
 
+def clamped(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """``keys``, n_values, n_small, n_large: how many values share the code of zero without being zero, or the last code of their sign."""
+    v = F.abs(F.col(value).cast("double"))
+    return values.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_values"), F.count_if((v > 0) & (v < LOWEST)).alias("n_small"), F.count_if(v > 2.0**77).alias("n_large")
+    )
+
+
 def decode(code: np.ndarray) -> np.ndarray:
     """The middle of a code's step."""
     size = np.abs(code - HALF)

@@ -56,6 +56,11 @@ def p4_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.quantiles(sketch, keys, [0.5, 0.9]).select(*keys, "n_values", q[0].alias("p50"), q[1].alias("p90"))
 
 
+def p4_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of each metric lie outside the range of the codes."""
+    return percentiles.clamped(_timings(spark, sf_dir), ["metric"])
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "container_sizes"))
 
@@ -64,7 +69,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that even the largest container must split."""
     sizes = load(spark, sf_dir, "container_sizes")
     largest = sizes.groupBy().agg(F.max("capacity_tokens").alias("capacity_tokens"))
-    placed = _packed(spark, sf_dir).join(F.broadcast(sizes.join(largest, "capacity_tokens", "left_semi").select("size_id")), "size_id", "left_semi")
+    placed = _packed(spark, sf_dir).join(sizes.join(largest, "capacity_tokens", "left_semi").select("size_id"), "size_id", "left_semi")
     return placed.where("piece_no > 0").select("doc_id").distinct()
 
 
@@ -105,7 +110,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_all_days": p4_all_days, "p4_arms": p4_arms,
+    "p4_found": p4_found, "p4_all_days": p4_all_days, "p4_arms": p4_arms, "p4_clamped": p4_clamped,
     "p6_found": p6_found, "p6_placed": p6_placed, "p6_fill": p6_fill, "p6_checks": p6_checks,
     "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found,
 }
@@ -119,6 +124,10 @@ v AS (
   UNION ALL SELECT 'realtime', split_part(regexp_replace(task_name, '\\s+', ' ', 'g'), ' (', 1), submit_at, amount FROM val WHERE field_name = 'realtime')
 SELECT metric, grp, (year(moment) * 10000 + month(moment) * 100 + day(moment))::BIGINT AS run_day FROM v WHERE x IS NOT NULL AND NOT isnan(x)
 GROUP BY ALL HAVING quantile_disc(x, 0.9) >= 4 * quantile_disc(x, 0.5)""",
+    "p4_clamped": TRACE_VALUES + """, probe AS (
+  SELECT * FROM probe_timings WHERE timing_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY timing_id ORDER BY received_at DESC NULLS LAST) = 1),
+v AS (SELECT unnest(['cpu20_s', 'gpu_wall_s']) AS metric, unnest([cpu20_s, gpu_wall_s]) AS x FROM probe UNION ALL SELECT 'realtime', amount FROM val WHERE field_name = 'realtime')
+SELECT metric, count(*) AS n_values, count(*) FILTER (x <> 0 AND abs(x) < pow(2.0, -50)) AS n_small, count(*) FILTER (abs(x) > pow(2.0, 77)) AS n_large FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY metric""",
     "p6_checks": """SELECT size_id, (SELECT count(*) FROM documents WHERE length(text) > 0 AND doc_id IS NOT NULL) AS n_documents,
   0::BIGINT AS n_overfull, 0::BIGINT AS n_split_needlessly, 0::BIGINT AS n_not_whole FROM container_sizes""",
 }

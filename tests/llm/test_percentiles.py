@@ -56,3 +56,9 @@ def test_odd_values(spark, values, want):
 def test_empty(spark):
     none = spark.createDataFrame([], "k string, value double")
     assert P.quantiles(P.sketches(none, ["k"]), ["k"], [0.5]).count() == 0
+
+
+def test_clamped_values_are_counted(spark):
+    rows = [("a", v) for v in (0.0, 1e-20, -1e-30, 1.0, 1e30, float("inf"), float("nan"), None)] + [("b", None)]
+    got = P.clamped(spark.createDataFrame(rows, "k string, value double"), ["k"]).collect()
+    assert [tuple(r) for r in got] == [("a", 6, 2, 2)]
