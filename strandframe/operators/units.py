@@ -145,13 +145,13 @@ def figures(trace: DataFrame, sources: DataFrame, columns: tuple[str, ...] = (*T
     long = once.select("trace_id", F.coalesce("source_id", F.lit(-1)).alias("source_id"), F.regexp_replace("task_name", r"\s+", " ").alias("entity"), *keep, F.inline(F.array(*each))).where(
         F.col("raw").isNotNull() & ~F.lower("raw").isin("", "-", "--", "n/a", "na", "none", "null", "nan", "\u2014")
     )
-    # The table of sources is fixed (a dozen rows), and each gives a handful of facts.
+    # A handful of facts per source: Spark sees how many there are and picks the join.
     facts = sources.select("source_id", F.inline(_facts("unit_note")))
     habits = facts.where("field = '*'").groupBy("source_id").agg(
         F.max(F.when(F.col("fact").endswith("comma"), F.col("fact"))).alias("comma"), F.max(F.col("fact") == "binary").alias("binary")
     )
     notes = facts.where("field != '*'").groupBy("source_id", F.col("field").alias("field_name")).agg(F.min("fact").alias("note_unit"))
-    rows = long.join(F.broadcast(habits), "source_id", "left").join(F.broadcast(notes), ["source_id", "field_name"], "left")
+    rows = long.join(habits, "source_id", "left").join(notes, ["source_id", "field_name"], "left")
 
     simple = r"^([0-9][0-9.,\s']*)([A-Za-z]*)$"
     clock = r"^(?:(\d+)-)?(?:(\d+):)?(\d+):(\d+(?:[.,]\d+)?)$"

@@ -31,22 +31,35 @@ _MADE: dict[tuple, DataFrame] = {}
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
-    """Records with the computed duplicate mark: one table for all reports, made once per session and state of the input."""
+    """Records with the computed duplicate mark: one table for all reports, made once per session and state of the input.
+
+    It is made again where the input has changed or its files are no longer in the shared folder.
+    """
     key = (spark.sparkContext.applicationId, d, _version(spark, f"{d}/alignments.parquet"))
-    if key not in _MADE:
+    if key not in _MADE or not _present(_MADE[key]):
         aln = written(_aln(spark, d, *JUDGED, "mapq", "mate_tid", "mate_pos", "nh"))
         _MADE.clear()
         _MADE[key] = written(reports.with_duplicates(aln, _dups(aln)))
     return _MADE[key]
 
 
+def _filesystem(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _version(spark: SparkSession, path: str) -> tuple[int, int]:
     """When a file or folder was last changed, and its size."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at, files = _filesystem(spark, path)
     return files.getFileStatus(at).getModificationTime(), files.getContentSummary(at).getLength()
 
 
+def _present(table: DataFrame) -> bool:
+    """Whether all files of a written table are still there."""
+    paths = [_filesystem(table.sparkSession, p) for p in table.inputFiles()]
+    return bool(paths) and all(files.exists(at) for at, files in paths)
+
+
 def _genes(spark: SparkSession, d: str, any_case: bool = False) -> DataFrame:
     return annotation.gene_exons(load(spark, d, "gtf_exons"), load(spark, d, "ref_seqs"), any_case)
 

@@ -107,7 +107,7 @@ def write_idxstats(report: DataFrame, path: str) -> None:
 
 def write_bedgraph(runs: DataFrame, refs: DataFrame, path: str) -> None:
     """Runs of depth over 0 in header order."""
-    _lines(runs.join(F.broadcast(refs.select("tid", "ref_name")), "tid"), ["tid", "start"], ["ref_name", "start", "end", "depth"], path)
+    _lines(runs.join(refs.select("tid", "ref_name"), "tid"), ["tid", "start"], ["ref_name", "start", "end", "depth"], path)
 
 
 def write_gene_counts(counts: DataFrame, exons: DataFrame, path: str) -> None:
@@ -121,7 +121,7 @@ def write_gene_counts(counts: DataFrame, exons: DataFrame, path: str) -> None:
 
 def write_junctions(found: DataFrame, refs: DataFrame, path: str) -> None:
     """Junctions in the order they are met; the label has a leading blank."""
-    named = found.join(F.broadcast(refs.select("tid", "ref_name")), "tid")
+    named = found.join(refs.select("tid", "ref_name"), "tid")
     _lines(named, ["tid", "first_rec_idx", "start"], ["ref_name", "start", "end", "n_reads", F.concat(F.lit(" "), "kind")], path)
 
 

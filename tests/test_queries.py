@@ -50,3 +50,23 @@ def test_no_cross_joins_in_plans(spark, sf):
     for name in ("gene_counts", "markdup_metrics", "p3_found", "region_query"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_the_marked_table_is_made_again_when_its_files_are_gone(spark, sf):
+    import shutil
+
+    from strandframe.plans import alignment_queries as Q
+
+    first = Q._marked(spark, sf)
+    assert Q._marked(spark, sf) is first
+    shutil.rmtree(os.path.dirname(first.inputFiles()[0].removeprefix("file://")))
+    again = Q._marked(spark, sf)
+    assert again is not first and again.count() == Q._aln(spark, sf).count()
+
+
+def test_the_chain_writes_every_report(spark, sf, tmp_path):
+    from strandframe.plans import alignment_queries as Q
+
+    paths = Q.write_chain(spark, sf, str(tmp_path))
+    rows = {r.report: r.n_rows for r in entry.queries()["chain"](spark, sf).collect()}
+    assert rows == {name: spark.read.parquet(path).count() for name, path in paths.items()} and rows["inner_distance"] == 100
