@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no (from 0 within its file) and value of every line.
+    """path, block (where its split begins), line_no (from 0 within its file) and value of every line.
 
     Files are read whole-line but not in one task: lines get the id of their split and are
     numbered from the sizes of the splits before theirs.
@@ -21,7 +21,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     sizes = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return lines.join(F.broadcast(starts), ["path", "block"]).select("path", (F.col("id") - F.col("first") + F.col("before")).alias("line_no"), "value")
+    return lines.join(starts, ["path", "block"]).select("path", "block", (F.col("id") - F.col("first") + F.col("before")).alias("line_no"), "value")
 
 
 def read_gtf(spark: SparkSession, path: str) -> DataFrame:
@@ -109,13 +109,19 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
     A blank line or a thread line ends a sample. Frames before any thread line and lines that
     are neither raise an error when read.
     """
-    lines = numbered_lines(spark, path)
-    order = Window.partitionBy("path").orderBy("line_no")
     is_thread = F.col("value").rlike(r"^\s*\d+\s*$")
-    marked = lines.withColumn("sample_no", F.sum(is_thread.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("thread", F.last(F.when(is_thread, F.trim("value")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = numbered_lines(spark, path).withColumn("named", F.when(is_thread, F.trim("value")))
+    # A split's lines are numbered in its own window; what goes from split to split is a count and a name.
+    splits = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lines.groupBy("path", "block").agg(F.count("named").alias("n"), F.max_by("named", F.when(F.col("named").isNotNull(), F.col("line_no"))).alias("last")).select(
+        "path", "block", F.coalesce(F.sum("n").over(splits), F.lit(0)).alias("before"), F.last("last", ignorenulls=True).over(splits).alias("open")
+    )
+    order = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.join(carried, ["path", "block"]).withColumns({
+        "sample_no": F.col("before") + F.count("named").over(order), "thread": F.coalesce(F.last("named", ignorenulls=True).over(order), "open"),
+    })
     frame = r"^\s+([0-9a-fA-F]+) (.+) \((.+)\)$"
-    frames = marked.where(~is_thread & (F.trim("value") != ""))
+    frames = marked.where(F.col("named").isNull() & (F.trim("value") != ""))
     ok = F.col("value").rlike(frame) & (F.col("sample_no") > 0)
     symbol = F.when(ok, F.regexp_extract("value", frame, 2)).otherwise(F.raise_error(F.concat(F.lit("unparsed line: "), F.col("value"))))
     depth = F.row_number().over(Window.partitionBy("path", "sample_no").orderBy("line_no")) - 1

@@ -47,6 +47,25 @@ def test_profile_and_timings(spark, tmp_path):
         rows.collect()
 
 
+def test_profile_over_many_splits(spark, tmp_path):
+    want, lines = [], []
+    for sample in range(300):
+        lines.append(str(sample % 7))
+        for depth in range(sample % 4 + 1):
+            lines.append(f"\tff f{depth} (/bin/m)")
+            want.append((sample + 1, sample % 7, depth, f"f{depth}"))
+        lines.append("")
+    (tmp_path / "p").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        frames = text.read_profile(spark, str(tmp_path / "p"))
+        assert text.numbered_lines(spark, str(tmp_path / "p")).select("block").distinct().count() > 5
+        assert sorted((r.sample_no, r.thread, r.depth, r.symbol) for r in frames.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def records():
     return [
         Row(rec_idx=0, qname="a", flag=99, tid=1, pos=50, mapq=60, cigar="5M", mate_tid=1, mate_pos=80, tlen=35, seq="ACGTN", qual=[1, 2, 3, 4, 255], nh=1, hi=None),
