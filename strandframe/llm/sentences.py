@@ -1,9 +1,12 @@
 """Sentence units for every document, in all its languages and scripts.
 
-The boundary rules are compiled into a finite transducer. A scan over the text finds the
-places where something can happen (stops, quotation marks, blank lines, white space between
-Thai letters) and gives each a symbol from its near surroundings; the transducer's state is
-the depth of open quotations. A symbol moves the state and may end a unit.
+The boundary rules are compiled into two transducers, one feeding the other. A scan over the text
+finds the places where something can happen (stops, quotation marks, blank lines, white space
+between Thai letters). For a stop, the first machine, made from the table ``RULES``, reads the
+classes of its kind, the marks that close after it, the gap, what follows and what stands before,
+as far as its state still depends on them, and writes a symbol; the other places give their symbol by
+one look. The second machine reads the symbols; its state is the depth of open quotations.
+A symbol moves the state and may end a unit.
 
 Documents are cut into chunks, long ones into many. A symbol's effect on the depth is a function
 ``max(depth + a, b)``; such functions compose to one of the same kind, so each chunk's is two
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -39,13 +43,15 @@ NEVER = frozenset(
     "dr mr mrs ms prof st cf vgl zzgl bzw ca ets mm mme mlle sr sra dra v vs wst approx ggf inkl sog az hon messrs "
     "г проф см им тов डॉ नं श्री د أ".split()
 )
+# Abbreviations with inner stops that do not end a sentence, whatever follows.
+NEVER_DOTTED = frozenset("i.e e.g u.l.r z.b d.h т.е".split())
 # Abbreviations that do not end a sentence before a figure.
 BEFORE_FIGURE = frozenset(
     "no nos nr art arts para paras s ss p pp vol exh fig sec cl ch abs bl rn rdnr ziff kap al n núm pág págs párr cap arg rep u.l.r "
     "ст п пп стр л д гл ص م ف पृ".split()
 )
 # Abbreviations that may also be the last word of a sentence.
-MAY_END = frozenset("ltd co inc corp llc etc usw env руб коп млн cent jr p.m a.m p.m a.m".split())
+MAY_END = frozenset("ltd co inc corp llc etc usw env руб коп млн cent jr p.m a.m".split())
 # Ends of company names, which stand inside sentences of scripts without capitals.
 COMPANY = frozenset("ltd co inc corp llc".split())
 # German words before an ordinal.
@@ -53,6 +59,8 @@ BEFORE_ORDINAL = frozenset("am im vom zum zur der des dem den die das und bis be
 # Characters that follow a closed quotation inside the same sentence.
 GOES_ON = frozenset("とがはをにでものや、，；：,;:的")
 
+_LISTED = {w: name for name, words in (("may end", MAY_END), ("company", COMPANY), ("figure", BEFORE_FIGURE), ("never", NEVER | NEVER_DOTTED)) for w in words}
+
 _THAI = "ก-ฺเ-๎"
 _UPPER = "A-ZÀ-ÖØ-ÞА-Я"
 _LOWER = "a-zß-öø-ÿа-яё"
@@ -106,43 +114,141 @@ def _word(before: str) -> tuple[str, str]:
     return word, words[-2] if len(words) > 1 else ""
 
 
-def _ends(text: str, at: int, end: int) -> bool:
-    """Whether the full stop at ``at``, with closers up to ``end``, ends a sentence."""
-    after = _SPACE.match(text, end).end()
-    follows = text[after : after + 1]
-    if not follows:
-        return True
+def _before(text: str, at: int) -> str:
+    """The class of what stands before a full stop."""
     before = text[max(0, at - 40) : at]
-    if before.endswith("/") or follows in ".,;:/&)" or follows.islower():
-        return False
+    if before.endswith("/"):
+        return "slash"
     word, lead = _word(before)
-    low = word.lower()
-    if after == end:
-        if not follows.isalpha():
-            return follows in "\"«„“¿¡([█"
-        if len(word) < 2 or ("." in word and low not in MAY_END) or low in NEVER or low in BEFORE_FIGURE:
-            return bool(not word and before and before[-1] in ")]%»”")
-        if low in COMPANY and ord(follows) > 0x590:
-            return False
-        return follows.isupper() or ord(follows) > 0x590
     if not word:
-        return True
+        return "closed" if before and before[-1] in ")]%»”" else "bare"
+    lone = "lone " if len(word) == 1 else ""
     if word.isdigit():
         if _MARK_BEFORE.search(text[max(0, at - 60) : at]):
-            return False
-        return not (len(word) <= 2 and follows.isupper() and lead.lower() in BEFORE_ORDINAL)
-    if low in NEVER or (low in BEFORE_FIGURE and (follows.isdigit() or follows in "[§")):
-        return False
-    if low in COMPANY and ord(follows) > 0x590:
-        return False
-    if low in MAY_END:
-        # A year or a reference in brackets goes on, a redaction in brackets is the next sentence's first word.
-        inner = text[after + 1 : after + 2]
-        return not (follows == "(" and inner != "…" or follows == "[" and inner.isdigit())
-    if len(word) == 1 and ord(word) < 0x590 and word.isalpha():
+            return lone + "mark"
+        if len(word) <= 2 and lead.lower() in BEFORE_ORDINAL:
+            return lone + "ordinal"
+        return "open" if lone else "word"
+    if lone and ord(word) < 0x590 and word.isalpha():
         # Initials and one-letter abbreviations, but for the end of a two-letter one (d. A.).
-        return word == "A" and lead in ("d.", "S.") and not follows.isdigit()
-    return low not in ("i.e", "e.g", "u.l.r", "z.b", "d.h", "т.е")
+        return "last" if word == "A" and lead in ("d.", "S.") else "never"
+    return _LISTED.get(word.lower()) or ("open" if lone or "." in word else "word")
+
+
+@cache
+def _char(c: str) -> str:
+    """The class of a character that follows a stop."""
+    if not c:
+        return "end"
+    if c.islower() or c in ",;:.)":
+        return "joined"
+    if c in "/&":
+        return "linked"
+    if c in "([":
+        return c
+    far = "far " if ord(c) > 0x590 else ""
+    if c.isdigit():
+        return far + "digit"
+    if c.isupper():
+        return far + ("upper" if c.isalpha() else "sign")
+    if c.isalpha():
+        return far + "letter"
+    if c in "\"«„“¿¡█":
+        return far + "opening"
+    return far + ("section" if c == "§" else "other")
+
+
+def _follow(text: str, end: int) -> tuple[str, str]:
+    """Whether white space follows, and the class of the first character after it."""
+    gap, c = "close", text[end : end + 1]
+    if c.isspace():
+        gap, end = "gap", _SPACE.match(text, end).end()
+        c = text[end : end + 1]
+    if c == "[" and text[end + 1 : end + 2].isdigit():
+        return gap, "cite"
+    if c == "(" and text[end + 1 : end + 2] == "…":
+        return gap, "redaction"
+    return gap, _char(c)
+
+
+# What a stop's tape is written in, in reading order.
+KINDS = ("full stop", "ellipsis", "question", "danda", "ideographic")
+CLOSERS = ("none", "some", "quote")
+GAPS = ("gap", "close")
+FOLLOWS = (
+    "end", "joined", "linked", "(", "[", "cite", "redaction", "digit", "upper", "letter", "opening", "section", "other",
+    "far digit", "far upper", "far sign", "far letter", "far opening", "far other", "goes on", "stop",
+)
+WORDS = ("slash", "closed", "bare", "mark", "lone mark", "ordinal", "lone ordinal", "never", "figure", "company", "may end", "last", "open", "word")
+
+_DIGITS, _CAPITALS, _OPENING = {"digit", "far digit"}, {"upper", "far upper", "far sign"}, {"opening", "far opening", "(", "[", "cite", "redaction"}
+_LETTERS, _FAR = {"upper", "letter", "far upper", "far letter"}, {f for f in FOLLOWS if f.startswith("far ")}
+_MARKS, _ORDINALS = {"mark", "lone mark"}, {"ordinal", "lone ordinal"}
+
+#: The rules for stops: kind, closers, gap, what follows, what stands before (None: anything), and whether a sentence ends. The first that fits holds.
+RULES = [
+    ({"ideographic"}, {"quote"}, None, {"goes on"}, None, False),
+    ({"ideographic"}, {"some"}, None, {"goes on", "stop"}, None, False),
+    ({"ideographic", "danda"}, None, None, None, None, True),
+    (None, None, None, {"end"}, None, True),
+    (None, None, None, {"joined"}, None, False),
+    ({"question"}, None, {"gap"}, None, None, True),
+    ({"question"}, None, {"close"}, _CAPITALS | _FAR, None, True),
+    ({"question"}, None, None, None, None, False),
+    ({"ellipsis"}, None, {"gap"}, _CAPITALS, None, True),
+    ({"ellipsis"}, {"some", "quote"}, {"gap"}, None, None, True),
+    ({"ellipsis"}, None, None, None, None, False),
+    # Full stops from here on.
+    (None, None, None, {"linked"}, None, False),
+    (None, None, None, None, {"slash"}, False),
+    # Nothing between the stop and what follows.
+    (None, None, {"close"}, _OPENING, None, True),
+    (None, None, {"close"}, _LETTERS, {"closed"}, True),
+    (None, None, {"close"}, None, {"bare", "lone mark", "lone ordinal", "never", "figure", "last", "open"}, False),
+    (None, None, {"close"}, _FAR, {"company"}, False),
+    (None, None, {"close"}, _LETTERS - {"letter"}, None, True),
+    (None, None, {"close"}, None, None, False),
+    # White space after the stop.
+    (None, None, None, None, _MARKS | {"never"}, False),
+    (None, None, None, _CAPITALS, _ORDINALS, False),
+    (None, None, None, _DIGITS | {"[", "cite", "section"}, {"figure"}, False),
+    (None, None, None, _FAR, {"company"}, False),
+    # A year or a reference in brackets goes on, a redaction in brackets is the next sentence's first word.
+    (None, None, None, {"(", "cite"}, {"company", "may end"}, False),
+    (None, None, None, _DIGITS, {"last"}, False),
+    (None, None, None, None, None, True),
+]
+#: What the machine writes at the end of its tape, which is what the machine over quotation depth reads.
+OUTPUT = {("quote", True): "E", ("quote", False): "C", ("some", True): "S", ("some", False): "", ("none", True): "S", ("none", False): ""}
+
+
+def compiled(rules: list[tuple]) -> dict[tuple[str, str], dict | str]:
+    """The rules as a machine: per kind and closers a state, which is a dict of moves or, where nothing more need be read, the symbol to write.
+
+    Equal states are one, and a state all of whose moves lead to one place is that place.
+    """
+    states: dict[tuple, dict] = {}
+
+    def state(left: list[tuple], level: int, closers: str) -> dict | str:
+        if level == 5:
+            return OUTPUT[closers, left[0][5]]
+        moves = {}
+        for symbol in (KINDS, CLOSERS, GAPS, FOLLOWS, WORDS)[level]:
+            moves[symbol] = state([r for r in left if r[level] is None or symbol in r[level]], level + 1, closers)
+        first = next(iter(moves.values()))
+        if level != 2 and all(m is first or m == first for m in moves.values()):
+            return first
+        return states.setdefault(tuple(m if isinstance(m, str) else id(m) for m in moves.values()), moves)
+
+    start = {}
+    for kind in KINDS:
+        for closers in CLOSERS:
+            left = [r for r in rules if (r[0] is None or kind in r[0]) and (r[1] is None or closers in r[1])]
+            start[kind, closers] = state(left, 2, closers)
+    return start
+
+
+MACHINE = compiled(RULES)
 
 
 def _quote(text: str, start: int, end: int) -> str:
@@ -160,35 +266,29 @@ def _quote(text: str, start: int, end: int) -> str:
     return "O" if not before or before.isspace() or before in "([«„“-–—:/" or ord(before) > 0x2E80 else "C"
 
 
-def _cjk_stop(text: str, closers: str, end: int) -> str | None:
+def _closers(closers: str) -> str:
+    return "none" if not closers else "quote" if _QUOTES_CLOSED.search(closers) else "some"
+
+
+def _ideographic(text: str, closers: str, end: int) -> str:
+    """The symbol of an ideographic stop: only the very next character counts."""
     follow = text[end : end + 1]
-    goes_on = bool(follow) and follow in GOES_ON
-    if _QUOTES_CLOSED.search(closers):
-        return "C" if goes_on else "E"
-    return None if closers and (goes_on or follow in tuple("。！？")) else "S"
-
-
-def _stop(text: str, stop: str, closers: str, start: int, end: int) -> str | None:
-    if stop == ".":
-        ends = _ends(text, start, end)
-    elif stop == ".." or (stop[0] == "." and stop[-1] != "."):
-        ends = _ends(text, start + len(stop) - 1, end)
-    elif stop[0] == "।":
-        ends = True
+    kind = "end" if not follow else "goes on" if follow in GOES_ON else "stop" if follow in "。！？" else "other"
+    state = MACHINE["ideographic", _closers(closers)]["close"]
+    return state if isinstance(state, str) else state[kind]
+
+
+def _stop(text: str, stop: str, closers: str, start: int, end: int) -> str:
+    """The symbol the machine writes for a stop ("" for none); the word before it is read only in states that depend on it."""
+    if stop == "." or stop == ".." or (stop[0] == "." and stop[-1] != "."):
+        kind = "full stop"
     else:
-        after = _SPACE.match(text, end).end()
-        follow = text[after : after + 1]
-        if not follow:
-            ends = True
-        elif follow.islower() or follow in ",;:.)":
-            ends = False
-        elif stop[0] in ".…":
-            ends = after > end and (follow.isupper() or bool(closers))
-        else:
-            ends = after > end or follow.isupper() or ord(follow) > 0x590
-    if _QUOTES_CLOSED.search(closers):
-        return "E" if ends else "C"
-    return "S" if ends else None
+        kind = "danda" if stop[0] == "।" else "ellipsis" if stop[0] in ".…" else "question"
+    gap, follow = _follow(text, end)
+    state = MACHINE[kind, _closers(closers)][gap]
+    if not isinstance(state, str):
+        state = state[follow]
+    return state if isinstance(state, str) else state[_before(text, start + len(stop) - 1)]
 
 
 def _blank(text: str, start: int, end: int) -> str:
@@ -227,7 +327,7 @@ def events(text: str) -> list[tuple[str, int, int, int]]:
         elif kind == "quote":
             out.append((_quote(text, start, end), start, end, end))
         elif kind == "ccl":
-            symbol = _cjk_stop(text, m.group("ccl"), end)
+            symbol = _ideographic(text, m.group("ccl"), end)
             if symbol:
                 out.append((symbol, start, end, end))
         elif kind == "blank":

@@ -1,5 +1,6 @@
 """Problem 8: boundaries by script, and chunked against whole runs."""
 
+import itertools
 import random
 
 import numpy as np
@@ -47,6 +48,19 @@ def test_layout():
     assert split("no stop at all") == ["no stop at all"] and split("") == [] and split(" \n ") == []
 
 
+def test_the_machine_writes_what_the_first_fitting_rule_says():
+    for tape in itertools.product(S.KINDS, S.CLOSERS, S.GAPS, S.FOLLOWS, S.WORDS):
+        want = next(r[5] for r in S.RULES if all(r[k] is None or tape[k] in r[k] for k in range(5)))
+        state = S.MACHINE[tape[:2]]
+        for symbol in tape[2:]:
+            state = state if isinstance(state, str) else state[symbol]
+        assert state == S.OUTPUT[tape[1], want]
+
+
+def test_stops_before_unusual_characters():
+    assert split("See Ⅳ. Ⓓ one. Left at 3.Ⓓ xy. Sold by Orr Ltd. 社は。") == ["See Ⅳ.", "Ⓓ one.", "Left at 3.Ⓓ xy.", "Sold by Orr Ltd. 社は。"]
+
+
 def test_scan_composes_like_a_loop():
     rng = np.random.default_rng(1)
     parts = ["".join(rng.choice(list("SSTOOOCCEBH"), rng.integers(0, 30))) for _ in range(13)]
