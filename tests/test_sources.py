@@ -1,5 +1,8 @@
 """Readers and writers: round trips and malformed input."""
 
+import glob
+import random
+import re
 import struct
 
 import pytest
@@ -111,6 +114,86 @@ def test_bam_splits_at_index_offsets(spark, tmp_path, monkeypatch):
         list(reader.read(parts[-1]))
 
 
+def many_records(n):
+    rng = random.Random(7)
+    rows = []
+    for i in range(n):
+        placed, length = rng.random() < 0.95, rng.choice([0, 1, 36, 100, 250])
+        tid = rng.choice([0, 0, 0, 2]) if placed else -1
+        gap = rng.choice([0, 0, 0, 90_000])
+        text = (f"{length // 2}M{gap}N{length - length // 2}M" if gap and length > 1 else f"{length}M") if length else "*"
+        rows.append(Row(rec_idx=i, qname=f"q{i}", flag=rng.choice([0, 16]) if placed and length else 4, tid=tid, pos=rng.choice([77, rng.randrange(900_000)]) if placed else -1, mapq=60,
+                        cigar=text, mate_tid=-1, mate_pos=-1, tlen=0, seq="".join(rng.choices("ACGT", k=length)), qual=[rng.randrange(41) for _ in range(length)], nh=1, hi=None))
+    return rows
+
+
+def test_bam_without_an_index_is_cut_into_tasks(tmp_path, monkeypatch):
+    rows = many_records(3000)
+    rows[1500] = Row(**{**rows[1500].asDict(), "seq": "A" * 90_000, "qual": [0] * 90_000, "cigar": "90000M"})
+    raw = b"".join(struct.pack("<i", len(b := bam.encode(r))) + b for r in rows)
+    size, path = 3001, tmp_path / "s.bam"
+    path.write_bytes(bam.block(bam.header_bytes([("a", 1 << 20), ("b", 5), ("c", 1 << 20)])) + b"".join(bam.block(raw[i : i + size]) for i in range(0, len(raw), size)) + bam.block(b""))
+    whole = list(bam.BamReader({"path": str(path)}).read(bam.BamReader({"path": str(path)}).partitions()[0]))
+    assert [r[1] for r in whole] == [r.qname for r in rows]
+    for split in (16_000, 40_000):
+        monkeypatch.setattr(bam, "SPLIT", split)
+        reader = bam.BamReader({"path": str(path)})
+        parts = reader.partitions()
+        assert len(parts) > 5 and [r for p in parts for r in reader.read(p)] == whole
+    monkeypatch.setattr(bam, "first_record", lambda path, start, refs, real=bam.first_record: real(path, start, refs) + (3 if start == 80_000 else 0))
+    with pytest.raises(ValueError, match="do not meet"):
+        list(reader.read(parts[1]))
+
+
+def test_bam_parts_and_their_index(spark, tmp_path):
+    rows, folder = many_records(3000), str(tmp_path / "out")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bam.write_bam(spark.createDataFrame(rows, SCHEMA).repartition(7), [("a", 1 << 20), ("b", 5), ("c", 1 << 20)], folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = {r.rec_idx: r for r in bam.read_bam(spark, folder).collect()}
+    assert len(found) == 3000 and bam.read_bam(spark, folder).rdd.getNumPartitions() > 1
+    data = open(bam.write_index(spark, folder), "rb").read()
+    whole = tmp_path / "x.bam"
+    whole.write_bytes(b"".join(open(f, "rb").read() for f in [f"{folder}/header.bgzf", *sorted(glob.glob(f"{folder}/part-*.bgzf")), f"{folder}/eof.bgzf"]))
+    assert open(bam.write_index(spark, str(whole)), "rb").read() == data
+    assert {r.rec_idx: r.qname for r in bam.read_bam(spark, str(whole)).collect()} == {k: r.qname for k, r in found.items()}
+
+    take = lambda f, at: (struct.unpack_from(f, data, at), at + struct.calcsize(f))
+    (n_refs,), at = take("<i", 4)
+    index = []
+    for _ in range(n_refs):
+        bins = {}
+        (n_bins,), at = take("<i", at)
+        for _ in range(n_bins):
+            (number, n), at = take("<Ii", at)
+            flat, at = take(f"<{2 * n}Q", at)
+            bins[number] = list(zip(flat[::2], flat[1::2]))
+        (n,), at = take("<i", at)
+        windows, at = take(f"<{n}Q", at)
+        index.append((bins, windows))
+    (homeless,), at = take("<Q", at)
+    assert at == len(data) and n_refs == 3 and index[1] == ({}, ()) and homeless == sum(r.tid < 0 for r in rows)
+
+    def stop(r):
+        return r.pos + max(1, 0 if r.flag & 4 else sum(int(n) for n, o in re.findall(r"(\d+)([MDN=X])", r.cigar)))
+
+    for tid in (0, 2):
+        bins, windows = index[tid]
+        here = [r for r in found.values() if r.tid == tid]
+        assert bins[37_450][1] == (sum(not r.flag & 4 for r in here), sum(bool(r.flag & 4) for r in here))
+        for a, b in ((0, 100), (70, 78), (16_000, 17_000), (500_000, 500_001), (0, 1 << 20), (899_000, 999_000)):
+            # The bins a region touches, by the format's five levels.
+            touched = {0} | {first + k for first, shift in ((1, 26), (9, 23), (73, 20), (585, 17), (4681, 14)) for k in range(a >> shift, (b - 1 >> shift) + 1)}
+            least = windows[a >> 14] if a >> 14 < len(windows) else 1 << 63
+            spans = [(max(x, least), y) for number in touched for x, y in bins.get(number, [])]
+            reached = {r.rec_idx for r in here if any(x <= r.rec_idx < y for x, y in spans)}
+            assert reached >= {r.rec_idx for r in here if r.pos < b and stop(r) > a}
+            if b - a < 2000:
+                assert len(reached) < len(here)
+
+
 def test_short_and_bad_records():
     with pytest.raises(ValueError, match="shorter"):
         bam.decode(b"x" * 8, 0)
