@@ -246,6 +246,9 @@ class BamReader(DataSourceReader):
         else:
             self.paths = sorted(glob.glob(f"{path}/*.bam")) if os.path.isdir(path) else sorted(glob.glob(path))
 
+        if not self.paths:
+            raise FileNotFoundError(f"no BAM file at {path}")
+
     def partitions(self):
         parts, base = [], 0
         for path in self.paths:

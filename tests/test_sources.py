@@ -194,6 +194,15 @@ def test_bam_parts_and_their_index(spark, tmp_path):
                 assert len(reached) < len(here)
 
 
+def test_bam_of_nothing_and_missing_files(spark, tmp_path):
+    folder = str(tmp_path / "none")
+    bam.write_bam(spark.createDataFrame([], SCHEMA), [("a", 10)], folder)
+    assert bam.read_bam(spark, folder).count() == 0 and bam.read_references(spark, folder).count() == 1
+    assert open(bam.write_index(spark, folder), "rb").read() == b"BAI\x01" + struct.pack("<iiiQ", 1, 0, 0, 0)
+    with pytest.raises(Exception, match="no BAM file"):
+        bam.read_bam(spark, str(tmp_path / "gone.bam")).count()
+
+
 def test_short_and_bad_records():
     with pytest.raises(ValueError, match="shorter"):
         bam.decode(b"x" * 8, 0)
